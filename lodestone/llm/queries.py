@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
+from .decontamination import find_contained
+from .mixing import mix_to_weights
 from .quality_rules import quality_rules
+from .sharding import shard_by_bytes
+
+
+def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_to_weights(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contained(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +28,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_by_bytes(read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_entropy_mixing": op1_entropy_mixing,
+        "op3_decontamination": op3_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op9_sharding": op9_sharding,
     }
 
 
