@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontamination import find_contained
 from .mixing import mix_to_weights
+from .ngram_join import ngram_links
 from .quality_rules import quality_rules
 from .sharding import shard_by_bytes
 
@@ -28,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_links(read(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_by_bytes(read(spark, sf_dir, "documents").select("doc_id", "text"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -38,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_entropy_mixing": op1_entropy_mixing,
         "op3_decontamination": op3_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op8_ngram_join": op8_ngram_join,
         "op9_sharding": op9_sharding,
     }
 
