@@ -12,6 +12,7 @@ from .decontamination import find_contained
 from .mixing import mix_to_weights
 from .ngram_join import ngram_links
 from .quality_rules import quality_rules
+from .secrets import scan_secrets
 from .sharding import shard_by_bytes
 
 
@@ -29,6 +30,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_links(read(spark, sf_dir, "documents").select("doc_id", "text"), n=4, percent=85)
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_entropy_mixing": op1_entropy_mixing,
         "op3_decontamination": op3_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op7_secrets": op7_secrets,
         "op8_ngram_join": op8_ngram_join,
         "op9_sharding": op9_sharding,
     }
