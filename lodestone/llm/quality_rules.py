@@ -105,38 +105,44 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_bullet_lines", "n_ellipsis_lines")
+RATIOS = ("repeat_percent", "mean_word_chars", "symbols_per_word", "stop_word_ratio", "dup_line_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the metrics of :data:`BASE_RULES` and :data:`METHOD_RULES` to each row."""
     t = F.coalesce(F.col(text), F.lit(""))
     stop = sorted({form for group in STOP_WORDS.values() for w in group.split() for form in (w, w.capitalize())})
     has_word = lambda line: line.rlike(r"[^ \t-\r]")
-    out = docs.withColumns({"_t": t}).withColumns({"_w": words(F.col("_t")), "_l": F.filter(F.split("_t", "\n"), has_word)})
-    w, line = F.col("_w"), F.col("_l")
-    out = out.withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long"),
-            "n_lines": F.size(line).cast("long"),
-            "n_dup_lines": (F.size(line) - F.size(F.array_distinct(line))).cast("long"),
-            "n_repeat_words": _repeat_words(w, F.size(w)),
-            "_stop": F.size(F.filter(w, lambda x: x.isin(stop))),
-            "_bullet": F.size(F.filter(line, lambda x: x.rlike(r"^\s*[-*•‣▪]"))),
-            "_dots": F.size(F.filter(line, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
-        }
+    kept = [F.col(c) for c in docs.columns if c not in COUNTS + RATIOS]
+    out = docs.select(*kept, t.alias("__t")).withColumns({"__w": words(F.col("__t")), "__l": F.filter(F.split("__t", "\n"), has_word)})
+    w, line = F.col("__w"), F.col("__l")
+    counts = dict(
+        n_words=F.size(w),
+        word_chars=F.length(F.array_join(w, "")),
+        n_symbols=F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")),
+        n_lines=F.size(line),
+        n_dup_lines=F.size(line) - F.size(F.array_distinct(line)),
+        n_repeat_words=_repeat_words(w, F.size(w)),
+        n_stop_words=F.size(F.filter(w, lambda x: x.isin(stop))),
+        n_bullet_lines=F.size(F.filter(line, lambda x: x.rlike(r"^\s*[-*•‣▪]"))),
+        n_ellipsis_lines=F.size(F.filter(line, lambda x: x.rlike(r"(\.\.\.|…)\s*$"))),
     )
+    # a filter on a verdict is not pushed below a generator, so no count is computed again for each rule that asks for it
+    row = F.struct(*[counts[c].cast("long").alias(c) for c in COUNTS])
+    out = out.select(*[F.col(c) for c in out.columns if c not in ("__t", "__w", "__l")], F.inline(F.array(row)))
     n, lines = F.col("n_words"), F.col("n_lines")
     return out.withColumns(
         {
             "repeat_percent": _share(100 * F.col("n_repeat_words"), n),
             "mean_word_chars": _share(F.col("word_chars"), n),
             "symbols_per_word": _share(F.col("n_symbols"), n),
-            "stop_word_ratio": _share(F.col("_stop"), n),
+            "stop_word_ratio": _share(F.col("n_stop_words"), n),
             "dup_line_ratio": _share(F.col("n_dup_lines"), lines),
-            "bullet_line_ratio": _share(F.col("_bullet"), lines),
-            "ellipsis_line_ratio": _share(F.col("_dots"), lines),
+            "bullet_line_ratio": _share(F.col("n_bullet_lines"), lines),
+            "ellipsis_line_ratio": _share(F.col("n_ellipsis_lines"), lines),
         }
-    ).drop("_t", "_w", "_l", "_stop", "_bullet", "_dots")
+    )
 
 
 def quality_rules(docs: DataFrame, text: str = "text", base: tuple[Rule, ...] = BASE_RULES, method: tuple[Rule, ...] = METHOD_RULES) -> DataFrame:
