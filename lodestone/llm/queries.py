@@ -14,6 +14,7 @@ from .ngram_join import ngram_links
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_by_bytes
+from .warc import archive, read_warc, resolve_revisits
 
 
 def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = archive(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    out = resolve_revisits(read_warc(spark, where))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -48,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_entropy_mixing": op1_entropy_mixing,
         "op3_decontamination": op3_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op6_warc": op6_warc,
         "op7_secrets": op7_secrets,
         "op8_ngram_join": op8_ngram_join,
         "op9_sharding": op9_sharding,
