@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -63,6 +64,12 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def clear_scratch() -> None:
     """Delete what :func:`materialise` has written; call it when no result that reads it is needed any more."""
@@ -80,5 +87,28 @@ def clear_scratch() -> None:
         pass
 
 
+#: A key of this share of the rows or more is hot; so there are at most as many hot keys as its inverse.
+HOT_KEYS = 500
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` to ``table`` (unique in ``key``) that no hot key can bend.
+
+    The few keys that many rows share are joined by broadcast, at most HOT_KEYS rows; all others by shuffle, where the rows of hot keys
+    take part under keys of their own that match nothing.
+    """
+    total = rows.count()
+    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__k"))
+    hot = counts.filter(F.col("__k") >= max(2, -(-total // HOT_KEYS))).select(F.col(key).alias("__hot"))
+    names = [c for c in table.columns if c != key]
+    hot_table = F.broadcast(table.join(F.broadcast(hot), table[key] == F.col("__hot"), "left_semi").select(F.col(key).alias("__hot"), F.struct(*names).alias("__h")))
+    first = rows.join(hot_table, F.col(key) == F.col("__hot"), "left")
+    spread = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    first = first.withColumn("__key", F.when(F.col(key).isNotNull() & F.col("__hot").isNull(), F.col(key).cast("string")).otherwise(spread))
+    cold = table.select(F.col(key).cast("string").alias("__key"), F.struct(*names).alias("__c"))
+    out = first.join(cold, "__key", "left").withColumn("__v", F.coalesce("__h", "__c"))
+    return out.select(*rows.columns, *[F.col("__v")[c].alias(c) for c in names])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
