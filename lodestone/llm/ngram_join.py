@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .components import connected_components
 from .shingles import buffers, mix, shingles, word_hashes, word_spans
 
@@ -102,7 +102,8 @@ def _prefixes(n: int, percent: int, frequency: np.ndarray):
                 take = (place < longest[row]) & fresh[row]
                 at = row[take]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[order][take].view(np.int64)), pa.array(nodes[at]), pa.array(sizes[at].astype(np.int32))], names=["gram", "node", "n"]
+                    [pa.array(values[order][take].view(np.int64)), pa.array(nodes[at]), pa.array(sizes[at].astype(np.int32)), pa.array(place[take].astype(np.int32))],
+                    names=["gram", "node", "n", "place"],
                 )
 
     return run
@@ -205,21 +206,24 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     frequency = np.minimum(frequency.ravel(), 2**31 - 1).astype(np.int32)
     narrow = both.filter("slice is null").select("id", "n", "node")
 
-    postings = rows.mapInArrow(_prefixes(n, percent, frequency), "gram long, node long, n int")
+    postings = rows.mapInArrow(_prefixes(n, percent, frequency), "gram long, node long, n int, place int")
     in_gram = Window.partitionBy("gram")
     shared = (
         postings.withColumn("_low", F.min("node").over(in_gram))
         .withColumn("_high", F.max("node").over(in_gram))
         .filter("_low <> _high")
         .groupBy("gram", "node")
-        .agg(F.max("n").alias("n"))
+        .agg(F.max("n").alias("n"), F.min("place").alias("place"))
         .withColumn("_g", F.count(F.lit(1)).over(in_gram))
         .withColumn("_centre", F.min("node").over(in_gram))
     )
     shared = materialise(shared, "prefixes")
-    small = shared.filter(F.col("_g") <= SMALL_GROUP).select("gram", "node", "n")
-    other = small.select("gram", F.col("node").alias("b"), F.col("n").alias("_n"))
-    fits = (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")) & (F.col("node") < F.col("b"))
+    release(docs.sparkSession)
+    small = shared.filter(F.col("_g") <= SMALL_GROUP).select("gram", "node", "n", "place")
+    other = small.select("gram", F.col("node").alias("b"), F.col("n").alias("_n"), F.col("place").alias("_place"))
+    # of two linked sets, the first n-gram in common leaves enough of both
+    rest = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
+    fits = ((100 + percent) * rest >= percent * (F.col("n") + F.col("_n"))) & (F.col("node") < F.col("b"))
     pairs = small.join(other, "gram").filter(fits).select(F.col("node").alias("a"), "b")
     stars = shared.filter((F.col("_g") > SMALL_GROUP) & (F.col("node") != F.col("_centre"))).select(F.col("node").alias("a"), F.col("_centre").alias("b"))
     candidates = connected_components(pairs.unionByName(stars)).withColumnRenamed("root", "comp")
@@ -229,10 +233,12 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     shape = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_grams")).select("comp", _chunks(F.col("_k"), F.col("_grams")).alias("chunks"))
     placed = placed.join(shape, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     texts = materialise(placed.join(rows.filter("id is not null"), "id").select("node", "comp", "chunk", "chunks", "n", "text"), "candidates")
+    release(docs.sparkSession)
     run, schema = _join_blocks(n, percent), "a long, b long"
     links = materialise(
         texts.select("comp", "chunk", "node", F.col("node").alias("label"), "text").groupBy("comp", "chunk").applyInPandas(run, schema), "links"
     )
+    release(docs.sparkSession)
     large = texts.filter("chunks > 1")
     if large.limit(1).count():
         links = links.unionByName(_finish(large, links, shared, run, schema))
@@ -263,6 +269,7 @@ def _finish(large: DataFrame, links: DataFrame, shared: DataFrame, run, schema:
     blocks = spread.unionByName(first.filter("chunk > 0").select("comp", F.col("chunk").alias("block"), "node", "label"))
     words = large.select("node", "text")
     more = materialise(blocks.join(words, "node").groupBy("comp", "block").applyInPandas(run, schema), "links")
+    release(large.sparkSession)
 
     # what is still outside the main group, against every block with which it shares a prefix n-gram
     second = labelled(links.unionByName(more))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .decontamination import find_contained
+from .html_extraction import extract_articles
 from .mixing import mix_to_weights
 from .ngram_join import ngram_links
 from .quality_rules import quality_rules
@@ -26,6 +27,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_articles(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_entropy_mixing": op1_entropy_mixing,
         "op3_decontamination": op3_decontamination,
+        "op4_html_extraction": op4_html_extraction,
         "op5_quality_rules": op5_quality_rules,
         "op6_warc": op6_warc,
         "op7_secrets": op7_secrets,
