@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontamination import find_contained
 from .html_extraction import extract_articles
+from .lm_scoring import score_documents
 from .mixing import mix_to_weights
 from .ngram_join import ngram_links
 from .quality_rules import quality_rules
@@ -23,6 +24,10 @@ def op1_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "rate")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contained(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
@@ -58,6 +63,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_entropy_mixing": op1_entropy_mixing,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_decontamination": op3_decontamination,
         "op4_html_extraction": op4_html_extraction,
         "op5_quality_rules": op5_quality_rules,
