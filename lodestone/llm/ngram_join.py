@@ -7,9 +7,10 @@
 3. Nodes that share a prefix n-gram are candidates; components of candidates are cut into blocks of a bounded number of nodes
    and n-grams. In a block the ordered sets are stored in a trie and all sets traverse it together, sharing the overlap
    counted so far, leaving subtrees whose remaining length cannot reach t, and skipping what is linked already.
-4. A component of several blocks is finished by two more rounds: against anchors of its first block, and then what is still outside
-   the main group against every block with which it shares a prefix n-gram. So no link between two groups is missed,
-   and no group is expanded into its pairs.
+4. A component of several blocks is finished by two more rounds: against anchors of its first block, and then whatever is
+   not yet in one group. There, pairs that meet in small prefix groups are compared as pairs; of large prefix groups, what
+   is outside the component's main group is compared by blocks with all that it meets. So no link between two groups is
+   missed, and no large group is expanded into its pairs.
 
 Defined results: a text of fewer words than n is one n-gram, the whole sequence; null and blank texts have no n-grams and link
 with nothing, nor do rows without an id; rows of one id are one document to the links; an empty table gives an empty one.
@@ -30,7 +31,8 @@ from .common import materialise, release
 from .components import connected_components
 from .shingles import buffers, mix, shingles, word_hashes, word_spans
 
-_SKETCH_BITS = 20
+#: Buckets of the frequency sketch, as a power of two; the more distinct n-grams a corpus has, the more tell its common passages apart.
+_SKETCH_BITS = 22
 _SLICES = 64
 #: Nodes and n-grams of a block: they bound what a task holds, not what is compared.
 BLOCK_NODES, BLOCK_GRAMS, ANCHORS = 256, 600_000, 64
@@ -60,18 +62,28 @@ def _profile(n: int):
     """Per document its set's size and node; per task the sketch of its documents' n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << _SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << _SKETCH_BITS, np.int32)
+        held: list[np.ndarray] = []
+
+        def count() -> None:
+            if held:
+                np.add(counts, np.bincount(np.concatenate(held), minlength=len(counts)), out=counts, casting="unsafe")
+                held.clear()
+
         for whole in batches:
             for batch in _pieces(whole):
                 values, before = _sets(batch.column(1), n)
-                counts += np.bincount((values >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                held.append((values >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64))
+                if len(held) >= 64:
+                    count()
                 rows = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(np.diff(before)), pa.array(_nodes(values, before)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                     names=["id", "n", "node", "slice", "counts"],
                 )
+        count()
         if counts.any():
-            packed = [zlib.compress(part.astype(np.int32).tobytes(), 1) for part in np.split(counts, _SLICES)]
+            packed = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, _SLICES)]
             none = pa.nulls(_SLICES, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(_SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["id", "n", "node", "slice", "counts"])
 
@@ -167,7 +179,7 @@ def join_block(sets: list[np.ndarray], percent: int, label: np.ndarray) -> list[
             if len(edge):
                 count = count + member[edge].sum(axis=0, dtype=np.int64)[at]
             best = count + (longest - to)
-            alive = (100 + percent) * best >= percent * (size[at] + most)  # J >= t with the whole rest in common, for the longest set below
+            alive = (100 + percent) * best >= percent * (size[at] + least)  # J >= t if the longest rest were all in common, at the smallest size
             at, count = at[alive], count[alive]
             if b - a == 1 and to == len(trie.sets[a]):
                 for p in at[(100 + percent) * count >= percent * (size[at] + size[a])].tolist():
@@ -201,7 +213,7 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     both = materialise(rows.mapInArrow(_profile(n), "id long, n long, node long, slice int, counts binary"), "grams")
     parts = both.filter("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(_add, "slice int, counts binary").collect()
     frequency = np.zeros((_SLICES, (1 << _SKETCH_BITS) // _SLICES), np.int64)
-    for r in parts:  # fixed size: 8 MB
+    for r in parts:  # fixed size: 32 MB, compressed
         frequency[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     frequency = np.minimum(frequency.ravel(), 2**31 - 1).astype(np.int32)
     narrow = both.filter("slice is null").select("id", "n", "node")
@@ -224,7 +236,8 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     # of two linked sets, the first n-gram in common leaves enough of both
     rest = F.least(F.col("n") - F.col("place"), F.col("_n") - F.col("_place"))
     fits = ((100 + percent) * rest >= percent * (F.col("n") + F.col("_n"))) & (F.col("node") < F.col("b"))
-    pairs = small.join(other, "gram").filter(fits).select(F.col("node").alias("a"), "b")
+    pairs = small.join(other, "gram").filter(fits).select(F.col("node").alias("a"), "b").distinct()
+    pairs = materialise(pairs, "pairs")
     stars = shared.filter((F.col("_g") > SMALL_GROUP) & (F.col("node") != F.col("_centre"))).select(F.col("node").alias("a"), F.col("_centre").alias("b"))
     candidates = connected_components(pairs.unionByName(stars)).withColumnRenamed("root", "comp")
 
@@ -241,7 +254,7 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     release(docs.sparkSession)
     large = texts.filter("chunks > 1")
     if large.limit(1).count():
-        links = links.unionByName(_finish(large, links, shared, run, schema))
+        links = links.unionByName(_finish(large, links, pairs, shared.filter(F.col("_g") > SMALL_GROUP), run, schema))
     roots = connected_components(links)
     of_node = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of_node.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -250,7 +263,7 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     return narrow.join(of_node, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _finish(large: DataFrame, links: DataFrame, shared: DataFrame, run, schema: str) -> DataFrame:
+def _finish(large: DataFrame, links: DataFrame, pairs: DataFrame, shared: DataFrame, run, schema: str) -> DataFrame:
     """Links between the blocks of one candidate component."""
     keyed = large.select("comp", "chunk", "chunks", "node", "n")
 
@@ -271,20 +284,33 @@ def _finish(large: DataFrame, links: DataFrame, shared: DataFrame, run, schema:
     more = materialise(blocks.join(words, "node").groupBy("comp", "block").applyInPandas(run, schema), "links")
     release(large.sparkSession)
 
-    # what is still outside the main group, against every block with which it shares a prefix n-gram
+    # pairs of small groups that no block has held together
     second = labelled(links.unionByName(more))
-    outside = second.join(main_label(second, ["comp"]), "comp").filter("label <> main")
+    end = second.select("node", "comp", "chunk", "label")
+    sides = [end.select(*[F.col(c).alias(f"{c}_{k}") for c in end.columns]) for k in "ab"]
+    open_ = (
+        pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b")).filter("label_a <> label_b and chunk_a <> chunk_b")
+    )
+    few = F.array(*[F.struct(F.col(f"node_{k}").alias("node"), F.col(f"label_{k}").alias("label")) for k in "ab"])
+    paired = open_.select("a", F.inline(few)).distinct().join(words, "node")
+    third = materialise(paired.groupBy("a").applyInPandas(run, schema), "links")
+    release(large.sparkSession)
+
+    # what is still outside the main group, against every block that it meets in a large group
+    second = labelled(links.unionByName(more).unionByName(third))
+    grams = shared.select("gram", "node")
+    outside = second.join(main_label(second, ["comp"]), "comp").filter("label <> main").join(grams.select("node").distinct(), "node", "left_semi")
     shape = outside.groupBy("comp").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_grams")).select("comp", _chunks(F.col("_k"), F.col("_grams")).alias("_rests"))
     outside = outside.join(shape, "comp").withColumn("rest", F.pmod(F.xxhash64("node"), F.col("_rests")).cast("int"))
-    grams = shared.select("gram", "node")
     left = outside.select("node", "comp", "rest").join(grams, "node").select("gram", "comp", "rest").distinct()
     right = second.select("node", "comp", "chunk").join(grams, "node").select("gram", "comp", "chunk").distinct()
     meet = materialise(left.join(right, ["gram", "comp"]).select("comp", "rest", "chunk").distinct(), "meets")
     probes = meet.join(outside.select("comp", "rest", "node", "label"), ["comp", "rest"])
-    targets = meet.join(second.select("comp", "chunk", "node", "label"), ["comp", "chunk"])
+    members = second.join(grams.select("node").distinct(), "node", "left_semi").select("comp", "chunk", "node", "label")
+    targets = meet.join(members, ["comp", "chunk"])
     blocks = probes.unionByName(targets.select(*probes.columns)).select("comp", "rest", "chunk", "node", "label")
     last = blocks.join(words, "node").groupBy("comp", "rest", "chunk").applyInPandas(run, schema)
-    return more.unionByName(materialise(last, "links"))
+    return more.unionByName(third).unionByName(materialise(last, "links"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
