@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column-level functions: text analysis, IP keys, string-indexing modes."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Search, ranking and aggregation over DataFrames."""

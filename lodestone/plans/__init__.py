@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Query trees: nodes, parser, rewrites and the compiler to Column expressions."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Tables: the file log, Delta logs, Hive-style Parquet, Iceberg metadata, and their partition filters."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Structured Streaming: the file log as a change stream, and event-time aggregation."""
