@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontamination import find_contained
 from .html_extraction import extract_articles
+from .line_dedup import dropped_lines
 from .lm_scoring import score_documents
 from .mixing import mix_to_weights
 from .ngram_join import ngram_links
@@ -60,6 +61,10 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dropped_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_entropy_mixing": op1_entropy_mixing,
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_secrets": op7_secrets,
         "op8_ngram_join": op8_ngram_join,
         "op9_sharding": op9_sharding,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
