@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .filters import Filter, compile_filter, may_match
 
 PROTOCOL = 4
+_BATCH = "log_batch"  # the outermost partition: the files of one append
 ACTION_SCHEMA = (
     "version long, seq int, action string, path string, partitionValues map<string,string>, size long, modificationTime long, dataChange boolean, "
     "numRecords long, minValues map<string,string>, maxValues map<string,string>, deletionTimestamp long, skipTimestamp long, reason string, operation string, "
@@ -85,7 +86,7 @@ def restore_schemas(actions: DataFrame, mappings: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- the log on a file system
 class TransactionLog:
     def __init__(self, spark: SparkSession, table: str) -> None:
-        self.spark, self.root = spark, f"{table.rstrip('/')}/_log"
+        self.spark, self.root, self.data = spark, f"{table.rstrip('/')}/_log", f"{table.rstrip('/')}/data"
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -189,10 +190,10 @@ class TransactionLog:
         """Write rows as Parquet beside the log and commit the files with counts and bounds of ``stats``."""
         import uuid
 
-        where = f"{self.root.removesuffix('/_log')}/part-{uuid.uuid4().hex}"
-        writer = df.write.option("maxRecordsPerFile", max_records)
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(where)
-        read = self.spark.read.parquet(where)
+        batch = uuid.uuid4().hex
+        writer = df.withColumn(_BATCH, F.lit(batch)).write.option("maxRecordsPerFile", max_records)
+        writer.mode("append").partitionBy(_BATCH, *(partition_by or [])).parquet(self.data)
+        read = self._read([f"{self.data}/{_BATCH}={batch}"])
         bounds = [F.min(c).cast("string").alias(f"lo_{c}") for c in stats or []] + [F.max(c).cast("string").alias(f"hi_{c}") for c in stats or []]
         keys = [F.first(F.col(c).cast("string")).alias(f"p_{c}") for c in partition_by or []]
         per_file = read.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).agg(F.count(F.lit(1)).alias("n"), *bounds, *keys)
@@ -206,10 +207,12 @@ class TransactionLog:
     def scan(self, partition: Filter | None = None, data: Filter | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
         """The rows of the live files that the filters leave."""
         paths = [r["path"] for r in list_files(self.actions(), partition, data, kinds).select("path").toLocalIterator()]
-        base = self.root.removesuffix("/_log")
         if not paths:
             raise ValueError("no file is left")
-        return self.spark.read.option("basePath", base).parquet(*paths)
+        return self._read(paths)
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.option("basePath", self.data).parquet(*paths).drop(_BATCH)
 
     def merge(self, paths: list[str]) -> tuple[int, list[str]]:
         """Rewrite files as one version; unreadable ones are skipped and reported."""
@@ -218,20 +221,20 @@ class TransactionLog:
         good, bad = [], []
         for p in paths:
             try:
-                self.spark.read.parquet(p).limit(1).count()
+                self._read([p]).limit(1).count()
                 good.append(p)
             except Exception:
                 bad.append(p)
-        version = self.append(self.spark.read.parquet(*good).coalesce(1))
+        version = self.append(self._read(good).coalesce(1))
         self.remove(good, int(time.time() * 1000))
         return version, bad
 
     def delete_where(self, keep, stats: list[str] | None = None) -> int:
         """Rewrite the live files that hold rows for which ``keep`` is not true."""
         live = [r["path"] for r in replay(self.actions()).select("path").toLocalIterator()]
-        hit = self.spark.read.parquet(*live).filter(~F.coalesce(keep, F.lit(False))).select(F.col("_metadata.file_path").alias("path")).distinct()
+        hit = self._read(live).filter(~F.coalesce(keep, F.lit(False))).select(F.col("_metadata.file_path").alias("path")).distinct()
         paths = [r["path"] for r in hit.toLocalIterator()]
         if not paths:
             return self.current_version()
-        self.append(self.spark.read.parquet(*paths).filter(keep), stats=stats)
+        self.append(self._read(paths).filter(keep), stats=stats)
         return self.remove(paths, int(time.time() * 1000))
