@@ -211,6 +211,11 @@ class TransactionLog:
             raise ValueError("no file is left")
         return self._read(paths)
 
+    def _partitions(self) -> list[str]:
+        """The partition columns of the live files."""
+        row = replay(self.actions()).select(F.map_keys("partitionValues").alias("k")).first()
+        return list(row["k"] or []) if row else []
+
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.option("basePath", self.data).parquet(*paths).drop(_BATCH)
 
@@ -225,7 +230,7 @@ class TransactionLog:
                 good.append(p)
             except Exception:
                 bad.append(p)
-        version = self.append(self._read(good).coalesce(1))
+        version = self.append(self._read(good).coalesce(1), self._partitions())
         self.remove(good, int(time.time() * 1000))
         return version, bad
 
@@ -236,5 +241,5 @@ class TransactionLog:
         paths = [r["path"] for r in hit.toLocalIterator()]
         if not paths:
             return self.current_version()
-        self.append(self._read(paths).filter(keep), stats=stats)
+        self.append(self._read(paths).filter(keep), self._partitions(), stats=stats)
         return self.remove(paths, int(time.time() * 1000))
