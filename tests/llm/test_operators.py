@@ -224,6 +224,13 @@ def test_line_dedup(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}[2] == ("short line" if linked else f"{near}\nshort line")
 
 
+def test_line_dedup_takes_short_lines(spark, tmp_path):
+    rows_ = [(1, "Les.\n\n* * *\n中文行没有空格"), (2, "les\n \n* * *\n中文行没有空格。\n---"), (3, "Les")]
+    spark.createDataFrame(rows_, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["dropped"] for r in queries.op10_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 2, 3], 3: [0]}
+
+
 def test_empty_tables(spark, docs, sf):
     none = docs.limit(0)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
