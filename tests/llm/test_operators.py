@@ -238,6 +238,29 @@ def test_simhash_of_very_long_lines(spark):
     assert [n for n, _ in got] == [11_001, 33_003] and got[0][1] is not None and got[0][1] == got[1][1]
 
 
+def test_line_dedup_recall_by_length(spark):
+    import random
+
+    rng = random.Random(7)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    pairs, lines = collections.defaultdict(list), []
+    for n, letters in ((2, 6), (10, 6), (27, 5), (40, 5), (57, 5), (99, 5)):
+        for _ in range(30):
+            line = [word(letters) for _ in range(n)]
+            other = list(line)
+            at = rng.randrange(n)
+            other[at] = word(letters) if n >= 10 else other[at][:2] + "q" + other[at][3:]
+            x, y = " ".join(line), " ".join(other)
+            if x != y and 100 * edit(x, y) <= 10 * len(x):
+                pairs[n].append(len(lines) // 2)
+            lines += [x, y]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    dropped = {r["doc_id"] for r in line_dedup.dropped_lines(df, min_words=1).filter("n_dropped > 0").collect()}
+    assert all(i % 2 for i in dropped)
+    for n, own in pairs.items():
+        assert len(own) >= 20 and sum(2 * k + 1 in dropped for k in own) >= 0.95 * len(own), n
+
+
 def test_empty_tables(spark, docs, sf):
     none = docs.limit(0)
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
