@@ -60,6 +60,15 @@ def class_table(counts: np.ndarray) -> np.ndarray:
     return np.log((counts + 8 * own / own.sum()) / (counts.sum(axis=1, keepdims=True) + 8)).astype(np.float32)
 
 
+def transitions(vocabulary: Vocabulary, stream: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How often each class follows each in texts of so many tokens, one after another."""
+    classes = vocabulary.class_of[stream].astype(np.int64)
+    inner = np.ones(len(stream), bool)
+    inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
+    after = np.flatnonzero(inner)
+    return np.bincount(classes[after - 1] * CLASSES + classes[after], minlength=CLASSES**2).reshape(CLASSES, CLASSES)
+
+
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
@@ -114,19 +123,31 @@ def score(p: dict[str, np.ndarray], table: np.ndarray, vocabulary: Vocabulary, s
     return out
 
 
-def train(p: dict[str, np.ndarray], table: np.ndarray, inputs: np.ndarray, classes: np.ndarray, targets: np.ndarray, epochs: int = 2, batch: int = 32, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """Adam on windows (rows of WINDOW tokens; targets of -1 do not count), in the given order."""
+def training_windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of so many tokens, one after another: first position and tokens (WINDOW + 1 at most) of windows in which each token but a text's first is a target once."""
+    n = -(-(lengths - 1) // WINDOW)
+    text = np.repeat(np.arange(len(lengths)), n)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    return (np.cumsum(lengths) - lengths)[text] + k * WINDOW, np.minimum(WINDOW + 1, lengths[text] - k * WINDOW)
+
+
+def train(p: dict[str, np.ndarray], table: np.ndarray, vocabulary: Vocabulary, stream: np.ndarray, first: np.ndarray, size: np.ndarray, epochs: int = 2, batch: int = 32, rate: float = 0.01) -> dict[str, np.ndarray]:
+    """Adam on windows of the stream, in the given order."""
+    steps = np.arange(WINDOW + 1)
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
     for _ in range(epochs):
-        for lo in range(0, len(inputs), batch):
-            x, y = inputs[lo : lo + batch], targets[lo : lo + batch].ravel()
+        for lo in range(0, len(first), batch):
+            real = steps < size[lo : lo + batch, None]
+            ids = stream[np.where(real, first[lo : lo + batch, None] + steps, first[lo : lo + batch, None])]
+            x, classes = vocabulary.input_of[ids[:, :-1]], vocabulary.class_of[ids].astype(np.int64)
+            y = np.where(real[:, 1:], classes[:, 1:], -1).ravel()
             flat, q, k, v, a, c, h = _attend(p, x)
             keep = np.flatnonzero(y >= 0)
             if not len(keep):
                 continue
-            logits = h[keep] @ p["U"] + table[classes[lo : lo + batch].ravel()[keep]] + p["b"]
+            logits = h[keep] @ p["U"] + table[classes[:, :-1].ravel()[keep]] + p["b"]
             logits -= logits.max(axis=1, keepdims=True)
             np.exp(logits, out=logits)
             logits /= logits.sum(axis=1, keepdims=True)

@@ -2,8 +2,9 @@
 
 1. Each task counts the distinct words of its documents (its block); the counts meet by word, each distinct word is cut into subword
    ids once, and count and ids go back to the blocks that hold the word.
-2. Every training document gives windows at a constant rate; each task trains a copy of the model on its own, from one
-   start, and the copies are averaged by their numbers of tokens, as are the class tables.
+2. The training documents' subword streams are written once. Each is cut into consecutive windows in which every token and the text's
+   end are a target once; each task trains a copy of the model on its own, from one start, and the copies are averaged by
+   their numbers of tokens, as are the class tables.
 3. Each block is scored with its words' counts and ids: the smoothed unigram base and the model. The model's probability of a word
    is a weighted mean of the attention model's, the product over the word's subwords, and of the smoothed unigram one.
 
@@ -28,8 +29,6 @@ from . import attention_lm as lm
 from .common import materialise, release
 from .shingles import _LOWER, buffers, word_hashes, word_spans
 
-#: One training window for so many words of a document, one at least.
-WORDS_PER_WINDOW = 384
 #: Weight of the unigram part in a word's probability.
 WORD_WEIGHT = 0.7
 _SALTS = 32
@@ -126,43 +125,46 @@ def _join_words(path: str, ids: int):
     return run
 
 
-def _train(path: str, vocabulary: lm.Vocabulary):
-    """Training documents' texts to one row a task: ``weight, model``."""
+def _streams(path: str, end: int):
+    """Training documents' texts to ``tokens, sizes``: subword ids of some texts, each between two ends, and their lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[np.ndarray] = []
         for batch in batches:
-            for _, data, starts, ends, before in _pieces(batch.column(0)):
+            for _, data, starts, stops, before in _pieces(batch.column(0)):
+                _, place, inverse = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
                 raw = data.tobytes()
-                spans, words = [], []
-                for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-                    for k in range(max(1, (b - a) // WORDS_PER_WINDOW)):
-                        at = a + k * WORDS_PER_WINDOW
-                        own = range(at, min(b, at + lm.WINDOW))
-                        spans.append((k == 0, len(own), own.stop >= b))
-                        words += [raw[starts[i] : ends[i]] for i in own]
-                unique = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                found = _encode(path, [w.decode("utf-8", "replace") for w in unique])
-                place = 0
-                for first, size, last in spans:
-                    ids = [i for w in words[place : place + size] for i in found[unique[w]]]
-                    place += size
-                    ids = ([vocabulary.end] if first else []) + ids + ([vocabulary.end] if last else [])
-                    row = np.full(lm.WINDOW + 1, -1, np.int32)
-                    row[: min(len(ids), lm.WINDOW + 1)] = ids[: lm.WINDOW + 1]
-                    rows.append(row)
-        if rows:
-            all_ = np.stack(rows)
-            all_ = all_[np.random.default_rng(len(all_)).permutation(len(all_))]
-            real = all_ >= 0
-            inputs, classes = vocabulary.input_of[all_], vocabulary.class_of[all_].astype(np.int64)
-            both = real[:, :-1] & real[:, 1:]
-            table = np.bincount(classes[:, :-1][both] * lm.CLASSES + classes[:, 1:][both], minlength=lm.CLASSES**2).reshape(lm.CLASSES, -1)
-            targets = np.where(both, classes[:, 1:], -1)
-            model = lm.train(lm.initial(), lm.class_table(table), inputs[:, :-1], classes[:, :-1], targets)
-            weight = int(both.sum())
-            model = {k: v * np.float32(1) for k, v in model.items()} | {"table": table.astype(np.int64)}
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())], names=["weight", "model"])
+                found = _encode(path, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[place].tolist(), stops[place].tolist(), strict=True)])
+                lengths = np.array([len(x) for x in found], np.int64)
+                ids = np.array([i for x in found for i in x], np.uint16)
+                s, row = lengths[inverse], np.repeat(np.arange(len(before) - 1), np.diff(before))
+                sizes = np.bincount(row, s, len(before) - 1).astype(np.int64) + 2
+                stream = np.full(sizes.sum(), end, np.uint16)
+                own = np.arange(s.sum())
+                stream[own + 2 * np.repeat(row, s) + 1] = ids[own + np.repeat((np.cumsum(lengths) - lengths)[inverse] - (np.cumsum(s) - s), s)]
+                yield pa.RecordBatch.from_arrays([pa.array([stream.tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary())], names=["tokens", "sizes"])
+
+    return run
+
+
+def _train(vocabulary: lm.Vocabulary):
+    """Streams to one row a task: ``weight, model``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, lengths = [], []
+        for batch in batches:
+            parts += [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(0)]
+            lengths += [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
+        if parts:
+            table = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
+            for stream, sizes in zip(parts, lengths, strict=True):
+                table += lm.transitions(vocabulary, stream, sizes)
+            stream = np.concatenate(parts)
+            parts.clear()
+            first, size = lm.training_windows(np.concatenate(lengths))
+            order = np.random.default_rng(len(first)).permutation(len(first))
+            model = lm.train(lm.initial(), lm.class_table(table), vocabulary, stream, first[order], size[order])
+            model = {k: v * np.float32(1) for k, v in model.items()} | {"table": table}
+            yield pa.RecordBatch.from_arrays([pa.array([int((size - 1).sum())]), pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())], names=["weight", "model"])
 
     return run
 
@@ -248,7 +250,8 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, ids: int = 50
     use[-1] = ends
     vocabulary = lm.Vocabulary.from_counts(use)
 
-    trained = rows.filter("train").select("text").mapInArrow(_train(tokenizer, vocabulary), "weight long, model binary")
+    streams = materialise(rows.filter("train").select("text").mapInArrow(_streams(tokenizer, vocabulary.end), "tokens binary, sizes binary"), "lm-streams")
+    trained = streams.mapInArrow(_train(vocabulary), "weight long, model binary")
     kind = "weight long, model binary"
     salted = trained.withColumn("salt", F.pmod(F.shiftright(F.monotonically_increasing_id(), 33), F.lit(_SALTS))).groupBy("salt").applyInPandas(_average, kind)
     whole = salted.groupBy(F.lit(0).alias("salt")).applyInPandas(_average, kind).first()

@@ -188,6 +188,27 @@ def test_lm_scoring(spark, sf):
         assert got[i]["score"] < 0
 
 
+def test_training_windows_cover_every_token():
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), 50_257
+    given = [None, "", "one", " ".join(f"Word{k}" for k in range(200)), "a b " * 400]
+    want = collections.Counter()
+    for t in given:
+        ids = [end, *[i for w in words((t or "").translate(LOWER)) for i in lm_scoring._encode(path, [w])[0]], end]
+        want.update(zip(ids, ids[1:], strict=False))
+    got = collections.Counter()
+    for out in lm_scoring._streams(path, end)(iter([pa.RecordBatch.from_arrays([pa.array(given)], names=["text"])])):
+        stream, sizes = np.frombuffer(out.column(0)[0].as_py(), np.uint16), np.frombuffer(out.column(1)[0].as_py(), np.int64)
+        for first, size in zip(*attention_lm.training_windows(sizes), strict=True):
+            assert size <= attention_lm.WINDOW + 1
+            ids = stream[first : first + size].tolist()
+            got.update(zip(ids, ids[1:], strict=False))
+    assert got == want
+
+
 def test_windows_score_each_token_once():
     import numpy as np
 
