@@ -3,8 +3,8 @@
 1. Each task counts the distinct words of its documents (its block); the counts meet by word, each distinct word is cut into subword
    ids once, and count and ids go back to the blocks that hold the word.
 2. The training documents' subword streams are written once. Each is cut into consecutive windows in which every token and the text's
-   end are a target once; each task trains a copy of the model on its own, from one start, and the copies are averaged by
-   their numbers of tokens, as are the class tables.
+   end are a target once. One pass counts the class transitions of all streams; then each task trains a copy of the model on
+   its own, from one start and with that table, and the copies are averaged by their numbers of tokens.
 3. Each block is scored with its words' counts and ids: the smoothed unigram base and the model. The model's probability of a word
    is a weighted mean of the attention model's, the product over the word's subwords, and of the smoothed unigram one.
 
@@ -146,7 +146,29 @@ def _streams(path: str, end: int):
     return run
 
 
-def _train(vocabulary: lm.Vocabulary):
+def _count_classes(vocabulary: lm.Vocabulary):
+    """Streams to one row a task: ``counts``, the class transitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
+        for batch in batches:
+            for tokens, sizes in zip(batch.column(0), batch.column(1), strict=True):
+                table += lm.transitions(vocabulary, np.frombuffer(tokens.as_py(), np.uint16), np.frombuffer(sizes.as_py(), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], names=["counts"])
+
+    return run
+
+
+def class_counts(streams: DataFrame, vocabulary: lm.Vocabulary) -> np.ndarray:
+    """Class transitions of all streams."""
+    table = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
+    counted = materialise(streams.mapInArrow(_count_classes(vocabulary), "counts binary"), "lm-classes")
+    for r in counted.toLocalIterator():  # one row of bounded size a task, one at a time
+        table += np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(table.shape)
+    return table
+
+
+def _train(vocabulary: lm.Vocabulary, table: np.ndarray):
     """Streams to one row a task: ``weight, model``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,15 +177,12 @@ def _train(vocabulary: lm.Vocabulary):
             parts += [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(0)]
             lengths += [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
         if parts:
-            table = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
-            for stream, sizes in zip(parts, lengths, strict=True):
-                table += lm.transitions(vocabulary, stream, sizes)
             stream = np.concatenate(parts)
             parts.clear()
             first, size = lm.training_windows(np.concatenate(lengths))
             order = np.random.default_rng(len(first)).permutation(len(first))
-            model = lm.train(lm.initial(), lm.class_table(table), vocabulary, stream, first[order], size[order])
-            model = {k: v * np.float32(1) for k, v in model.items()} | {"table": table}
+            model = lm.train(lm.initial(), table, vocabulary, stream, first[order], size[order])
+            model = {k: v * np.float32(1) for k, v in model.items()}
             yield pa.RecordBatch.from_arrays([pa.array([int((size - 1).sum())]), pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())], names=["weight", "model"])
 
     return run
@@ -173,7 +192,7 @@ def _average(pdf):
     total, whole = float(pdf["weight"].sum()), None
     for weight, packed in zip(pdf["weight"], pdf["model"], strict=True):
         one = pickle.loads(zlib.decompress(packed))
-        part = {k: v if k == "table" else v * np.float32(weight / total) for k, v in one.items()}
+        part = {k: v * np.float32(weight / total) for k, v in one.items()}
         whole = part if whole is None else {k: whole[k] + part[k] for k in whole}
     return pdf.iloc[:1].assign(weight=int(total), model=[zlib.compress(pickle.dumps(whole), 1)]).drop(columns=[c for c in pdf.columns if c not in ("weight", "model")])
 
@@ -251,15 +270,12 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, ids: int = 50
     vocabulary = lm.Vocabulary.from_counts(use)
 
     streams = materialise(rows.filter("train").select("text").mapInArrow(_streams(tokenizer, vocabulary.end), "tokens binary, sizes binary"), "lm-streams")
-    trained = streams.mapInArrow(_train(vocabulary), "weight long, model binary")
+    table = lm.class_table(class_counts(streams, vocabulary))
+    trained = streams.mapInArrow(_train(vocabulary, table), "weight long, model binary")
     kind = "weight long, model binary"
     salted = trained.withColumn("salt", F.pmod(F.shiftright(F.monotonically_increasing_id(), 33), F.lit(_SALTS))).groupBy("salt").applyInPandas(_average, kind)
     whole = salted.groupBy(F.lit(0).alias("salt")).applyInPandas(_average, kind).first()
-    if whole is None:
-        model, table = lm.initial(), np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
-    else:
-        model = pickle.loads(zlib.decompress(whole["model"]))
-        table = model.pop("table")
+    model = lm.initial() if whole is None else pickle.loads(zlib.decompress(whole["model"]))
     release(docs.sparkSession)
 
     simple = docs.schema[id_col].dataType.simpleString()
@@ -268,6 +284,6 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, ids: int = 50
     from pyspark.sql.types import _parse_datatype_string
 
     out = to_arrow_schema(_parse_datatype_string(schema))
-    run = _score(model, lm.class_table(table), vocabulary, n, v, ends, out)
+    run = _score(model, table, vocabulary, n, v, ends, out)
     blocks = words.filter("block is not null").select("block", "hash", "c", "ids").groupBy("block")
     return rows.groupBy("block").cogroup(blocks).applyInArrow(run, schema).withColumnRenamed("id", id_col)

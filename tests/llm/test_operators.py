@@ -209,6 +209,22 @@ def test_training_windows_cover_every_token():
     assert got == want
 
 
+def test_class_counts_cover_every_token(spark):
+    import numpy as np
+    import public_tokenizers
+
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), 50_257
+    vocabulary = attention_lm.Vocabulary.from_counts(np.arange(end + 1)[::-1])
+    given = [" ".join(f"Word{k}" for k in range(300)), None, "tail of a text"] * 5
+    want = np.zeros((attention_lm.CLASSES,) * 2, np.int64)
+    for t in given:
+        ids = [end, *[i for w in words((t or "").translate(LOWER)) for i in lm_scoring._encode(path, [w])[0]], end]
+        np.add.at(want, (vocabulary.class_of[ids[:-1]], vocabulary.class_of[ids[1:]]), 1)
+    df = spark.createDataFrame([(t,) for t in given], "text string").repartition(3)
+    streams = df.mapInArrow(lm_scoring._streams(path, end), "tokens binary, sizes binary")
+    assert (lm_scoring.class_counts(streams, vocabulary) == want).all()
+
+
 def test_windows_score_each_token_once():
     import numpy as np
 
