@@ -176,6 +176,19 @@ def test_wrapper_is_union_free():
     assert div[html_extraction.CHILDREN][0][html_extraction.REPEATED] and ad[html_extraction.OPTIONAL] and ad[html_extraction.SKIP]
 
 
+def test_html_region_keeps_title_lead_and_other_templates(spark):
+    text = lambda i, n: " ".join(f"word{i}x{k}" for k in range(n))
+    pages = [f"<body><nav>Home</nav><h1>Title {i}</h1><p>Lead {i}</p><div class=text><p>{text(i, 99)}</p><p>{text(i + 50, 99)}</p></div></body>" for i in range(5)]
+    pages.append(f"<body><div class=text><p>small</p></div><div class=story><p>{text(9, 200)}</p></div></body>")
+    pages.append(f"<body><article><p>aside</p></article><div class=rest><p>{text(8, 200)}</p></div></body>")
+    df = spark.createDataFrame([(i, "http://h.example.org/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_articles(df).collect()}
+    for i in range(5):
+        assert got[i] == f"Title {i}\nLead {i}\n{text(i, 99)}\n{text(i + 50, 99)}"
+    assert {html_extraction.extract("<h1>T</h1><div class=t><p>a</p><p>b</p></div>", r) for r in ([], None)} == {"T\na\nb"}
+    assert got[5] == f"small\n{text(9, 200)}" and got[6] == f"aside\n{text(8, 200)}"
+
+
 def test_lm_scoring(spark, sf):
     got = rows(queries.op2_lm_scoring(spark, sf))
     tokens = {i: [*words((t or "").translate(LOWER)), None] for i, t in texts().items()}
