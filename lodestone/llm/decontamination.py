@@ -2,8 +2,8 @@
 
 Items are partitioned by size (powers of two of their shingle count q). An item's sketch is its m smallest MinHash values,
 m = q - ceil(t * q) + 1: a document that contains a share t of the item's shingles holds one of these m at least, so the
-search misses nothing. Each size partition has a ceiling, its largest sketch value; document shingles above all ceilings
-are dropped before the probe, and documents with fewer shingles than t * q before the check. A pair that the sketch finds
+search misses nothing. Each size partition has a ceiling, its largest sketch value, and a least size, its smallest t * q; a document
+probes only with shingles up to the ceilings of the partitions that its own size allows, and documents with fewer shingles than t * q are dropped before the check. A pair that the sketch finds
 is verified on the whole shingle sets.
 
 Only built-in functions run. Sketches go to the documents in blocks of a bounded number of rows, each broadcast; documents
@@ -51,6 +51,18 @@ def sketch(items: DataFrame, n: int, threshold: float, item_id: str, text: str)
     return values
 
 
+def partitions(sketches: DataFrame) -> list[tuple[int, int, int, int]]:
+    """``size_class, need, top, rows`` of each size partition (31 at most): its least size, its ceiling and its sketch rows."""
+    found = sketches.groupBy("size_class").agg(F.min("need").alias("need"), F.max("value").alias("top"), F.count(F.lit(1)).alias("rows"))
+    return sorted(tuple(r) for r in found.collect())
+
+
+def ceiling(size: Column, parts: list[tuple]) -> Column:
+    """The highest ceiling of the partitions that a document of ``size`` shingles can hold items of; null if there is none."""
+    none = F.lit(None).cast("long")
+    return F.greatest(none, none, *[F.when(size >= need, F.lit(top)) for _, need, top, *_ in parts])
+
+
 def find_contained(
     docs: DataFrame,
     items: DataFrame,
@@ -64,11 +76,11 @@ def find_contained(
 ) -> DataFrame:
     """``id, item, n_shared, n_item_shingles, containment`` and the columns of ``keep``: one row a pair, containment >= threshold."""
     sketches = sketch(items, n, threshold, item_id, item_text)
-    counted = sketches.agg(F.count(F.lit(1)).alias("rows"), F.max("value").alias("top")).first()
-    blocks = max(1, -(-counted["rows"] // BLOCK_ROWS))
+    parts = partitions(sketches)
+    blocks = max(1, -(-sum(p[3] for p in parts) // BLOCK_ROWS))
     h = F.filter(shingle_hashes(F.col(text), n), lambda x: F.lit(True))
     base = docs.select(F.col(id_col).alias("_id"), *[F.col(c) for c in keep], h.alias("_h"))
-    low = F.explode(F.array_distinct(F.filter("_h", lambda x: x <= F.lit(counted["top"] if counted["top"] is not None else -(2**63)))))
+    low = F.explode(F.array_distinct(let(ceiling(F.size("_h"), parts), lambda top: F.filter("_h", lambda x: x <= top))))
     probes = base.withColumn("_v", low)
     found = []
     for k in range(blocks):

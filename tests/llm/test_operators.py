@@ -86,6 +86,18 @@ def test_decontamination_in_blocks(spark, sf, monkeypatch):
     assert {tuple(r) for r in queries.op3_decontamination(spark, sf).collect()} == want
 
 
+def test_decontamination_size_partitions(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(k))
+    items = spark.createDataFrame([(k, text(k)) for k in (8, 9, 40, 200)], "item_id int, text string")
+    parts = decontamination.partitions(decontamination.sketch(items, 5, 0.8, "item_id", "text"))
+    assert [p[:2] for p in parts] == [(2, 4), (5, 29), (7, 157)]
+    df = spark.createDataFrame([(n,) for n in (3, 4, 30, 500)], "n int")
+    got = {r["n"]: r["c"] for r in df.select("n", decontamination.ceiling(df["n"], parts).alias("c")).collect()}
+    assert got == {n: max((top for _, need, top, _ in parts if n >= need), default=None) for n in got}
+    docs_ = items.withColumnRenamed("item_id", "doc_id")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_contained(docs_, items).collect()} == {(k, k) for k in (8, 9, 40, 200)}
+
+
 def test_mixing(spark, sf):
     got = rows(queries.op1_entropy_mixing(spark, sf))
     by = collections.defaultdict(list)
