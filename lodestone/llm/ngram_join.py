@@ -192,13 +192,24 @@ def join_block(sets: list[np.ndarray], percent: int, label: np.ndarray) -> list[
 
 
 def _join_blocks(n: int, percent: int):
+    """Nodes of one block, with labels, to ``label, root``: labels that links join to another, which is the anchors' if they have one there, else the least."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node", ignore_index=True)
         values, before = _sets(pa.array(pdf["text"]), n)
         sets = [values[before[k] : before[k + 1]] for k in range(len(pdf))]
-        nodes = pdf["node"].to_numpy()
-        links = join_block(sets, percent, pd.factorize(pdf["label"])[0])
-        return pd.DataFrame({"a": nodes[[x for x, _ in links]], "b": nodes[[y for _, y in links]]}, dtype="int64")
+        which, labels = pd.factorize(pdf["label"])
+        group = np.arange(len(labels))
+        for x, y in join_block(sets, percent, which):
+            group[group == group[which[x]]] = group[which[y]]
+        rank = labels.astype(object)  # exact integers
+        best = dict.fromkeys(which[pdf["anchor"].to_numpy(bool)].tolist())
+        root: dict[int, int] = {}
+        for k in sorted(range(len(labels)), key=lambda k: (k not in best, rank[k])):
+            root.setdefault(int(group[k]), k)
+        to = np.array([root[int(g)] for g in group], np.int64)
+        moved = np.flatnonzero(to != np.arange(len(labels)))
+        return pd.DataFrame({"label": np.asarray(labels)[moved], "root": np.asarray(labels)[to[moved]]}, dtype="int64")
 
     return run
 
@@ -247,70 +258,68 @@ def ngram_links(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     placed = placed.join(shape, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     texts = materialise(placed.join(rows.filter("id is not null"), "id").select("node", "comp", "chunk", "chunks", "n", "text"), "candidates")
     release(docs.sparkSession)
-    run, schema = _join_blocks(n, percent), "a long, b long"
-    links = materialise(
-        texts.select("comp", "chunk", "node", F.col("node").alias("label"), "text").groupBy("comp", "chunk").applyInPandas(run, schema), "links"
-    )
-    release(docs.sparkSession)
+    run, schema = _join_blocks(n, percent), "label long, root long"
+    blocks = texts.select("comp", "chunk", "node", F.col("node").alias("label"), F.lit(False).alias("anchor"), "text")
+    found = materialise(blocks.groupBy("comp", "chunk").applyInPandas(run, schema), "labels")  # blocks hold different nodes: these are their groups
+    label = lambda table: table.join(found.withColumnRenamed("label", "node"), "node", "left").select(table["*"], F.coalesce("root", "node").alias("label"))
+    of_node = label(ids)
     large = texts.filter("chunks > 1")
     if large.limit(1).count():
-        links = links.unionByName(_finish(large, links, pairs, shared.filter(F.col("_g") > SMALL_GROUP), run, schema))
-    roots = connected_components(links)
-    of_node = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = of_node.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_node = of_node.join(least, "root").select("node", "component_id")
+        last = _finish(label(large.select("comp", "chunk", "chunks", "node", "n")), large.select("node", "text"), pairs, shared.filter(F.col("_g") > SMALL_GROUP), run, schema)
+        of_node = of_node.join(last, "label", "left").withColumn("label", F.coalesce("root", "label")).drop("root")
+    of_node = materialise(of_node.select("node", "label", "id"), "groups")
+    least = of_node.groupBy("label").agg(F.min("id").alias("component_id"))
+    of_node = of_node.join(least, "label").select("node", "component_id")
     own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return narrow.join(of_node, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _finish(large: DataFrame, links: DataFrame, pairs: DataFrame, shared: DataFrame, run, schema: str) -> DataFrame:
-    """Links between the blocks of one candidate component."""
-    keyed = large.select("comp", "chunk", "chunks", "node", "n")
-
-    def labelled(found: DataFrame) -> DataFrame:
-        return materialise(keyed.join(connected_components(found), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root"), "labels")
+def _finish(first: DataFrame, words: DataFrame, pairs: DataFrame, shared: DataFrame, run, schema: str) -> DataFrame:
+    """``label, root``: what links between the blocks of one candidate component make of the blocks' labels."""
 
     def main_label(table: DataFrame, by: list[str]) -> DataFrame:
         sizes = table.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_k"))
         return sizes.groupBy(*by).agg(F.max(F.struct("_k", "label")).alias("_top")).select(*by, F.col("_top.label").alias("main"))
 
     # against anchors: members of the first block's main group, and of every block
-    first = labelled(links)
+    first = materialise(first, "labelled")
     core = first.filter("chunk = 0").join(main_label(first.filter("chunk = 0"), ["comp"]), "comp").filter("label = main")
     anchors = core.withColumn("_r", F.row_number().over(Window.partitionBy("comp").orderBy("node"))).filter(F.col("_r") <= ANCHORS)
-    spread = anchors.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1))).select("comp", "block", "node", "label")
-    blocks = spread.unionByName(first.filter("chunk > 0").select("comp", F.col("chunk").alias("block"), "node", "label"))
-    words = large.select("node", "text")
-    more = materialise(blocks.join(words, "node").groupBy("comp", "block").applyInPandas(run, schema), "links")
-    release(large.sparkSession)
+    spread = anchors.withColumn("block", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1))).select("comp", "block", "node", "label", F.lit(True).alias("anchor"))
+    blocks = spread.unionByName(first.filter("chunk > 0").select("comp", F.col("chunk").alias("block"), "node", "label", F.lit(False).alias("anchor")))
+    more = materialise(blocks.join(words, "node").groupBy("comp", "block").applyInPandas(run, schema), "labels")  # a label lies in one block, but for the anchors', which stays
+    second = first.join(more, "label", "left").withColumn("_l", F.coalesce("root", "label")).drop("root", "label").withColumnRenamed("_l", "label")
+    second = materialise(second.select("comp", "chunk", "node", "n", "label"), "labelled")
 
     # pairs of small groups that no block has held together
-    second = labelled(links.unionByName(more))
-    end = second.select("node", "comp", "chunk", "label")
+    end = second.select("node", "chunk", "label")
     sides = [end.select(*[F.col(c).alias(f"{c}_{k}") for c in end.columns]) for k in "ab"]
-    open_ = (
-        pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b")).filter("label_a <> label_b and chunk_a <> chunk_b")
-    )
+    open_ = pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b")).filter("label_a <> label_b and chunk_a <> chunk_b")
     few = F.array(*[F.struct(F.col(f"node_{k}").alias("node"), F.col(f"label_{k}").alias("label")) for k in "ab"])
-    paired = open_.select("a", F.inline(few)).distinct().join(words, "node")
-    third = materialise(paired.groupBy("a").applyInPandas(run, schema), "links")
-    release(large.sparkSession)
+    paired = open_.select("a", F.inline(few)).distinct().join(words, "node").withColumn("anchor", F.lit(False))
+    third = paired.groupBy("a").applyInPandas(run, schema)
 
     # what is still outside the main group, against every block that it meets in a large group
-    second = labelled(links.unionByName(more).unionByName(third))
     grams = shared.select("gram", "node")
-    outside = second.join(main_label(second, ["comp"]), "comp").filter("label <> main").join(grams.select("node").distinct(), "node", "left_semi")
+    crowd = grams.select("node").distinct()
+    outside = second.join(main_label(second, ["comp"]), "comp").filter("label <> main").join(crowd, "node", "left_semi")
     shape = outside.groupBy("comp").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_grams")).select("comp", _chunks(F.col("_k"), F.col("_grams")).alias("_rests"))
     outside = outside.join(shape, "comp").withColumn("rest", F.pmod(F.xxhash64("node"), F.col("_rests")).cast("int"))
+    outside = materialise(outside.select("comp", "rest", "node", "label"), "outside")
     left = outside.select("node", "comp", "rest").join(grams, "node").select("gram", "comp", "rest").distinct()
     right = second.select("node", "comp", "chunk").join(grams, "node").select("gram", "comp", "chunk").distinct()
     meet = materialise(left.join(right, ["gram", "comp"]).select("comp", "rest", "chunk").distinct(), "meets")
-    probes = meet.join(outside.select("comp", "rest", "node", "label"), ["comp", "rest"])
-    members = second.join(grams.select("node").distinct(), "node", "left_semi").select("comp", "chunk", "node", "label")
+    probes = meet.join(outside, ["comp", "rest"])
+    members = second.join(crowd, "node", "left_semi").select("comp", "chunk", "node", "label")
     targets = meet.join(members, ["comp", "chunk"])
-    blocks = probes.unionByName(targets.select(*probes.columns)).select("comp", "rest", "chunk", "node", "label")
+    blocks = probes.unionByName(targets.select(*probes.columns)).select("comp", "rest", "chunk", "node", "label", F.lit(False).alias("anchor"))
     last = blocks.join(words, "node").groupBy("comp", "rest", "chunk").applyInPandas(run, schema)
-    return more.unionByName(third).unionByName(materialise(last, "links"))
+
+    links = third.unionByName(last).select(F.col("label").alias("a"), F.col("root").alias("b"))
+    roots = materialise(connected_components(links).withColumnRenamed("node", "label"), "roots")
+    moved = more.join(roots.select(F.col("label").alias("root"), F.col("root").alias("_to")), "root", "left")
+    of_more = moved.select("label", F.coalesce("_to", "root").alias("root"))
+    return of_more.unionByName(roots.join(of_more, "label", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
