@@ -1,9 +1,12 @@
-"""A small causal self-attention language model over classes of subword ids, in numpy.
-
-p(next id) = p(class of next id | context) * p(id | class). The frequent ids are classes of their own, the others share
-classes by frequency, in which the corpus counts decide. The class logits are the sum of a table by the current class, from
-counts, and of one attention layer with a residual. Contexts are windows that overlap: each token is scored once, by the
-window in which it has at least WINDOW - STRIDE tokens before it (or all there are).
+"""A small causal self-attention language model over words given as subword ids, in numpy.
+
+p(word | context) = p(class of the word | context) * p(word | class). A word comes in as the mean of its subword ids' vectors; one
+attention head looks back over the words of the window, and what it gathers, with the last word itself, gives the class logits.
+Frequent words are classes of their own; all others are classed by topic, which their subword ids tell, and by whether they are rare. The vectors
+come from counts: topics are groups of frequent words that stand near each other, and a subword id's vector tells how much more often than
+expected it lies in a window of each topic. Queries, keys, positions and logits are trained by gradients summed over documents, which do
+not depend on how those are dealt out. Contexts are windows that overlap: each token is scored once, by the window in which it has
+at least WINDOW - STRIDE tokens before it (or all there are).
 """
 
 from __future__ import annotations
@@ -12,168 +15,167 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Tokens of a window, tokens that each further window scores, width, classes, classes of frequent ids, ids with an embedding of their own.
-WINDOW, STRIDE, WIDTH, CLASSES, HEAD, EMBEDDED = 64, 48, 16, 128, 112, 1024
+#: Tokens of a window, tokens that each further window scores, topics, frequent words that tell topics, those of them that are classes of their own.
+WINDOW, STRIDE, TOPICS, FREQUENT, OWN = 32, 24, 8, 111, 47
+#: Classes: frequent words, the text's end, and two for each topic; words counted up to RARE times are in the second.
+END, CLASSES, RARE = OWN, OWN + 1 + 2 * TOPICS, 3
+#: Width of a word's vector: its topics, and fixed random numbers for its class.
+WIDTH = 16
 _BATCH = 128
+_F = np.float32
+_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, _F), 1)
+Parameters = dict[str, np.ndarray]
+
+
+def topics(together: np.ndarray) -> np.ndarray:
+    """The topic of each frequent word, from how often each two stand in one window: spherical k-means over their positive mutual information."""
+    co = together.astype(float).copy()
+    np.fill_diagonal(co, 0)
+    total, own = max(co.sum(), 1.0), co.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rows = np.nan_to_num(np.maximum(np.log((co + 1) * total / np.outer(own, own)), 0), posinf=0.0)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True) + 1e-12
+    centres = rows[:1]
+    for _ in range(min(TOPICS, len(rows)) - 1):
+        centres = np.vstack([centres, rows[(rows @ centres.T).max(axis=1).argmin()]])
+    group = np.zeros(len(rows), np.int64)
+    for _ in range(30):
+        group = (rows @ centres.T).argmax(axis=1)
+        centres = np.array([rows[group == k].mean(axis=0) if (group == k).any() else c for k, c in enumerate(centres)])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True) + 1e-12
+    return group
+
+
+def profiles(counts: np.ndarray) -> np.ndarray:
+    """``counts`` of each subword id in windows of each topic to its vector: logarithms of how much more often than expected, smoothed."""
+    share = (counts.sum(axis=0) + 1.0) / (counts.sum() + counts.shape[1])
+    return np.log((counts + 5 * share) / (counts.sum(axis=1, keepdims=True) + 5) / share).astype(_F)
 
 
 @dataclass(frozen=True)
-class Vocabulary:
-    """Ids 0..n-1; the last is the text's end, which also begins each text."""
-
-    class_of: np.ndarray
-    input_of: np.ndarray
-    log_within: np.ndarray
-
-    @property
-    def end(self) -> int:
-        return len(self.class_of) - 1
-
-    @staticmethod
-    def from_counts(counts: np.ndarray) -> Vocabulary:
-        order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(counts), np.int64)
-        rank[order] = np.arange(len(counts))
-        class_of = rank.copy()
-        tail = order[HEAD:]
-        mass = np.cumsum(counts[tail] + 1.0)
-        class_of[tail] = HEAD + np.minimum(CLASSES - HEAD - 1, (mass - 1) * (CLASSES - HEAD) // mass[-1]).astype(np.int64)
-        smooth = np.where(rank < HEAD, counts, 0) + 1.0
-        smooth[tail] = counts[tail] + 1.0
-        total = np.bincount(class_of, smooth, CLASSES)
-        return Vocabulary(class_of.astype(np.int16), np.minimum(rank, EMBEDDED - 1).astype(np.int16), np.log(smooth / total[class_of]).astype(np.float32))
-
-
-def initial(seed: int = 0) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    draw = lambda *shape, by=1.0: (rng.standard_normal(shape) * by).astype(np.float32)
-    d = WIDTH
-    return {
-        "E": draw(EMBEDDED, d, by=0.5), "P": draw(WINDOW, d, by=0.1), "Q": draw(d, d, by=d**-0.5), "K": draw(d, d, by=d**-0.5), "V": draw(d, d, by=d**-0.5),
-        "O": draw(d, d, by=d**-0.5), "U": draw(d, CLASSES, by=0.05), "b": np.zeros(CLASSES, np.float32),
-    }
+class Words:
+    """How words are seen: ``profile`` of each subword id, and the vectors that classes add."""
 
+    profile: np.ndarray
 
-def class_table(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities of the next class by the current one, smoothed by the classes' own."""
-    own = counts.sum(axis=0) + 1.0
-    return np.log((counts + 8 * own / own.sum()) / (counts.sum(axis=1, keepdims=True) + 8)).astype(np.float32)
+    def look(self, ids: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and vector of each word, of ``sizes`` subword ids; ``frequent`` is its rank among the frequent words or -1, ``c`` its count."""
+        mean = np.zeros((len(sizes), TOPICS), _F)
+        has = np.flatnonzero(sizes)
+        if len(has):
+            mean[has] = np.add.reduceat(self.profile[ids], (np.cumsum(sizes) - sizes)[has]) / sizes[has, None]
+        classes = np.where((frequent >= 0) & (frequent < OWN), frequent, OWN + 1 + 2 * mean.argmax(axis=1) + (c <= RARE))
+        return classes, np.hstack([np.clip(mean, -3, 3), _DRAWN[classes]])
 
 
-def transitions(vocabulary: Vocabulary, stream: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """How often each class follows each in texts of so many tokens, one after another."""
-    classes = vocabulary.class_of[stream].astype(np.int64)
-    inner = np.ones(len(stream), bool)
-    inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
-    after = np.flatnonzero(inner)
-    return np.bincount(classes[after - 1] * CLASSES + classes[after], minlength=CLASSES**2).reshape(CLASSES, CLASSES)
+_DRAWN = (np.random.default_rng(0).standard_normal((CLASSES, WIDTH - TOPICS)) * 0.5).astype(_F)
+#: The vector of a text's end, which also stands before its first word.
+END_VECTOR = np.concatenate([np.zeros(TOPICS, _F), _DRAWN[END]])
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+def initial(class_tokens: np.ndarray, seed: int = 0) -> Parameters:
+    """Attention that is nearly even, and logits that are the classes' own."""
+    rng = np.random.default_rng(seed)
+    draw = lambda *shape, by: (rng.standard_normal(shape) * by).astype(_F)
+    own = np.log((class_tokens + 0.5) / (class_tokens.sum() + 0.5 * CLASSES)).astype(_F)
+    return {"Q": draw(WIDTH, WIDTH, by=0.1), "K": draw(WIDTH, WIDTH, by=0.1), "P": draw(WINDOW, WIDTH, by=0.02), "U": np.zeros((2 * WIDTH, CLASSES), _F), "b": own}
 
 
-def _attend(p: dict[str, np.ndarray], inputs: np.ndarray):
-    n, w = inputs.shape
-    x = p["E"][inputs] + p["P"][:w]
-    flat = x.reshape(-1, WIDTH)
-    q, k, v = ((flat @ p[m]).reshape(n, w, WIDTH) for m in "QKV")
-    a = np.matmul(q * np.float32(WIDTH**-0.5), k.transpose(0, 2, 1))
+def _attend(p: Parameters, x: np.ndarray):
+    n, w, d = x.shape
+    placed = (x + p["P"][:w]).reshape(-1, d)
+    q, k = (placed @ (p["Q"] * _F(d**-0.5))).reshape(n, w, d), (placed @ p["K"]).reshape(n, w, d)
+    a = np.matmul(q, k.transpose(0, 2, 1))
     a += _MASK[:w, :w]
     a -= a.max(axis=-1, keepdims=True)
     np.exp(a, out=a)
     a /= a.sum(axis=-1, keepdims=True)
-    c = np.matmul(a, v)
-    return flat, q, k, v, a, c, flat + c.reshape(-1, WIDTH) @ p["O"]
+    seen = np.concatenate([np.matmul(a, x).reshape(-1, d), x.reshape(-1, d)], axis=1)
+    return placed, q, k, a, seen
+
+
+def _logs(p: Parameters, seen: np.ndarray) -> np.ndarray:
+    """Log probability of each class."""
+    logits = seen @ p["U"]
+    logits += p["b"]
+    logits -= logits.max(axis=1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
 
 
-def _windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For texts of so many tokens: the text, first position and first scored place of each window."""
-    n = np.maximum(1, -(-(lengths - (WINDOW - STRIDE)) // STRIDE))
+def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For texts of so many tokens: the text, first position and first counted place of each window; each token counts in one window."""
+    n = np.maximum(1, -(-(lengths - (WINDOW - stride)) // stride))
     text = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return text, k * STRIDE, np.where(k == 0, 0, WINDOW - STRIDE)
-
-
-def score(p: dict[str, np.ndarray], table: np.ndarray, vocabulary: Vocabulary, stream: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each token; text i is stream[offsets[i]:offsets[i + 1]], its end included."""
-    lengths = np.diff(offsets)
-    out = np.zeros(len(stream))
-    text, first, place = _windows(lengths)
-    before = np.concatenate([[vocabulary.end], stream[:-1]])
-    before[offsets[:-1]] = vocabulary.end
-    inputs, classes, target = vocabulary.input_of[before], vocabulary.class_of[before], vocabulary.class_of[stream]
-    within = vocabulary.log_within[stream]
+    return text, k * stride, np.where(k == 0, 0, WINDOW - stride)
+
+
+def _batches(vectors: np.ndarray, lengths: np.ndarray, stride: int, batch: int):
+    """Vectors before each token of some windows, and the tokens that count: their places among the windows' and in the stream.
+
+    ``vectors`` are those of the texts' tokens, one text after another, each with its end.
+    """
+    offsets = np.cumsum(lengths) - lengths
+    text, first, place = windows(lengths, stride)
     steps = np.arange(WINDOW)
-    for lo in range(0, len(text), _BATCH):
-        t = text[lo : lo + _BATCH]
-        at = offsets[t][:, None] + first[lo : lo + _BATCH, None] + steps
-        real = at < offsets[t + 1][:, None]
-        at = np.where(real, at, offsets[t][:, None])
-        h = _attend(p, inputs[at])[-1]
-        scored = real & (steps >= place[lo : lo + _BATCH, None])
-        flat = np.flatnonzero(scored.ravel())
-        own = at.ravel()[flat]
-        logits = h[flat] @ p["U"]
-        logits += table[classes[own]]
-        logits += p["b"]
-        logits -= logits.max(axis=1, keepdims=True)
-        aim = logits[np.arange(len(own)), target[own]]
-        np.exp(logits, out=logits)
-        out[own] = aim - np.log(logits.sum(axis=1)) + within[own]
+    for lo in range(0, len(text), batch):
+        t, start = text[lo : lo + batch, None], first[lo : lo + batch, None]
+        inside = start + steps
+        real = inside < lengths[t]
+        before = np.where(real & (inside > 0), offsets[t] + inside - 1, len(vectors) - 1)  # the stream's last token is an end
+        counted = np.flatnonzero((real & (steps >= place[lo : lo + batch, None])).ravel())
+        yield vectors[before], counted, (offsets[t] + inside).ravel()[counted]
+
+
+def score(p: Parameters, vectors: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Natural log probability of each token's class, given what is before it in its text."""
+    out = np.zeros(len(classes))
+    for x, counted, at in _batches(vectors, lengths, STRIDE, _BATCH):
+        seen = _attend(p, x)[-1]
+        logs = _logs(p, seen[counted] if len(counted) < len(seen) else seen)
+        out[at] = logs[np.arange(len(at)), classes[at]]
     return out
 
 
-def training_windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For texts of so many tokens, one after another: first position and tokens (WINDOW + 1 at most) of windows in which each token but a text's first is a target once."""
-    n = -(-(lengths - 1) // WINDOW)
-    text = np.repeat(np.arange(len(lengths)), n)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    return (np.cumsum(lengths) - lengths)[text] + k * WINDOW, np.minimum(WINDOW + 1, lengths[text] - k * WINDOW)
-
-
-def train(p: dict[str, np.ndarray], table: np.ndarray, vocabulary: Vocabulary, stream: np.ndarray, first: np.ndarray, size: np.ndarray, epochs: int = 2, batch: int = 32, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """Adam on windows of the stream, in the given order."""
-    steps = np.arange(WINDOW + 1)
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    step = 0
-    for _ in range(epochs):
-        for lo in range(0, len(first), batch):
-            real = steps < size[lo : lo + batch, None]
-            ids = stream[np.where(real, first[lo : lo + batch, None] + steps, first[lo : lo + batch, None])]
-            x, classes = vocabulary.input_of[ids[:, :-1]], vocabulary.class_of[ids].astype(np.int64)
-            y = np.where(real[:, 1:], classes[:, 1:], -1).ravel()
-            flat, q, k, v, a, c, h = _attend(p, x)
-            keep = np.flatnonzero(y >= 0)
-            if not len(keep):
-                continue
-            logits = h[keep] @ p["U"] + table[classes[:, :-1].ravel()[keep]] + p["b"]
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
-            logits[np.arange(len(keep)), y[keep]] -= 1
-            logits /= len(keep)
-            g = {"U": h[keep].T @ logits, "b": logits.sum(axis=0)}
-            dh = np.zeros_like(h)
-            dh[keep] = logits @ p["U"].T
-            g["O"] = c.reshape(-1, WIDTH).T @ dh
-            dc = (dh @ p["O"].T).reshape(c.shape)
-            da, dv = np.matmul(dc, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dc)
-            da = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-            dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-            dx = dh
-            for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-                d = d.reshape(-1, WIDTH)
-                g[name] = flat.T @ d
-                dx = dx + d @ p[name].T
-            dx = dx.reshape(x.shape[0], x.shape[1], WIDTH)
-            g["P"] = np.zeros_like(p["P"])
-            g["P"][: x.shape[1]] = dx.sum(axis=0)
-            g["E"] = np.zeros_like(p["E"])
-            np.add.at(g["E"], x.ravel(), dx.reshape(-1, WIDTH))
-            step += 1
-            for name in p:
-                m[name] += 0.1 * (g[name] - m[name])
-                s[name] += 0.01 * (g[name] ** 2 - s[name])
-                p[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return p
+def gradient(p: Parameters, vectors: np.ndarray, classes: np.ndarray, lengths: np.ndarray) -> tuple[Parameters, float]:
+    """Sum over the tokens of the gradient of their negative log probability, and that sum itself; windows do not overlap here."""
+    total = {k: np.zeros(v.shape) for k, v in p.items()}
+    loss = 0.0
+    for x, counted, at in _batches(vectors, lengths, WINDOW, _BATCH):
+        n, w, d = x.shape
+        placed, q, k, a, seen = _attend(p, x)
+        used = seen[counted]
+        logs, rows, aim = _logs(p, used), np.arange(len(at)), classes[at]
+        loss -= float(logs[rows, aim].sum())
+        np.exp(logs, out=logs)
+        logs[rows, aim] -= 1
+        total["U"] += used.T @ logs
+        total["b"] += logs.sum(axis=0)
+        back = np.zeros((n * w, d), _F)
+        back[counted] = logs @ p["U"][:d].T
+        da = np.matmul(back.reshape(n, w, d), x.transpose(0, 2, 1))
+        da -= (da * a).sum(axis=-1, keepdims=True)
+        da *= a
+        dq, dk = np.matmul(da, k).reshape(-1, d), np.matmul(da.transpose(0, 2, 1), q).reshape(-1, d)
+        scale = _F(d**-0.5)
+        total["Q"] += placed.T @ dq * scale
+        total["K"] += placed.T @ dk
+        total["P"][:w] += (dq @ (p["Q"].T * scale) + dk @ p["K"].T).reshape(n, w, d).sum(axis=0)
+    return total, loss
+
+
+class Adam:
+    """Steps along mean gradients."""
+
+    def __init__(self, rate: float) -> None:
+        self.rate, self.step, self.mean, self.square = rate, 0, {}, {}
+
+    def __call__(self, p: Parameters, g: Parameters) -> Parameters:
+        self.step += 1
+        out = {}
+        for name, value in p.items():
+            m = self.mean[name] = 0.8 * self.mean.get(name, 0.0) + 0.2 * g[name]
+            s = self.square[name] = 0.95 * self.square.get(name, 0.0) + 0.05 * g[name] ** 2
+            out[name] = (value - self.rate * (m / (1 - 0.8**self.step)) / (np.sqrt(s / (1 - 0.95**self.step)) + 1e-8)).astype(_F)
+        return out

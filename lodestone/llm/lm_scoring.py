@@ -1,12 +1,13 @@
 """LM scoring: a causal self-attention model over subword ids, trained and applied where the documents lie.
 
-1. Each task counts the distinct words of its documents (its block); the counts meet by word, each distinct word is cut into subword
-   ids once, and count and ids go back to the blocks that hold the word.
-2. The training documents' subword streams are written once. Each is cut into consecutive windows in which every token and the text's
-   end are a target once. One pass counts the class transitions of all streams; then each task trains a copy of the model on
-   its own, from one start and with that table, and the copies are averaged by their numbers of tokens.
-3. Each block is scored with its words' counts and ids: the smoothed unigram base and the model. The model's probability of a word
-   is a weighted mean of the attention model's, the product over the word's subwords, and of the smoothed unigram one.
+1. Texts are read once. Blocks of bounded size leave their distinct words and, for each document, the words' places among these; nothing
+   later depends on the order of the input. The counts meet by word, each distinct word is cut into subword ids once, and count and
+   ids go back to the blocks that hold the word, which are written as chunks of documents of one training slice.
+2. Counts over all training documents give the model's fixed parts: which words are frequent, which of them stand near each other
+   (topics), how subword ids lie among topics, and the words of each class.
+3. Every training document lies in one of ROUNDS slices, by its id. A round sums the gradient over its slice, all tasks from the same
+   parameters, and takes one step: dealing the documents out in another way gives the same model, up to rounding.
+4. Each chunk is scored: the smoothed unigram base, and the model's own probability of every token.
 
 Defined results: null and blank texts are their end alone; documents without an id are never held out; repeated rows count and
 are scored each; without training documents all counts are 0; an empty table gives an empty one.
@@ -17,22 +18,25 @@ from __future__ import annotations
 import os
 import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from . import attention_lm as lm
-from .common import materialise, release
+from .common import discard, materialise, release
 from .shingles import _LOWER, buffers, word_hashes, word_spans
 
-#: Weight of the unigram part in a word's probability.
-WORD_WEIGHT = 0.7
-_SALTS = 32
-_END = -1  # stands for the text's end among the words' hashes
+#: Rounds of training and the rate of their steps.
+ROUNDS, RATE = 12, 0.1
+#: Bytes of text in a block, tokens that a task holds as vectors at once, words in which frequent words stand together.
+BLOCK_BYTES, PIECE_TOKENS, NEAR = 16 << 20, 200_000, 64
+_FAN_IN = 64
 _TOKENIZER: dict[str, object] = {}
 
 
@@ -50,66 +54,78 @@ def _encode(path: str, words: list[str]) -> list[list[int]]:
     return [e.ids for e in _tokenizer(path).encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
 
 
-def _pieces(column: pa.Array, rows: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row, lower-case bytes, starts and ends of the words, words before each row, for a few rows at a time."""
-    for lo in range(0, len(column), rows):
-        data, offsets = buffers(column.slice(lo, rows))
-        starts, ends, before = word_spans(data, offsets)
-        yield lo, _LOWER[data], starts, ends, before
+def _packed(values: np.ndarray) -> pa.Array:
+    return pa.array([values.tobytes()], pa.binary())
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``block, text, train`` to ``hash, block, word, k``: distinct words of each block in the task, with their training occurrences."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray, list[bytes]]]] = {}
-    schema = pa.schema([("hash", pa.int64()), ("block", pa.int64()), ("word", pa.binary()), ("k", pa.int64())])
+def _blocks(texts: pa.Array) -> Iterator[slice]:
+    """Runs of rows of BLOCK_BYTES at most, or of one row."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), np.int64)
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        done = ends[low] - sizes[low]
+        high = max(low + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, "right")))
+        yield slice(low, high)
+        low = high
 
-    def folded(parts):
-        hashes = np.concatenate([p[0] for p in parts])
-        counts = np.concatenate([p[1] for p in parts])
-        words = [w for p in parts for w in p[2]]
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        return unique, np.bincount(inverse, counts, len(unique)).astype(np.int64), [words[i] for i in first]
 
-    for batch in batches:
-        blocks = np.asarray(batch.column(0))
-        for lo, data, starts, ends, before in _pieces(batch.column(1)):
-            hashes = word_hashes(data, starts, ends).view(np.int64)
-            train = np.repeat(np.asarray(batch.column(2).slice(lo, len(before) - 1)).astype(np.int64), np.diff(before))
-            unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            parts = held.setdefault(int(blocks[lo]), [])  # a task reads one block
-            parts.append((unique, np.bincount(inverse, train, len(unique)), words))
-            if len(parts) >= 16:
-                parts[:] = [folded(parts)]
-    for block, parts in held.items():
-        unique, counts, words = folded(parts)
-        for lo in range(0, len(unique), 100_000):
-            hi = lo + 100_000
-            yield pa.RecordBatch.from_arrays([pa.array(unique[lo:hi]), pa.array(np.full(len(unique[lo:hi]), block)), pa.array(words[lo:hi], pa.binary()), pa.array(counts[lo:hi])], schema=schema)
-
-
-def _join_words(path: str, ids: int):
-    """Sorted by hash: ``hash, block, word, k`` to ``block, hash, c, ids``; and one row of statistics a task (block null)."""
-    schema = pa.schema([("block", pa.int64()), ("hash", pa.int64()), ("c", pa.int64()), ("ids", pa.binary())])
+_WORD = (("hash", pa.int64()), ("local", pa.int32()), ("word", pa.binary()), ("k", pa.int64()))
+
+
+def _read(schema: pa.Schema):
+    """``id, text, slice, task`` to one row a block, ``block, ids, slices, lengths, places``, and one for each of its distinct words, ``block, hash, local, word, k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = np.zeros(ids + 1, np.int64)
-        n = v = 0
-        rest: pa.Table | None = None
+        block = 0
+        for batch in batches:
+            for at in _blocks(batch.column(1)):
+                part = batch.slice(at.start, at.stop - at.start)
+                slices = np.asarray(part.column(2)).astype(np.int8)
+                data, offsets = buffers(part.column(1))
+                starts, ends, before = word_spans(data, offsets)
+                lower = _LOWER[data]
+                lengths = np.diff(before)
+                unique, first, place = np.unique(word_hashes(lower, starts, ends).view(np.int64), return_index=True, return_inverse=True)
+                k = np.bincount(place, np.repeat(slices >= 0, lengths), len(unique)).astype(np.int64)
+                number = (int(part.column(3)[0].as_py()) << 32) + block
+                block += 1
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                row = {"block": pa.array([number]), "ids": ids, "slices": _packed(slices), "lengths": _packed(lengths.astype(np.int64)), "places": _packed(place.astype(np.uint32))}
+                yield _row(row, 1, schema)
+                raw = lower.tobytes()
+                for lo in range(0, len(unique), 50_000):
+                    own = slice(lo, lo + 50_000)
+                    words = pa.array([raw[a:b] for a, b in zip(starts[first[own]].tolist(), ends[first[own]].tolist(), strict=True)], pa.binary())
+                    n = len(words)
+                    yield _row({"block": pa.array(np.full(n, number)), "hash": pa.array(unique[own]), "local": pa.array(np.arange(lo, lo + n, dtype=np.int32)), "word": words, "k": pa.array(k[own])}, n, schema)
+
+    return run
+
+
+def _row(columns: dict[str, pa.Array], n: int, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
 
-        def emit(rows: pa.Table) -> pa.RecordBatch:
-            nonlocal n, v
-            hashes, counts = rows["hash"].to_numpy(), rows["k"].to_numpy()
-            unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            c = np.bincount(inverse, counts, len(unique)).astype(np.int64)
-            found = _encode(path, [w.as_py().decode("utf-8", "replace") for w in rows["word"].take(pa.array(first))])
-            sizes = np.array([len(x) for x in found])
-            np.add.at(use, np.array([i for x in found for i in x], np.int64), np.repeat(c, sizes))
-            n, v = n + int(c.sum()), v + int((c > 0).sum())
-            packed = pa.array([np.array(x, np.uint16).tobytes() for x in found], pa.binary()).take(pa.array(inverse))
-            return pa.RecordBatch.from_arrays([rows["block"].combine_chunks(), rows["hash"].combine_chunks(), pa.array(c[inverse]), packed], schema=schema)
+def _join_words(path: str, kind: type):
+    """Sorted by hash: ``hash, block, local, word, k`` to ``block, local, hash, c, ids, first``; first marks one row of each word."""
+    schema = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("hash", pa.int64()), ("c", pa.int64()), ("ids", pa.binary()), ("first", pa.bool_())])
 
+    def emit(rows: pa.Table) -> pa.RecordBatch:
+        hashes, counts = rows["hash"].to_numpy(), rows["k"].to_numpy()
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        c = np.bincount(inverse, counts, len(unique)).astype(np.int64)
+        found = _encode(path, [w.as_py().decode("utf-8", "replace") for w in rows["word"].take(pa.array(first))])
+        sizes = np.array([len(x) for x in found], np.int64)
+        flat = np.array([i for x in found for i in x], kind)
+        offsets = np.concatenate([[0], np.cumsum(sizes)]) * flat.itemsize
+        ids = pa.Array.from_buffers(pa.binary(), len(unique), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+        marks = np.zeros(len(hashes), bool)
+        marks[first] = True
+        columns = [rows["block"].combine_chunks(), rows["local"].combine_chunks(), rows["hash"].combine_chunks(), pa.array(c[inverse]), ids.take(pa.array(inverse)), pa.array(marks)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
@@ -120,126 +136,218 @@ def _join_words(path: str, ids: int):
             rest = table.slice(cut)
         if rest is not None and len(rest):
             yield emit(rest)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([v]), pa.array([n]), pa.array([zlib.compress(use.tobytes(), 1)], pa.binary())], schema=schema)
 
     return run
 
 
-def _streams(path: str, end: int):
-    """Training documents' texts to ``tokens, sizes``: subword ids of some texts, each between two ends, and their lengths."""
+_CHUNK = ("lengths", "places", "c", "sizes", "word_ids", "frequent")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, data, starts, stops, before in _pieces(batch.column(0)):
-                _, place, inverse = np.unique(word_hashes(data, starts, stops), return_index=True, return_inverse=True)
-                raw = data.tobytes()
-                found = _encode(path, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[place].tolist(), stops[place].tolist(), strict=True)])
-                lengths = np.array([len(x) for x in found], np.int64)
-                ids = np.array([i for x in found for i in x], np.uint16)
-                s, row = lengths[inverse], np.repeat(np.arange(len(before) - 1), np.diff(before))
-                sizes = np.bincount(row, s, len(before) - 1).astype(np.int64) + 2
-                stream = np.full(sizes.sum(), end, np.uint16)
-                own = np.arange(s.sum())
-                stream[own + 2 * np.repeat(row, s) + 1] = ids[own + np.repeat((np.cumsum(lengths) - lengths)[inverse] - (np.cumsum(s) - s), s)]
-                yield pa.RecordBatch.from_arrays([pa.array([stream.tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary())], names=["tokens", "sizes"])
+
+def _chunks(frequent: np.ndarray, kind: type, schema: pa.Schema):
+    """A block and its words to a row for each training slice of its documents."""
+    order = np.argsort(frequent)
+    hashes = frequent[order]
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        out = []
+        words = words.combine_chunks()
+        by = np.argsort(words["local"].to_numpy()) if len(words) else np.zeros(0, np.int64)
+        h, c = (words[n].to_numpy()[by] if len(words) else np.zeros(0, np.int64) for n in ("hash", "c"))
+        ids = words["ids"].combine_chunks().take(pa.array(by)) if len(words) else pa.array([], pa.binary())
+        sizes = np.asarray(pa.compute.binary_length(ids), np.int64) // np.dtype(kind).itemsize
+        flat, starts = np.frombuffer(b"".join(ids.to_pylist()), kind), np.cumsum(sizes) - sizes
+        rank = np.full(len(h), -1, np.int16)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            rank = np.where(hashes[at] == h, order[at], -1).astype(np.int16)
+        for row in docs.to_batches():
+            for k in range(row.num_rows):
+                slices, lengths, places = (np.frombuffer(row[n][k].as_py(), t) for n, t in (("slices", np.int8), ("lengths", np.int64), ("places", np.uint32)))
+                of_slice = np.repeat(slices, lengths)
+                for s in np.unique(slices):
+                    mine = np.flatnonzero(slices == s)
+                    used, place = np.unique(places[of_slice == s], return_inverse=True)
+                    n = sizes[used]
+                    own = flat[np.repeat(starts[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+                    data = dict(zip(_CHUNK, (lengths[mine], place.astype(np.uint32), c[used], n.astype(np.uint32), own, rank[used]), strict=True))
+                    ids_of = pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), row["ids"][k].values.take(pa.array(mine)))
+                    out.append(_row({"slice": pa.array([int(s)], pa.int32()), "ids": ids_of} | {n: _packed(v) for n, v in data.items()}, 1, schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
 
-def _count_classes(vocabulary: lm.Vocabulary):
-    """Streams to one row a task: ``counts``, the class transitions."""
+class Chunk:
+    """Documents of one slice: the words' counts and subword ids, and each document's words by place."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int, kind: type) -> None:
+        get = lambda name, t: np.frombuffer(batch[name][k].as_py(), t)
+        self.lengths, self.places, self.c, self.sizes = get("lengths", np.int64), get("places", np.uint32), get("c", np.int64), get("sizes", np.uint32).astype(np.int64)
+        self.ids, self.frequent = get("word_ids", kind), get("frequent", np.int16).astype(np.int64)
+
+    def pieces(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Documents, their lengths with ends, and the words of their tokens; an end is one past the last word."""
+        with_end = self.lengths + 1
+        ends, low = np.cumsum(with_end), 0
+        while low < len(with_end):
+            done = ends[low] - with_end[low]
+            high = max(low + 1, int(np.searchsorted(ends, done + PIECE_TOKENS, "right")))
+            own = with_end[low:high]
+            stream = np.full(own.sum(), len(self.c), np.int64)
+            inner = np.ones(len(stream), bool)
+            inner[np.cumsum(own) - 1] = False
+            stream[inner] = self.places[done - low : done - low + inner.sum()]
+            yield slice(low, high), own, stream
+            low = high
+
+
+def _each(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[pa.RecordBatch, int, Chunk]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch, k, Chunk(batch, k, kind)
+
+
+def _summed(parts: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]], table: DataFrame) -> dict[str, np.ndarray] | None:
+    """Sum of what ``parts`` makes of each task's rows, by a tree of groups of _FAN_IN; the driver takes its last level, one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
-        for batch in batches:
-            for tokens, sizes in zip(batch.column(0), batch.column(1), strict=True):
-                table += lm.transitions(vocabulary, np.frombuffer(tokens.as_py(), np.uint16), np.frombuffer(sizes.as_py(), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(table.tobytes(), 1)], pa.binary())], names=["counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(parts(batches)), 1)], pa.binary())], names=["part"])
+
+    def add(pdf):
+        whole: dict[str, np.ndarray] | None = None
+        for packed in pdf["part"]:
+            one = pickle.loads(zlib.decompress(packed))
+            whole = one if whole is None else {k: whole[k] + v for k, v in one.items()}
+        return pdf.iloc[:1].assign(part=[zlib.compress(pickle.dumps(whole), 1)])[["k", "part"]]
+
+    level = table.mapInArrow(run, "part binary").withColumn("k", F.shiftright(F.spark_partition_id(), 6)).select("k", "part")
+    level = level.groupBy("k").applyInPandas(add, "k int, part binary")
+    level = level.withColumn("k", F.shiftright("k", 6)).groupBy("k").applyInPandas(add, "k int, part binary")
+    whole: dict[str, np.ndarray] | None = None
+    for row in level.select("part").toLocalIterator():
+        one = pickle.loads(zlib.decompress(row["part"]))
+        whole = one if whole is None else {k: whole[k] + v for k, v in one.items()}
+    return whole
+
+
+def _near(chunk: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some documents: the words of their tokens without ends, the window of NEAR words each lies in, and counts of frequent words by window."""
+    for _, lengths, stream in chunk.pieces():
+        stream = stream[stream < len(chunk.c)]
+        n = lengths - 1
+        place = np.arange(len(stream)) - np.repeat(np.cumsum(n) - n, n)
+        window = np.cumsum(place % NEAR == 0) - 1
+        rank = chunk.frequent[stream]
+        has = rank >= 0
+        width = int(window[-1]) + 1 if len(window) else 0
+        yield stream, window, np.bincount(window[has] * lm.FREQUENT + rank[has], minlength=width * lm.FREQUENT).reshape(width, lm.FREQUENT)
+
+
+def _together(kind: type):
+    """How often each two frequent words stand in one window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        total = np.zeros((lm.FREQUENT, lm.FREQUENT))
+        for _, _, chunk in _each(batches, kind):
+            for _, _, counts in _near(chunk):
+                total += counts.T.astype(float) @ counts
+        return {"total": total}
 
     return run
 
 
-def class_counts(streams: DataFrame, vocabulary: lm.Vocabulary) -> np.ndarray:
-    """Class transitions of all streams."""
-    table = np.zeros((lm.CLASSES, lm.CLASSES), np.int64)
-    counted = materialise(streams.mapInArrow(_count_classes(vocabulary), "counts binary"), "lm-classes")
-    for r in counted.toLocalIterator():  # one row of bounded size a task, one at a time
-        table += np.frombuffer(zlib.decompress(r["counts"]), np.int64).reshape(table.shape)
-    return table
+def _by_topic(group: np.ndarray, ids: int, kind: type):
+    """How often each subword id lies in a window of each topic, that of most of its frequent words."""
+    member = np.zeros((lm.FREQUENT, lm.TOPICS))
+    member[np.arange(len(group)), group] = 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        total = np.zeros(ids * lm.TOPICS, np.int64)
+        for _, _, chunk in _each(batches, kind):
+            by_word = np.zeros(len(chunk.c) * lm.TOPICS, np.int64)
+            for stream, window, counts in _near(chunk):
+                topic = counts @ member
+                tells = topic.max(axis=1, initial=0)[window] > 0
+                by_word += np.bincount(stream[tells] * lm.TOPICS + topic.argmax(axis=1)[window[tells]], minlength=len(by_word)) if len(stream) else 0
+            by_word = by_word.reshape(-1, lm.TOPICS)
+            at = chunk.ids.astype(np.int64) * lm.TOPICS
+            words = np.repeat(np.arange(len(chunk.c)), chunk.sizes)
+            for z in range(lm.TOPICS):
+                total += np.bincount(at + z, by_word[words, z], len(total)).astype(np.int64)
+        return {"total": total}
 
+    return run
 
-def _train(vocabulary: lm.Vocabulary, table: np.ndarray):
-    """Streams to one row a task: ``weight, model``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, lengths = [], []
+def _class_sizes(seen: lm.Words, frequent: np.ndarray, kind: type):
+    """Training tokens and distinct training words of each class, from one row of each word."""
+    order = np.argsort(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        tokens, types = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
         for batch in batches:
-            parts += [np.frombuffer(x.as_py(), np.uint16) for x in batch.column(0)]
-            lengths += [np.frombuffer(x.as_py(), np.int64) for x in batch.column(1)]
-        if parts:
-            stream = np.concatenate(parts)
-            parts.clear()
-            first, size = lm.training_windows(np.concatenate(lengths))
-            order = np.random.default_rng(len(first)).permutation(len(first))
-            model = lm.train(lm.initial(), table, vocabulary, stream, first[order], size[order])
-            model = {k: v * np.float32(1) for k, v in model.items()}
-            yield pa.RecordBatch.from_arrays([pa.array([int((size - 1).sum())]), pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())], names=["weight", "model"])
+            h, c = np.asarray(batch["hash"]), np.asarray(batch["c"])
+            at = np.minimum(np.searchsorted(frequent[order], h), len(frequent) - 1)
+            rank = np.where(frequent[order][at] == h, order[at], -1)
+            sizes = np.asarray(pa.compute.binary_length(batch["ids"]), np.int64) // np.dtype(kind).itemsize
+            classes, _ = seen.look(np.frombuffer(b"".join(batch["ids"].to_pylist()), kind), sizes, rank, c)
+            tokens += np.bincount(classes, c, lm.CLASSES)
+            types += np.bincount(classes, minlength=lm.CLASSES)
+        return {"tokens": tokens, "types": types}
+
+    return run
+
+
+def _gradient(p: lm.Parameters, seen: lm.Words, kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
+        total = {k: np.zeros(v.shape) for k, v in p.items()} | {"n": np.zeros(1), "loss": np.zeros(1)}
+        for _, _, chunk in _each(batches, kind):
+            classes, vectors = seen.look(chunk.ids, chunk.sizes, chunk.frequent, chunk.c)
+            classes, vectors = np.append(classes, lm.END), np.vstack([vectors, lm.END_VECTOR])
+            for _, lengths, stream in chunk.pieces():
+                g, loss = lm.gradient(p, vectors[stream], classes[stream], lengths)
+                for k, v in g.items():
+                    total[k] += v
+                total["n"] += len(stream)
+                total["loss"] += loss
+        return total
 
     return run
 
 
-def _average(pdf):
-    total, whole = float(pdf["weight"].sum()), None
-    for weight, packed in zip(pdf["weight"], pdf["model"], strict=True):
-        one = pickle.loads(zlib.decompress(packed))
-        part = {k: v * np.float32(weight / total) for k, v in one.items()}
-        whole = part if whole is None else {k: whole[k] + part[k] for k in whole}
-    return pdf.iloc[:1].assign(weight=int(total), model=[zlib.compress(pickle.dumps(whole), 1)]).drop(columns=[c for c in pdf.columns if c not in ("weight", "model")])
+def train(chunks: DataFrame, seen: lm.Words, class_tokens: np.ndarray, kind: type) -> lm.Parameters:
+    """One step for each slice of the training documents."""
+    p, step = lm.initial(class_tokens), lm.Adam(RATE)
+    for r in range(ROUNDS):
+        g = _summed(_gradient(p, seen, kind), chunks.filter(F.col("slice") == r))
+        n = g.pop("n")[0] if g else 0
+        if n:
+            p = step(p, {k: g[k] / n for k in p})
+    return p
 
 
-def _score(model: dict, table: np.ndarray, vocabulary: lm.Vocabulary, n: int, v: int, ends: int, out: pa.Schema):
+def _score(p: lm.Parameters, seen: lm.Words, sizes: dict[str, np.ndarray], n: int, v: int, ends: int, kind: type, schema: pa.Schema):
     floor = n + v + 1
-    end_score = np.log10((ends + 1) / floor)
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.combine_chunks()
-        order = np.argsort(words["hash"].to_numpy(), kind="stable")
-        known = words["hash"].to_numpy()[order]
-        c = words["c"].to_numpy()[order]
-        packed = words["ids"].take(pa.array(order)).combine_chunks() if len(words) else pa.array([], pa.binary())
-        sizes = np.array(pa.compute.binary_length(packed)) // 2 if len(words) else np.zeros(0, np.int64)
-        ids = np.frombuffer(b"".join(packed.to_pylist()), np.uint16).astype(np.int32)
-        first = np.cumsum(sizes) - sizes
-        log_c = np.log10((c + 1) / floor)
-        docs = docs.combine_chunks()
-        text = docs["text"].combine_chunks() if docs.num_rows else pa.array([], pa.string())
-        n_tokens, n_known, base, score = (np.zeros(docs.num_rows, t) for t in (np.int64, np.int64, float, float))
-        for lo, data, starts, stops, before in _pieces(text, 256):
-            hashes = word_hashes(data, starts, stops).view(np.int64)
-            at = np.searchsorted(known, hashes)
-            if len(hashes) and (len(known) == 0 or (known[np.minimum(at, len(known) - 1)] != hashes).any()):
-                raise RuntimeError("a block's words changed between two readings: its input is not deterministic")
-            count = np.diff(before)
-            rows, row = len(count), np.repeat(np.arange(len(count)), count)
-            own = slice(lo, lo + rows)
-            n_tokens[own] = count + 1
-            n_known[own] = np.bincount(row, c[at] > 0, rows) + (ends > 0)
-            base[own] = np.bincount(row, log_c[at], rows) + end_score
-            per = np.bincount(row, sizes[at], rows).astype(np.int64) + 1
-            offsets = np.concatenate([[0], np.cumsum(per)])
-            stream = np.full(offsets[-1], vocabulary.end, np.int32)
-            s = sizes[at]
-            if s.sum():
-                source = np.repeat(first[at] - (np.cumsum(s) - s), s) + np.arange(s.sum())
-                stream[np.arange(s.sum()) + np.repeat(row, s)] = ids[source]
-            logs = lm.score(model, table, vocabulary, stream, offsets)
-            is_end = np.zeros(len(stream), bool)
-            is_end[offsets[1:] - 1] = True
-            spelled = np.exp(np.bincount(np.repeat(np.arange(len(s)), s), logs[~is_end], len(s)))
-            mixed = np.log10(WORD_WEIGHT * (c[at] + 1) / floor + (1 - WORD_WEIGHT) * spelled) if len(s) else np.zeros(0)
-            score[own] = np.bincount(row, mixed, rows) + np.log10(WORD_WEIGHT * (ends + 1) / floor + (1 - WORD_WEIGHT) * np.exp(logs[is_end]))
-        arrays = [docs["id"].combine_chunks() if docs.num_rows else pa.array([], out.field("id").type), pa.array(~docs["train"].to_numpy().astype(bool)), pa.array(n_tokens), pa.array(n_known), pa.array(np.full(len(base), n)), pa.array(base), pa.array(score)]
-        return pa.Table.from_arrays(arrays, schema=out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, k, chunk in _each(batches, kind):
+            classes, vectors = seen.look(chunk.ids, chunk.sizes, chunk.frequent, chunk.c)
+            of_class = (chunk.c + 1) / (sizes["tokens"][classes] + sizes["types"][classes] + 1)
+            within = np.append(np.where(classes < lm.OWN, 0.0, np.log10(of_class)), 0.0)
+            base = np.append(np.log10((chunk.c + 1) / floor), np.log10((ends + 1) / floor))
+            known = np.append(chunk.c > 0, ends > 0)
+            classes, vectors = np.append(classes, lm.END), np.vstack([vectors, lm.END_VECTOR])
+            held = pa.array([batch["slice"][k].as_py() < 0])
+            for docs, lengths, stream in chunk.pieces():
+                logs = lm.score(p, vectors[stream], classes[stream], lengths) / np.log(10) + within[stream]
+                first = np.cumsum(lengths) - lengths
+                total = lambda x, at=first: pa.array(np.add.reduceat(x, at))
+                m = len(lengths)
+                columns = {
+                    "id": batch["ids"][k].values.slice(docs.start, m), "held_out": held.take(pa.array(np.zeros(m, np.int64))), "n_tokens": pa.array(lengths), "n_known": total(known[stream].astype(np.int64)),
+                    "train_tokens": pa.array(np.full(m, n)), "base_score": total(base[stream]), "score": total(logs),
+                }
+                yield _row(columns, m, schema)
 
     return run
 
@@ -253,37 +361,41 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, ids: int = 50
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), (~held).alias("train"), F.spark_partition_id().cast("long").alias("block"))
-    counted = rows.select("block", "text", "train").mapInArrow(_count, "hash long, block long, word binary, k long")
+    spark, kind, id_kind = docs.sparkSession, np.uint16 if ids <= 1 << 16 else np.uint32, docs.schema[id_col].dataType.simpleString()
+    arrow = lambda schema: to_arrow_schema(_parse_datatype_string(schema))
+    crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
+    piece = F.when(crc % 7 == 2, -1).otherwise(F.coalesce((F.floor(crc / 7) % ROUNDS).cast("int"), F.lit(0)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), piece.alias("slice"), F.spark_partition_id().alias("task"))
+    schema = f"block long, ids array<{id_kind}>, slices binary, lengths binary, places binary, hash long, local int, word binary, k long"
+    both = materialise(rows.mapInArrow(_read(arrow(schema)), schema), "lm-blocks")
+
     # a word has at most one row for each block
-    words = counted.repartition("hash").sortWithinPartitions("hash").mapInArrow(_join_words(tokenizer, ids), "block long, hash long, c long, ids binary")
-    words = materialise(words, "lm-words")
-    release(docs.sparkSession)
-    use, n, v = np.zeros(ids + 1, np.int64), 0, 0
-    for r in words.filter("block is null").select("hash", "c", "ids").toLocalIterator():  # one row of bounded size a task, one at a time
-        use += np.frombuffer(zlib.decompress(r["ids"]), np.int64)
-        n, v = n + r["c"], v + r["hash"]
-    ends = rows.filter("train").count()
+    counted = both.filter("hash is not null").select("hash", "block", "local", "word", "k").repartition("hash").sortWithinPartitions("hash")
+    words = materialise(counted.mapInArrow(_join_words(tokenizer, kind), "block long, local int, hash long, c long, ids binary, first boolean"), "lm-words")
+    release(spark)
+    one = words.filter("first and c > 0")
+    n, v = one.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    frequent = np.array([r["hash"] for r in one.orderBy(F.desc("c"), "hash").select("hash").limit(lm.FREQUENT).collect()], np.int64)
+    ends = rows.filter("slice >= 0").count()
     n, v = n + ends, v + (ends > 0)
-    use[-1] = ends
-    vocabulary = lm.Vocabulary.from_counts(use)
-
-    streams = materialise(rows.filter("train").select("text").mapInArrow(_streams(tokenizer, vocabulary.end), "tokens binary, sizes binary"), "lm-streams")
-    table = lm.class_table(class_counts(streams, vocabulary))
-    trained = streams.mapInArrow(_train(vocabulary, table), "weight long, model binary")
-    kind = "weight long, model binary"
-    salted = trained.withColumn("salt", F.pmod(F.shiftright(F.monotonically_increasing_id(), 33), F.lit(_SALTS))).groupBy("salt").applyInPandas(_average, kind)
-    whole = salted.groupBy(F.lit(0).alias("salt")).applyInPandas(_average, kind).first()
-    model = lm.initial() if whole is None else pickle.loads(zlib.decompress(whole["model"]))
-    release(docs.sparkSession)
-
-    simple = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {simple}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
-    run = _score(model, table, vocabulary, n, v, ends, out)
-    blocks = words.filter("block is not null").select("block", "hash", "c", "ids").groupBy("block")
-    return rows.groupBy("block").cogroup(blocks).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+
+    chunk_schema = f"slice int, ids array<{id_kind}>, " + ", ".join(f"{name} binary" for name in _CHUNK)
+    blocks = both.filter("hash is null").select("block", "ids", "slices", "lengths", "places").groupBy("block")
+    by_block = words.select("block", "local", "hash", "c", "ids").groupBy("block")
+    chunks = materialise(blocks.cogroup(by_block).applyInArrow(_chunks(frequent, kind, arrow(chunk_schema)), chunk_schema), "lm-chunks")
+    discard(both)
+    release(spark)
+
+    training = chunks.filter("slice >= 0")
+    empty = {"total": np.zeros((lm.FREQUENT, lm.FREQUENT))}
+    group = lm.topics((_summed(_together(kind), training) or empty)["total"][: len(frequent), : len(frequent)]) if len(frequent) else np.zeros(0, np.int64)
+    found = _summed(_by_topic(group, ids, kind), training)
+    seen = lm.Words(lm.profiles(found["total"].reshape(ids, lm.TOPICS) if found else np.zeros((ids, lm.TOPICS))))
+    sizes = _summed(_class_sizes(seen, frequent, kind), one.select("hash", "c", "ids")) if len(frequent) else None
+    sizes = sizes or {"tokens": np.zeros(lm.CLASSES), "types": np.zeros(lm.CLASSES)}
+    sizes["tokens"][lm.END] = ends
+    discard(words)
+    p = train(chunks, seen, sizes["tokens"], kind)
+
+    out = f"id {id_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return chunks.mapInArrow(_score(p, seen, sizes, n, v, ends, kind, arrow(out)), out).withColumnRenamed("id", id_col)

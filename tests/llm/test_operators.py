@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -213,56 +214,52 @@ def test_lm_scoring(spark, sf):
         assert got[i]["score"] < 0
 
 
-def test_training_windows_cover_every_token():
+def test_windows_count_each_token_once():
     import numpy as np
-    import public_tokenizers
-    import pyarrow as pa
-
-    path, end = public_tokenizers.path("byte_bpe_50k.json"), 50_257
-    given = [None, "", "one", " ".join(f"Word{k}" for k in range(200)), "a b " * 400]
-    want = collections.Counter()
-    for t in given:
-        ids = [end, *[i for w in words((t or "").translate(LOWER)) for i in lm_scoring._encode(path, [w])[0]], end]
-        want.update(zip(ids, ids[1:], strict=False))
-    got = collections.Counter()
-    for out in lm_scoring._streams(path, end)(iter([pa.RecordBatch.from_arrays([pa.array(given)], names=["text"])])):
-        stream, sizes = np.frombuffer(out.column(0)[0].as_py(), np.uint16), np.frombuffer(out.column(1)[0].as_py(), np.int64)
-        for first, size in zip(*attention_lm.training_windows(sizes), strict=True):
-            assert size <= attention_lm.WINDOW + 1
-            ids = stream[first : first + size].tolist()
-            got.update(zip(ids, ids[1:], strict=False))
-    assert got == want
-
-
-def test_class_counts_cover_every_token(spark):
-    import numpy as np
-    import public_tokenizers
-
-    path, end = public_tokenizers.path("byte_bpe_50k.json"), 50_257
-    vocabulary = attention_lm.Vocabulary.from_counts(np.arange(end + 1)[::-1])
-    given = [" ".join(f"Word{k}" for k in range(300)), None, "tail of a text"] * 5
-    want = np.zeros((attention_lm.CLASSES,) * 2, np.int64)
-    for t in given:
-        ids = [end, *[i for w in words((t or "").translate(LOWER)) for i in lm_scoring._encode(path, [w])[0]], end]
-        np.add.at(want, (vocabulary.class_of[ids[:-1]], vocabulary.class_of[ids[1:]]), 1)
-    df = spark.createDataFrame([(t,) for t in given], "text string").repartition(3)
-    streams = df.mapInArrow(lm_scoring._streams(path, end), "tokens binary, sizes binary")
-    assert (lm_scoring.class_counts(streams, vocabulary) == want).all()
-
 
-def test_windows_score_each_token_once():
+    lengths = np.array([1, 2, attention_lm.WINDOW, attention_lm.WINDOW + 1, 500])
+    classes = np.arange(lengths.sum()) % attention_lm.CLASSES
+    vectors = np.random.default_rng(1).standard_normal((lengths.sum(), attention_lm.WIDTH)).astype(np.float32)
+    for stride in (attention_lm.STRIDE, attention_lm.WINDOW):
+        at = np.concatenate([a for _, _, a in attention_lm._batches(vectors, lengths, stride, 4)])
+        assert sorted(at.tolist()) == list(range(lengths.sum()))
+    p = attention_lm.initial(np.ones(attention_lm.CLASSES))
+    p["U"] = np.random.default_rng(2).standard_normal(p["U"].shape).astype(np.float32)
+    vectors[np.cumsum(lengths) - 1] = attention_lm.END_VECTOR
+    logs = attention_lm.score(p, vectors, classes, lengths)
+    alone = attention_lm.score(p, vectors[-500:], classes[-500:], lengths[-1:])
+    assert (logs < 0).all() and np.allclose(alone, logs[-500:], atol=1e-4)
+    later = vectors.copy()  # what follows a token does not change its score
+    later[-200:-1] = 0
+    assert np.allclose(attention_lm.score(p, later, classes, lengths)[:-200], logs[:-200], atol=1e-4)
+
+
+def test_gradient_is_that_of_the_loss():
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    vocabulary = attention_lm.Vocabulary.from_counts(rng.integers(0, 50, 300))
-    stream = rng.integers(0, 300, 500)
-    table = attention_lm.class_table(rng.integers(0, 9, (attention_lm.CLASSES,) * 2))
-    model = attention_lm.initial()
-    logs = attention_lm.score(model, table, vocabulary, stream, np.array([0, 3, 180, 500]))
-    assert (logs < 0).all()
-    alone = attention_lm.score(model, table, vocabulary, stream[3:180], np.array([0, 177]))
-    assert np.allclose(alone, logs[3:180], atol=1e-4)
-    assert math.isclose(sum(math.exp(attention_lm.score(model, table, vocabulary, np.array([k]), np.array([0, 1]))[0]) for k in range(300)), 1, rel_tol=1e-3)
+    rng = np.random.default_rng(3)
+    lengths = np.array([5, 40])
+    vectors, classes = rng.standard_normal((45, attention_lm.WIDTH)).astype(np.float32), rng.integers(0, attention_lm.CLASSES, 45)
+    p = {k: rng.standard_normal(v.shape) * 0.3 for k, v in attention_lm.initial(np.ones(attention_lm.CLASSES)).items()}
+    g, loss = attention_lm.gradient(p, vectors, classes, lengths)
+    for name, value in p.items():
+        at = tuple(rng.integers(0, n) for n in value.shape)
+        moved = {k: v.copy() for k, v in p.items()}
+        moved[name][at] += 1e-4
+        assert math.isclose((attention_lm.gradient(moved, vectors, classes, lengths)[1] - loss) / 1e-4, g[name][at], rel_tol=0.02, abs_tol=0.02), name
+
+
+def test_lm_learns_from_context_and_not_from_the_dealing(spark):
+    """Two invented languages: the context tells which, so attention beats the unigram base on held-out texts."""
+    rng = random.Random(5)
+    tongues = [[f"{a}{b}" for a in part for b in ("", "el", "or", "um", "ith", "ana")] for part in (("ka", "vo", "bri", "su"), ("zet", "qui", "mor", "plo"))]
+    texts_ = [" ".join(min(rng.choices(tongues[i % 2], k=2)) for _ in range(rng.randint(30, 90))) for i in range(420)]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    one, many = (rows(lm_scoring.score_documents(df.repartition(n))) for n in (1, 5))
+    held = [r for r in one.values() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in held)
+    assert len(held) > 30 and sum(r["score"] - r["base_score"] for r in held) / tokens > 0.15
+    assert all(math.isclose(r["score"], many[i]["score"], rel_tol=1e-3) for i, r in one.items())
 
 
 def edit(a, b):
@@ -278,12 +275,30 @@ def test_line_dedup(spark):
     base = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(100))
     near, far = base.replace("wbax", "wbay"), " ".join(reversed(base.split()))
     df = spark.createDataFrame([(1, f"{base}\nshort line"), (2, f"{near}\n{far}\nshort line"), (3, base.upper() + "!"), (4, None), (None, far), (5, "")], "doc_id long, text string")
-    sims = {r["t"]: r["s"] for r in spark.createDataFrame([(base,), (near,), (far,)], "t string").selectExpr("t", "split(t, ' ') as w").select("t", line_dedup.simhash(__import__("pyspark").sql.functions.col("w")).alias("s")).collect()}
-    linked = bin((sims[base] ^ sims[near]) & (2**64 - 1)).count("1") <= 3 and edit(base, near) * 100 <= 10 * len(base)
     got = {r["doc_id"]: (r["n_lines"], r["dropped"]) for r in line_dedup.dropped_lines(df).collect()}
-    assert got[3] == (1, [0]) and got[4] == (0, []) and got[None] == (1, []) and got[1] == (2, [])
-    assert got[2] == (3, [0, 1] if linked else [1])
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}[2] == ("short line" if linked else f"{near}\nshort line")
+    assert got == {1: (2, []), 2: (3, [0, 1]), 3: (1, [0]), 4: (0, []), None: (1, []), 5: (1, [])}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}[2] == "short line"
+
+
+def test_line_dedup_repeated_rows_and_clashing_names(spark):
+    text = "one line of quite some words here\nanother line that has its own words"
+    names = ["doc_id", "text", "rid", "_rid", "dropped", "_dropped", "key"]
+    df = spark.createDataFrame([(1, text, "a", "b", "c", "d", "e")] * 3 + [(2, text.split("\n")[1] + "\nand a third one that stays as it is", "x", None, None, None, None)], names)
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == names
+    assert sorted((r["doc_id"], r["text"], r["_rid"]) for r in out.collect() if r["doc_id"] == 1) == [(1, "", "b"), (1, "", "b"), (1, text, "b")]
+    assert [r["text"] for r in out.filter("doc_id = 2").collect()] == ["and a third one that stays as it is"]
+
+
+def test_line_dedup_in_crowded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", 2)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    tail = "these seven words are shared by all"
+    lines = [f"{' '.join(word() for _ in range(30))} {tail}" for _ in range(40)]
+    lines += [x.replace(x.split()[3], "other") for x in lines]
+    got = line_dedup.dropped_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.filter("n_dropped > 0").collect()} == set(range(40, 80))
 
 
 def test_line_dedup_takes_short_lines(spark, tmp_path):
