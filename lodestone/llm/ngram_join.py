@@ -295,9 +295,12 @@ def _finish(first: DataFrame, words: DataFrame, pairs: DataFrame, shared: DataFr
     end = second.select("node", "chunk", "label")
     sides = [end.select(*[F.col(c).alias(f"{c}_{k}") for c in end.columns]) for k in "ab"]
     open_ = pairs.join(sides[0], F.col("a") == F.col("node_a")).join(sides[1], F.col("b") == F.col("node_b")).filter("label_a <> label_b and chunk_a <> chunk_b")
+    open_ = materialise(open_.select("a", "b", "node_a", "node_b", "label_a", "label_b"), "open-pairs")
     few = F.array(*[F.struct(F.col(f"node_{k}").alias("node"), F.col(f"label_{k}").alias("label")) for k in "ab"])
-    paired = open_.select("a", F.inline(few)).distinct().join(words, "node").withColumn("anchor", F.lit(False))
-    third = paired.groupBy("a").applyInPandas(run, schema)
+    # a node of very many partners meets them in parts
+    dealt = open_.join(open_.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("_parts")), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("_parts")))
+    paired = dealt.select("a", "part", F.inline(few)).distinct().join(words, "node").withColumn("anchor", F.lit(False))
+    third = paired.groupBy("a", "part").applyInPandas(run, schema)
 
     # what is still outside the main group, against every block that it meets in a large group
     grams = shared.select("gram", "node")

@@ -179,14 +179,59 @@ def test_html(spark, sf):
     assert got[12]["text"] == "" and got[13]["text"] == "" and got[14]["text"] == "small"
 
 
+def read_host(pages):
+    """Texts of pages of one host, as the operator reads them."""
+    from lodestone.llm.html import blocks, parse
+
+    streams = [blocks(parse(p)) for p in pages]
+    whole = None
+    for s in streams:
+        own = html_extraction.wrapper_of(s)[0]
+        whole = own if whole is None else html_extraction.merge(whole, own)
+    reader = html_extraction.Reader(html_extraction.roles_of(whole))
+    return whole, [reader.read(s) for s in streams]
+
+
 def test_wrapper_is_union_free():
-    from lodestone.llm.html import parse
+    pages = ["<body><div><p>one<p>two</div><div class=x>x</div></body>", "<body><div><p>three</div></body>", "<body><ul><li><b>k</b><p>a</p></li><li><b>k</b><p>b</p></li></ul></body>"]
+    H = html_extraction
+    p, x, *_ = read_host(pages[:2])[0]
+    assert p[H.REPEATED] and p[H.SLOT] == H._VARIES and x[H.OPTIONAL] and not x[H.REPEATED]
+    assert [(t[H.PATH][-1], t[H.REPEATED]) for t in read_host(pages[2:])[0]] == [("li", True), ("p", True)]
+
+
+def test_wrapper_finds_the_article_without_names():
+    """Neither article elements nor telling classes: the host's constant texts and menus go, by place and not by a fixed path."""
+    text = lambda i, n: " ".join(f"word{i}x{k}" for k in range(n))
+    menu = lambda i: "".join(f"<li><a href=/{i}{k}>item {i} {k}</a></li>" for k in range(6))
+    page = lambda i: (
+        f"<body><div class=c1><ul>{menu(i)}</ul></div><div class=c2>Welcome to this fine place</div><div class=c3>{'<p>Now with pictures</p>' if i % 2 else ''}<h2>Title {i}</h2>"
+        f"<p>{text(i, 40)}</p><p>Read <a href=x>more {i}</a> of it {text(i + 90, 9)}</p><h3>Part {i}</h3><p>{text(i + 50, 40)}</p></div><div class=c4>All rights are ours</div></body>"
+    )
+    _, got = read_host([page(i) for i in range(8)])
+    for i, t in enumerate(got):
+        assert t == f"Title {i}\n{text(i, 40)}\nRead more {i} of it {text(i + 90, 9)}\nPart {i}\n{text(i + 50, 40)}"
+
+
+def test_wrapper_keeps_articles_under_doubtful_names_and_copies():
+    text = lambda i, n: " ".join(f"word{i}x{k}" for k in range(n))
+    _, got = read_host([f"<body><div class='legal-notice'><p>{text(i, 60)}</p></div><div class=related><p>x{i}</p></div></body>" for i in range(4)])
+    assert [t.split("\n")[0] for t in got] == [text(i, 60) for i in range(4)]
+    _, got = read_host([f"<body><div class=t><p>{text(1, 60)}</p></div><p>{i}</p></body>" for i in range(4)])  # copies of one article are no template
+    assert all(text(1, 60) in t for t in got)
+
+
+def test_html_of_any_depth_and_length():
+    import time
 
-    a = html_extraction.wrapper_of(parse("<body><div><p>one<p>two</div><div class=ad>x</div></body>"))
-    b = html_extraction.wrapper_of(parse("<body><div><p>three</div></body>"))
-    body = html_extraction.merge(a, b)[html_extraction.CHILDREN][0]
-    div, ad = body[html_extraction.CHILDREN]
-    assert div[html_extraction.CHILDREN][0][html_extraction.REPEATED] and ad[html_extraction.OPTIONAL] and ad[html_extraction.SKIP]
+    began = time.perf_counter()
+    deep = "<div>" * 20_000 + "<p>far down</p>" + "</div>" * 20_000
+    mixed = "".join(f"<div class=c{'abc'[k % 3]}>t{k}" for k in range(5_000))
+    streams = ["".join("<h2>a</h2>" if (k * k) % n else "<p>b</p>" for k in range(5_000)) for n in (7, 11)]
+    unclosed = "<button>" * 20_000 + "<p>end"
+    _, got = read_host([deep, mixed, *streams, unclosed])
+    assert got[0] == "far down" and got[1].count("\n") == 4_999 and len(got) == 5
+    assert time.perf_counter() - began < 60
 
 
 def test_html_region_keeps_title_lead_and_other_templates(spark):
@@ -198,7 +243,7 @@ def test_html_region_keeps_title_lead_and_other_templates(spark):
     got = {r["page_id"]: r["text"] for r in html_extraction.extract_articles(df).collect()}
     for i in range(5):
         assert got[i] == f"Title {i}\nLead {i}\n{text(i, 99)}\n{text(i + 50, 99)}"
-    assert {html_extraction.extract("<h1>T</h1><div class=t><p>a</p><p>b</p></div>", r) for r in ([], None)} == {"T\na\nb"}
+    assert html_extraction.extract("<h1>T</h1><div class=t><p>a</p><p>b</p></div>", None) == "T\na\nb"
     assert got[5] == f"small\n{text(9, 200)}" and got[6] == f"aside\n{text(8, 200)}"
 
 
