@@ -29,7 +29,7 @@ def resolve(name: str) -> tuple[str, int]:
         if not MIN_LIMIT <= limit <= MAX_LIMIT:
             raise ValueError(f"token limit {limit} is not within {MIN_LIMIT}..{MAX_LIMIT}")
     if base not in ("default", "simple", "whitespace", "raw", "keyword") and base not in _CUSTOM:
-        raise ValueError(f"Unknown tokenizer: {name}")
+        raise ValueError(f"no tokenizer is called {name!r}")
     return base, limit
 
 
@@ -102,3 +102,8 @@ def ceiling_utf8(text: str, limit: int) -> str | None:
         if ord(head[k]) < 0x10FFFF and not 0xD7FF <= ord(head[k]) < 0xDFFF:
             return head[:k] + chr(ord(head[k]) + 1)
     return None
+
+
+def string_hash(value: Column) -> Column:
+    """A 64-bit hash of a text, for grouping by a number; null stays null."""
+    return F.when(value.isNotNull(), F.xxhash64(value.cast("string")))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,19 +26,47 @@ def v4_key(column: Column) -> Column:
     return F.when(column.rlike(_V4) & fits, F.unhex(text))
 
 
-def _any_key(column: pd.Series) -> pd.Series:
-    def one(text: str | None) -> bytes | None:
-        try:
-            return None if text is None else key_of(text)
-        except ValueError:
-            return None
+_TAIL = r"^(.*:)(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$"
+
+
+def v6_key(column: Column) -> Column:
+    """Groups of hex digits as 16-byte keys, by built-in functions: one run of zero groups may be left out, the last two may be a dotted quad; anything else is null."""
+    quad = v4_key(F.regexp_extract(column, _TAIL, 2))
+    tail = F.concat(F.lower(F.substring(F.hex(quad), 25, 4)), F.lit(":"), F.lower(F.substring(F.hex(quad), 29, 4)))
+    text = F.when(column.rlike(_TAIL), F.concat(F.regexp_extract(column, _TAIL, 1), tail)).otherwise(column)
+    sides = F.split(text, "::")
+    groups = lambda side: F.when(F.coalesce(side, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+
+    def key(halves: Column) -> Column:
+        first, last = halves.getItem(0), halves.getItem(1)
+        given = F.size(first) + F.size(last)
+        padded = lambda part: F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
+        good = F.forall(F.concat(first, last), lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+        fits = F.when(F.size(sides) == 2, given <= 7).otherwise((F.size(sides) == 1) & (given == 8))
+        return F.when(good & fits, F.unhex(F.concat(padded(first), F.repeat(F.lit("0000"), 8 - given), padded(last))))
 
-    return column.map(one)
+    halves = F.array(groups(F.get(sides, 0)), groups(F.get(sides, 1)))
+    return F.transform(F.array(halves), key).getItem(0)
 
 
 def ip_key(column: Column) -> Column:
-    """16-byte keys of v4 and v6 texts; only texts with a colon leave the JVM."""
-    return F.when(column.contains(":"), F.pandas_udf(_any_key, "binary")(column)).otherwise(v4_key(column))
+    """16-byte keys of v4 and v6 texts."""
+    text = F.trim(column)
+    return F.when(text.contains(":"), v6_key(text)).otherwise(v4_key(text))
+
+
+def ip_text(key: Column) -> Column:
+    """The canonical text of a 16-byte key: a dotted quad for v4, else lower-case groups without leading zeros, the first longest run of two zero groups or more left out."""
+    digits = F.lower(F.hex(key))
+    quad = F.array_join(F.transform(F.sequence(F.lit(25), F.lit(31), F.lit(2)), lambda i: F.conv(F.substring(digits, i, F.lit(2)), 16, 10)), ".")
+    groups = F.transform(F.sequence(F.lit(1), F.lit(29), F.lit(4)), lambda i: F.regexp_replace(F.substring(digits, i, F.lit(4)), "^0{1,3}", ""))
+    plain = F.array_join(groups, ":")
+    out = plain
+    for n in range(2, 9):  # the longest run is tried last, so it is what counts
+        zeros = ":".join(["0"] * n)
+        whole = F.regexp_instr(plain, F.lit(f"(^|:){zeros}(:|$)"))
+        out = F.when(whole > 0, F.regexp_replace(plain, f"^(.*?)(?:^|:){zeros}(?::|$)(.*)$", "$1::$2")).otherwise(out)
+    return F.when(digits.startswith("00000000000000000000ffff"), quad).otherwise(out)
 
 
 def expand(pattern: str) -> tuple[bytes, bytes] | None:

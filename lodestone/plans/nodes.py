@@ -42,7 +42,7 @@ class Query:
 
         if data.get("type") not in _KINDS:
             raise ValueError(f"unknown query type {data.get('type')!r}")
-        return _KINDS[data["type"]](**{k: rich(v) for k, v in data.items() if k != "type"})
+        return _KINDS[data["type"]](**{"type" if k == "value_type" else k: rich(v) for k, v in data.items() if k != "type"})
 
     def children(self) -> tuple[Query, ...]:
         return ()
@@ -155,7 +155,8 @@ class Range(Query):
     kind = "range"
 
     def to_json(self) -> dict[str, Any]:
-        return {"type": "range", "field": self.field, "lower": self.lower, "upper": self.upper, "include_lower": self.include_lower, "include_upper": self.include_upper}
+        out = {"type": "range", "field": self.field, "lower": self.lower, "upper": self.upper, "include_lower": self.include_lower, "include_upper": self.include_upper}
+        return out if self.type is None else out | {"value_type": self.type}
 
 
 @dataclass(frozen=True)

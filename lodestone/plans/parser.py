@@ -170,11 +170,19 @@ class _Parser:
         return q.FullText(field, re.sub(r"\\(.)", r"\1", word), "phrase")
 
 
-def parse_query(text: str, default_fields: list[str] | None = None, text_fields: list[str] | None = None, fields: q.Fields | None = None) -> q.Query:
-    """The query tree of a query string; without default fields, bare terms search all ``text_fields``."""
+def default_fields_of(schema) -> list[str]:
+    """The fields that bare terms search when none are named: all text columns."""
+    return [f.name for f in schema.fields if f.dataType.simpleString() in ("string", "array<string>")]
+
+
+def parse_query(text: str, default_fields: list[str] | None = None, text_fields: list[str] | None = None, fields: q.Fields | None = None, schema=None) -> q.Query:
+    """The query tree of a query string; without default fields, bare terms search all ``text_fields``, or all text columns of ``schema``."""
     if not text or not text.strip():
         raise ValueError("a query string must not be blank")
-    return _Parser(text, list(default_fields or text_fields or []), fields.ips if fields else frozenset()).whole()
+    if schema is not None and (unknown := [f for f in default_fields or [] if f not in schema.names]):
+        raise ValueError(f"default fields that the table does not have: {unknown}")
+    named = default_fields or text_fields or (default_fields_of(schema) if schema is not None else [])
+    return _Parser(text, list(named), fields.ips if fields else frozenset()).whole()
 
 
 def parse_lenient(text: str, default_fields: list[str] | None = None, text_fields: list[str] | None = None, fields: q.Fields | None = None) -> tuple[q.Query, list[str]]:
