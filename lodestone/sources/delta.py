@@ -23,12 +23,16 @@ class DeltaTable:
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         names = sorted(s.getPath().getName() for s in fs.listStatus(at))
         self.commits = [int(n[:20]) for n in names if re.fullmatch(r"\d{20}\.json", n)]
-        parts = [m for n in names if (m := re.fullmatch(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10}))?\.parquet", n))]
+        found: dict[int, dict[int, dict[int, str]]] = {}
+        for n in names:
+            if m := re.fullmatch(r"(\d{20})\.checkpoint(?:\.(\d{10})\.(\d{10}))?\.parquet", n):
+                found.setdefault(int(m[1]), {}).setdefault(int(m[3] or 1), {})[int(m[2] or 1)] = n
+        # a checkpoint counts when all of its parts are there
         self._parts: dict[int, list[str]] = {}
-        for m in parts:
-            self._parts.setdefault(int(m[1]), []).append(m[0])
-            if m[3] and m[2] == m[3] and len(self._parts[int(m[1])]) != int(m[3]):
-                self._parts.pop(int(m[1]))  # a checkpoint that is not complete
+        for version, ways in found.items():
+            whole = [[parts[k] for k in sorted(parts)] for n, parts in sorted(ways.items()) if len(parts) == n]
+            if whole:
+                self._parts[version] = whole[0]
 
     def current_version(self) -> int:
         return max([*self.commits, *self._parts])

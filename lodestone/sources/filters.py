@@ -100,14 +100,19 @@ def may_match(f: Filter, low: Column, high: Column, kinds: dict[str, str] | None
     return F.coalesce(out, F.lit(True))
 
 
+def bounds_of(df, name: str, limit: int = 64) -> list:
+    """Least and greatest value of a column as text, ``min_`` and ``max_`` its name; NaN is left out, texts are cut at ``limit`` characters, which the upper bound's reader allows for."""
+    kind = df.schema[name].dataType.simpleString()
+    v = F.col(name)
+    v = F.when(~F.isnan(v), v) if kind in ("double", "float") else F.substring(v, 1, limit) if kind == "string" else v
+    return [F.min(v).cast("string").alias(f"min_{name}"), F.max(v).cast("string").alias(f"max_{name}")]
+
+
 def column_statistics(df, columns: list[str], limit: int = 64):
-    """Per file of a DataFrame read from files: row, null counts and bounds as text; NaN is left out, and long texts' upper bounds are not cut."""
+    """Per file of a DataFrame read from files: rows, null counts and bounds."""
     aggs = [F.count(F.lit(1)).alias("num_records")]
     for c in columns:
-        v = F.col(c)
-        if df.schema[c].dataType.simpleString() in ("double", "float"):
-            v = F.when(~F.isnan(v), v)
-        aggs += [F.min(v).cast("string").alias(f"min_{c}"), F.max(v).cast("string").alias(f"max_{c}"), F.count_if(F.col(c).isNull()).alias(f"nulls_{c}")]
+        aggs += [*bounds_of(df, c, limit), F.count_if(F.col(c).isNull()).alias(f"nulls_{c}")]
     return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(*aggs)
 
 

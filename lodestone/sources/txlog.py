@@ -1,18 +1,21 @@
 """The file log of a table: versions of actions as JSON lines, replayed by a DataFrame plan.
 
-``_log/00000000000000000007.json`` is version 7, a line an action; ``_log/checkpoint-7.parquet`` is the state at version 7 and ``_log/_last``
-names the last checkpoint. Writers create a version's file exclusively and try the next number if it exists.
+``_log/00000000000000000007.json`` is version 7, a line an action; ``_log/checkpoint-7-<id>.parquet`` is the state at version 7, and
+``_log/_last-7.json`` publishes it: a checkpoint that no such file names does not exist for readers, so one that is still
+being written, or whose writer died, does no harm. A version's file is written aside and renamed to its number, which fails if
+the number is taken; the writer then tries the next. So a version is whole or absent, and what belongs together is one version.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .filters import Filter, compile_filter, may_match
+from .filters import Filter, bounds_of, compile_filter, may_match
 
 PROTOCOL = 4
 _BATCH = "log_batch"  # the outermost partition: the files of one append
@@ -83,6 +86,48 @@ def restore_schemas(actions: DataFrame, mappings: DataFrame) -> DataFrame:
     return actions.join(found, "docMappingRef", "left").withColumn("docMapping", F.coalesce("docMapping", "mapping")).drop("mapping")
 
 
+def tombstones(actions: DataFrame) -> DataFrame:
+    """The remove in force of each path that is gone."""
+    latest = Window.partitionBy("path").orderBy(F.desc("version"), F.desc("seq"))
+    files = actions.filter(F.col("action").isin("add", "remove")).withColumn("_r", F.row_number().over(latest))
+    return files.filter("_r = 1 and action = 'remove'").drop("_r")
+
+
+def garbage(actions: DataFrame, files: DataFrame, removed_before: int) -> DataFrame:
+    """Paths of ``files (path, time)`` to delete: removed before that time, or never committed and older than it."""
+    plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/").alias("path")  # file:/x and file:///x are one
+    files = files.select(plain, "time")
+    old = tombstones(actions).filter(F.coalesce("deletionTimestamp", F.lit(0)) < removed_before).select(plain)
+    known = actions.filter(F.col("action").isin("add", "remove")).select(plain).distinct()
+    stray = files.filter(F.col("time") < removed_before).select("path").join(known, "path", "left_anti")
+    return files.select("path").join(old, "path", "left_semi").unionByName(stray)
+
+
+def manifest(actions: DataFrame, rows_per_group: int = 10_000) -> DataFrame:
+    """Live files in groups by their partition values, with each group's bounds: ``group, first_version, last_version, low, high, files``.
+
+    A reader compares a filter with the bounds first and opens the groups that are left; a group holds about ``rows_per_group`` files.
+    """
+    live = replay(actions)
+    keyed = live.withColumn("_p", F.coalesce(F.to_json("partitionValues"), F.lit("")))
+    pairs = keyed.select("path", "version", "_p", F.explode_outer("partitionValues").alias("name", "value"))
+    groups = keyed.groupBy("_p").agg(F.ceil(F.count(F.lit(1)) / rows_per_group).alias("_n"))
+    dealt = pairs.join(groups, "_p").withColumn("group", F.concat_ws("#", F.xxhash64("_p").cast("string"), F.pmod(F.xxhash64("path"), F.col("_n")).cast("string")))
+    named = dealt.groupBy("group", "name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.min("version").alias("v0"), F.max("version").alias("v1"), F.count_distinct("path").alias("k"))
+    entry = lambda c: F.map_from_entries(F.filter(F.collect_list(F.struct("name", c)), lambda e: e["name"].isNotNull()))
+    return named.groupBy("group").agg(F.min("v0").alias("first_version"), F.max("v1").alias("last_version"), entry("lo").alias("low"), entry("hi").alias("high"), F.max("k").alias("files"))
+
+
+def prune_manifest(groups: DataFrame, partition: Filter | None = None, from_version: int | None = None, to_version: int | None = None) -> DataFrame:
+    """Groups that may hold a file for the filter, or of versions in (from, to]."""
+    out = groups
+    if partition is not None:
+        out = out.filter(may_match(partition, F.col("low"), F.col("high")))
+    if from_version is not None:
+        out = out.filter(F.col("last_version") > from_version)
+    return out if to_version is None else out.filter(F.col("first_version") <= to_version)
+
+
 # ---------------------------------------------------------------------- the log on a file system
 class TransactionLog:
     def __init__(self, spark: SparkSession, table: str) -> None:
@@ -104,25 +149,44 @@ class TransactionLog:
         return sorted(int(n[:20]) for n, _ in self._listing() if n.endswith(".json") and n[:20].isdigit())
 
     def current_version(self) -> int:
-        return max([*self.versions(), self.checkpoint_version() if self.checkpoint_version() is not None else -1])
+        base = self.checkpoint_version()
+        return max([*self.versions(), base if base is not None else -1])
+
+    def _published(self) -> list[int]:
+        return sorted(int(n[len("_last-") : -len(".json")]) for n, _ in self._listing() if n.startswith("_last-") and n.endswith(".json"))
 
-    def checkpoint_version(self) -> int | None:
-        found = [int(n[len("checkpoint-") : -len(".parquet")]) for n, _ in self._listing() if n.startswith("checkpoint-") and n.endswith(".parquet")]
+    def checkpoint_version(self, up_to: int | None = None) -> int | None:
+        found = [v for v in self._published() if up_to is None or v <= up_to]
         return max(found) if found else None
 
-    def _create(self, name: str, text: str) -> bool:
-        """Create a file that does not exist yet; false if it does."""
+    def _text(self, name: str) -> str:
+        stream = self._fs.open(self._path(name))
         try:
-            out = self._fs.create(self._path(name), False)
-        except Exception:
-            if self._fs.exists(self._path(name)):
-                return False
-            raise
+            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+
+    def _checkpoint_path(self, version: int) -> str:
+        return f"{self.root}/{json.loads(self._text(f'{self.root}/_last-{version}.json'))['path']}"
+
+    def _create(self, name: str, text: str) -> bool:
+        """Create a file that does not exist yet, whole; false if it exists."""
+        aside, to = self._path(f"{self.root}/_aside-{uuid.uuid4().hex}"), self._path(name)
+        self._fs.mkdirs(self._path(self.root))
+        out = self._fs.create(aside, False)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return True
+        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(aside, to, self.spark.sparkContext._gateway.new_array(getattr(self.spark.sparkContext._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+            return True
+        except Exception:
+            self._fs.delete(aside, False)
+            if self._fs.exists(to):
+                return False
+            raise
 
     def initialise(self, schema_string: str, partition_columns: list[str] | None = None) -> int:
         rows = [{"action": "protocol", "protocolVersion": PROTOCOL}, {"action": "metaData", "schemaString": schema_string, "reason": ",".join(partition_columns or [])}]
@@ -156,20 +220,24 @@ class TransactionLog:
 
     def actions(self, up_to: int | None = None) -> DataFrame:
         """The checkpoint's rows and those of later versions."""
-        base = self.checkpoint_version()
-        base = None if base is not None and up_to is not None and base > up_to else base
+        base = self.checkpoint_version(up_to)
         names = [self._name(v) for v in self.versions() if (base is None or v > base) and (up_to is None or v <= up_to)]
         out = self.spark.read.schema(ACTION_SCHEMA).json(names) if names else self.spark.createDataFrame([], ACTION_SCHEMA)
-        return out if base is None else out.unionByName(self.spark.read.schema(ACTION_SCHEMA).parquet(f"{self.root}/checkpoint-{base}.parquet"))
+        return out if base is None else out.unionByName(self.spark.read.schema(ACTION_SCHEMA).parquet(self._checkpoint_path(base)))
 
     def read_version(self, version: int) -> DataFrame:
         return self.spark.read.schema(ACTION_SCHEMA).json(self._name(version))
 
-    def checkpoint(self) -> int:
-        """Write the state as a Parquet folder: live files, skips, and the protocol and metadata in force."""
+    def checkpoint(self, keep_removed_since: int | None = None) -> int:
+        """Write the state as a Parquet folder, then publish it: live files, skips, the protocol and metadata in force, and removes that are not older than asked (tombstones)."""
         version, every = self.current_version(), self.actions()
+        every = every.filter(F.col("version") <= version)
         state = replay(every).unionByName(last_of(every, "protocol")).unionByName(last_of(every, "metaData")).unionByName(every.filter("action = 'mergeskip'"))
-        state.write.mode("overwrite").parquet(f"{self.root}/checkpoint-{version}.parquet")
+        if keep_removed_since is not None:
+            state = state.unionByName(tombstones(every).filter(F.col("deletionTimestamp") >= keep_removed_since))
+        name = f"checkpoint-{version}-{uuid.uuid4().hex}.parquet"
+        state.write.parquet(f"{self.root}/{name}")
+        self._create(f"{self.root}/_last-{version}.json", json.dumps({"version": version, "path": name}))  # of two writers the first is read
         return version
 
     def auto_checkpoint(self, every: int = 10) -> int | None:
@@ -185,28 +253,53 @@ class TransactionLog:
                 self._fs.delete(self._path(f"{self.root}/{n}"), False)
         return len(old), 0 if dry_run else len(old)
 
-    # ------------------------------------------------------------------ data
-    def append(self, df: DataFrame, partition_by: list[str] | None = None, max_records: int = 0, stats: list[str] | None = None) -> int:
-        """Write rows as Parquet beside the log and commit the files with counts and bounds of ``stats``."""
-        import uuid
+    def _files(self) -> DataFrame:
+        """``path, time`` (milliseconds) of the data files that exist."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.data)
+        return found.select("path", F.unix_millis("modificationTime").alias("time"))
+
+    def collect_garbage(self, removed_before: int, dry_run: bool = False) -> int:
+        """Delete data files that were removed before that time, or left behind uncommitted; how many they are."""
+        listed = f"{self.root}/_garbage-{uuid.uuid4().hex}"  # the list is written before any file goes
+        garbage(self.actions(), self._files(), removed_before).write.parquet(listed)
+        n = 0
+        for row in self.spark.read.schema("path string").parquet(listed).toLocalIterator():
+            n += 1
+            if not dry_run:
+                self._fs.delete(self._path(row["path"]), False)
+        self._fs.delete(self._path(listed), True)
+        return n
 
+    # ------------------------------------------------------------------ data
+    def _written(self, df: DataFrame, partition_by: list[str], max_records: int, stats: list[str]) -> list[dict]:
+        """Write rows as Parquet beside the log; the files' adds, with counts and bounds of ``stats``. No reader sees them before they are committed."""
         batch = uuid.uuid4().hex
         writer = df.withColumn(_BATCH, F.lit(batch)).write.option("maxRecordsPerFile", max_records)
-        writer.mode("append").partitionBy(_BATCH, *(partition_by or [])).parquet(self.data)
-        read = self._read([f"{self.data}/{_BATCH}={batch}"])
-        bounds = [F.min(c).cast("string").alias(f"lo_{c}") for c in stats or []] + [F.max(c).cast("string").alias(f"hi_{c}") for c in stats or []]
-        keys = [F.first(F.col(c).cast("string")).alias(f"p_{c}") for c in partition_by or []]
+        writer.mode("append").partitionBy(_BATCH, *partition_by).parquet(self.data)
+        at = f"{self.data}/{_BATCH}={batch}"
+        if not self._fs.exists(self._path(at)):
+            return []
+        read = self._read([at])
+        bounds = [c for name in stats for c in bounds_of(read, name)]
+        keys = [F.first(F.col(c).cast("string")).alias(f"p_{c}") for c in partition_by]
         per_file = read.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).agg(F.count(F.lit(1)).alias("n"), *bounds, *keys)
-        files = [
-            {"path": r["path"], "size": r["size"], "numRecords": r["n"], "partitionValues": {c: r[f"p_{c}"] for c in partition_by or []},
-             "minValues": {c: r[f"lo_{c}"] for c in stats or []}, "maxValues": {c: r[f"hi_{c}"] for c in stats or []}}
+        return [
+            {"action": "add", "dataChange": True, "path": r["path"], "size": r["size"], "numRecords": r["n"], "partitionValues": {c: r[f"p_{c}"] for c in partition_by},
+             "minValues": {c: r[f"min_{c}"] for c in stats}, "maxValues": {c: r[f"max_{c}"] for c in stats}}
             for r in per_file.toLocalIterator()
         ]
-        return self.add(files)
 
-    def scan(self, partition: Filter | None = None, data: Filter | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
-        """The rows of the live files that the filters leave."""
+    def append(self, df: DataFrame, partition_by: list[str] | None = None, max_records: int = 0, stats: list[str] | None = None) -> int:
+        """Write rows as Parquet beside the log and commit the files with counts and bounds of ``stats``."""
+        return self.commit(self._written(df, partition_by or [], max_records, stats or []))
+
+    def scan(self, partition: Filter | None = None, data: Filter | None = None, kinds: dict[str, str] | None = None, missing: str = "error") -> DataFrame:
+        """The rows of the live files that the filters leave; files that are gone are an error, or are ignored if ``missing`` says so."""
+        if missing not in ("error", "ignore"):
+            raise ValueError(f"missing files are an error or ignored, not {missing!r}")
         paths = [r["path"] for r in list_files(self.actions(), partition, data, kinds).select("path").toLocalIterator()]
+        if missing == "ignore":
+            paths = [p for p in paths if self._fs.exists(self._path(p))]
         if not paths:
             raise ValueError("no file is left")
         return self._read(paths)
@@ -219,8 +312,8 @@ class TransactionLog:
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.option("basePath", self.data).parquet(*paths).drop(_BATCH)
 
-    def merge(self, paths: list[str]) -> tuple[int, list[str]]:
-        """Rewrite files as one version; unreadable ones are skipped and reported."""
+    def merge(self, paths: list[str], files: int = 1, stats: list[str] | None = None) -> tuple[int, list[str]]:
+        """Rewrite files as about ``files`` ones; the new files and the removes are one version. Unreadable ones are skipped and reported."""
         if len(paths) < 2:
             raise ValueError("merging takes two files or more")
         good, bad = [], []
@@ -230,16 +323,22 @@ class TransactionLog:
                 good.append(p)
             except Exception:
                 bad.append(p)
-        version = self.append(self._read(good).coalesce(1), self._partitions())
-        self.remove(good, int(time.time() * 1000))
-        return version, bad
+        if len(good) < 2:
+            raise ValueError(f"fewer than two of the files can be read; not: {bad}")
+        rows = self._read(good)
+        rows = rows.repartition(files) if files > 1 else rows.coalesce(1)
+        return self.commit([*self._removes(good), *self._written(rows, self._partitions(), 0, stats or [])]), bad
+
+    @staticmethod
+    def _removes(paths: list[str]) -> list[dict]:
+        now = int(time.time() * 1000)
+        return [{"action": "remove", "path": p, "deletionTimestamp": now} for p in paths]
 
     def delete_where(self, keep, stats: list[str] | None = None) -> int:
-        """Rewrite the live files that hold rows for which ``keep`` is not true."""
+        """Rewrite the live files that hold rows for which ``keep`` is not true, in one version."""
         live = [r["path"] for r in replay(self.actions()).select("path").toLocalIterator()]
         hit = self._read(live).filter(~F.coalesce(keep, F.lit(False))).select(F.col("_metadata.file_path").alias("path")).distinct()
         paths = [r["path"] for r in hit.toLocalIterator()]
         if not paths:
             return self.current_version()
-        self.append(self._read(paths).filter(keep), self._partitions(), stats=stats)
-        return self.remove(paths, int(time.time() * 1000))
+        return self.commit([*self._removes(paths), *self._written(self._read(paths).filter(keep), self._partitions(), 0, stats or [])])
