@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from ..plans import nodes as q
 from ..plans.compile import Compiler, matching
 
-_METRICS = ("value_count", "count", "sum", "avg", "min", "max", "stats", "cardinality", "extended_stats", "percentiles")
-_BUCKETS = ("terms", "multi_terms", "histogram", "date_histogram", "range", "filter")
+_METRICS = ("value_count", "count", "sum", "avg", "min", "max", "stats", "cardinality", "extended_stats", "percentiles", "top_hits")
+_BUCKETS = ("terms", "multi_terms", "histogram", "date_histogram", "range", "filter", "composite")
 # Units of a fixed interval, in microseconds.
 _UNITS = {"ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000}
 
@@ -37,11 +37,13 @@ def _kind(spec: dict) -> tuple[str, dict]:
     return kinds[0], spec[kinds[0]]
 
 
-def metric(name: str, spec: dict, exact: bool = True) -> list[Column]:
-    """The columns of a metric; ``value`` takes the name."""
+def metric(name: str, spec: dict, exact: bool = True, schema: T.StructType | None = None) -> list[Column]:
+    """The columns of a metric; ``value`` takes the name. Of an array every value that is not null counts."""
     kind, body = _kind(spec)
-    if kind not in _METRICS:
-        raise ValueError(f"{kind} is not a metric")
+    if kind not in _METRICS or kind == "top_hits":
+        raise ValueError(f"{kind} is not a metric of columns")
+    if schema is not None and body["field"] in schema.names and isinstance(schema[body["field"]].dataType, T.ArrayType):
+        return _array_metric(name, kind, F.col(f"`{body['field']}`"))
     c = F.col(f"`{body['field']}`")
     if "missing" in body:
         c = F.coalesce(c, F.lit(body["missing"]))
@@ -61,6 +63,18 @@ def metric(name: str, spec: dict, exact: bool = True) -> list[Column]:
     return [F.percentile_approx(d, float(p) / 100).alias(f"{name}_p{p:g}") for p in body.get("percents", (50, 95, 99))]
 
 
+def _array_metric(name: str, kind: str, c: Column) -> list[Column]:
+    values = F.filter(c, lambda x: x.isNotNull())
+    count = F.coalesce(F.sum(F.when(c.isNotNull(), F.size(values)).otherwise(0)), F.lit(0))
+    total = F.sum(F.when(F.size(values) > 0, F.aggregate(F.transform(values, lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)))
+    parts = {"value_count": count, "count": count, "sum": total, "min": F.min(F.array_min(values)).cast("double"), "max": F.max(F.array_max(values)).cast("double"), "avg": total / F.nullif(count, F.lit(0))}
+    if kind == "stats":
+        return [parts[k].alias(f"{name}_{k}") for k in ("count", "sum", "min", "max", "avg")]
+    if kind not in parts:
+        raise ValueError(f"{kind} of an array")
+    return [parts[kind].alias(name)]
+
+
 @dataclass
 class _Level:
     """A bucket level: its key expression, whether a row can have several keys, and how the table of keys is completed."""
@@ -70,22 +84,32 @@ class _Level:
     subs: dict
 
 
-def _levels(spec: dict) -> tuple[list[_Level], dict[str, dict]]:
-    """Nested bucket levels from the outside in, and the metrics of the innermost."""
+def _levels(spec: dict) -> list[_Level]:
+    """Nested bucket levels from the outside in, each with its metrics."""
     levels: list[_Level] = []
     while True:
         kind, body = _kind(spec)
         subs = spec.get("aggs", spec.get("aggregations", {}))
         inner = {n: s for n, s in subs.items() if _kind(s)[0] in _BUCKETS}
-        metrics = {n: s for n, s in subs.items() if n not in inner}
-        levels.append(_Level(kind, body, metrics))
+        levels.append(_Level(kind, body, {n: s for n, s in subs.items() if n not in inner}))
         if not inner:
-            return levels, metrics
+            return levels
         if len(inner) > 1:
-            raise ValueError("a bucket holds one bucket aggregation at most; run the others on their own")
+            raise ValueError("several bucket aggregations in one bucket are several tables: see aggregate_each")
         spec = next(iter(inner.values()))
 
 
+def chains(spec: dict, name: str = "agg") -> dict[str, dict]:
+    """A tree of bucket aggregations as one chain for each innermost one, by path, such as ``flag>status``. Metrics of a level go with each chain through it."""
+    subs = spec.get("aggs", spec.get("aggregations", {}))
+    inner = {n: s for n, s in subs.items() if _kind(s)[0] in _BUCKETS}
+    own = {n: s for n, s in subs.items() if n not in inner}
+    body = {k: v for k, v in spec.items() if k not in ("aggs", "aggregations")}
+    if not inner:
+        return {name: body | {"aggs": own}}
+    return {f"{name}>{path}": body | {"aggs": own | {n: chain}} for n, s in inner.items() for path, chain in chains(s, n).items()}
+
+
 class Aggregator:
     def __init__(self, df: DataFrame, fields: q.Fields | None = None, exact: bool = True) -> None:
         self.df, self.fields, self.exact = df, fields or q.Fields(tokenizers={}), exact
@@ -144,26 +168,71 @@ class Aggregator:
 
     # ------------------------------------------------------------------ buckets
     def buckets(self, spec: dict) -> DataFrame:
-        levels, metrics = _levels(spec)
+        levels = _levels(spec)
+        if levels[0].kind == "composite":
+            return self.composite(levels)
         if levels[0].kind == "multi_terms":
+            if len(levels) > 1:
+                raise ValueError("multi_terms holds metrics only")
+            metrics = levels[0].subs
             b = levels[0].body
             names = [t["field"] if isinstance(t, dict) else t for t in b.get("terms", b.get("fields", []))]
             if len(names) < 2:
                 raise ValueError("multi_terms needs two fields or more")
             levels = [_Level("terms", {"field": f, "size": b.get("size", 10)}, {}) for f in names]
+            levels[-1].subs = metrics
         keys = ["key"] if len(levels) == 1 else [f"key_{i}" for i in range(len(levels))]
         df = self.df
         for level, key in zip(levels, keys, strict=True):
             df = self._keyed(df, level, key)
-        columns = [c for n, s in metrics.items() for c in metric(n, s, self.exact)]
-        out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("doc_count"), *columns)
+        out = self._grouped(df, keys, levels[-1].subs)
         for depth, level in enumerate(levels):
             if level.kind == "terms":
                 out = self._top(df, out, keys, depth, level)
         if len(levels) == 1:
-            out = self._complete(out, levels[0], keys[0])
+            return self._complete(out, levels[0], keys[0])
+        for depth, level in enumerate(levels[:-1]):  # metrics of an outer bucket stand beside each of its inner ones
+            if level.subs:
+                outer = self._grouped(df, keys[: depth + 1], level.subs).withColumnRenamed("doc_count", f"doc_count_{depth}")
+                if clash := set(outer.columns) & set(out.columns) - set(keys):
+                    raise ValueError(f"metrics of two levels have the same name: {sorted(clash)}")
+                out = out.join(outer, keys[: depth + 1], "left").select(*out.columns, *outer.columns[depth + 1 :])
         return out
 
+    def _grouped(self, df: DataFrame, keys: list[str], metrics: dict[str, dict]) -> DataFrame:
+        hits = {n: s["top_hits"] for n, s in metrics.items() if _kind(s)[0] == "top_hits"}
+        columns = [c for n, s in metrics.items() if n not in hits for c in metric(n, s, self.exact, self.df.schema)]
+        out = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("doc_count"), *columns)
+        for name, body in hits.items():
+            out = out.join(self._hits(df, keys, name, body), keys, "left")
+        return out
+
+    def _hits(self, df: DataFrame, keys: list[str], name: str, body: dict) -> DataFrame:
+        """The first ``size`` rows of each bucket by ``sort``, as an array of structs of ``_source``; ranks are cut before the shuffle."""
+        size, source = body.get("size", 3), body.get("_source") or self.df.columns
+        order = [(f, way) for item in body.get("sort", []) for f, way in item.items()]
+        by = [F.col(f"`{f}`").desc_nulls_last() if way == "desc" else F.col(f"`{f}`").asc_nulls_last() for f, way in order]
+        by += [F.col(f"`{c}`").asc_nulls_last() for c in source if c not in dict(order) and isinstance(self.df.schema[c].dataType, T.AtomicType)]
+        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter(F.col("_rank") <= size)
+        rows = F.sort_array(F.collect_list(F.struct("_rank", F.struct(*[F.col(f"`{c}`") for c in source]).alias("row"))))
+        return ranked.groupBy(*keys).agg(F.transform(rows, lambda r: r["row"]).alias(name))
+
+    def composite(self, levels: list[_Level]) -> DataFrame:
+        """Buckets of all combinations of the sources' keys, in key order, ``size`` of them after the key ``after``: pages of a whole grouping."""
+        if len(levels) > 1:
+            raise ValueError("composite holds metrics only")
+        body, df, keys = levels[0].body, self.df, []
+        for source in body["sources"]:
+            (name, inner), *_ = source.items()
+            kind, own = _kind(inner)
+            df = self._keyed(df, _Level(kind, own, {}), name)
+            keys.append(name)
+        out = self._grouped(df, keys, levels[0].subs)
+        if after := body.get("after"):
+            last = F.struct(*[F.lit(after[k]).cast(out.schema[k].dataType).alias(k) for k in keys])
+            out = out.filter(F.struct(*keys) > last)
+        return out.orderBy(*keys).limit(body.get("size", 10))
+
     @staticmethod
     def _top(df: DataFrame, out: DataFrame, keys: list[str], depth: int, level: _Level) -> DataFrame:
         """``size`` holds for each parent: the first terms by count, then key (or by key)."""
@@ -218,13 +287,16 @@ class Aggregator:
     def run(self, name: str, spec: dict) -> DataFrame:
         kind, body = _kind(spec)
         if kind in _METRICS:
-            columns = metric("value", spec, self.exact)
+            if kind == "top_hits":
+                one = self.df.withColumn("_all", F.lit(0))
+                return Aggregator(one, self.fields, self.exact)._hits(one, ["_all"], "value", body | {"_source": body.get("_source") or self.df.columns}).select("value")
+            columns = metric("value", spec, self.exact, self.df.schema)
             names = [c.strip() for c in ("count", "sum", "min", "max", "avg")]
             out = self.df.agg(*columns)
             return out.toDF(*[c.removeprefix("value_") for c in out.columns]) if kind in ("stats", "extended_stats") and names else out
         if kind == "filter":
             inner = Aggregator(matching(self.df, body if isinstance(body, q.Query) else q.Query.from_json(body), self.fields), self.fields, self.exact)
-            return inner.df.agg(F.count(F.lit(1)).alias("doc_count"), *[c for n, s in spec.get("aggs", {}).items() for c in metric(n, s, self.exact)])
+            return inner.df.agg(F.count(F.lit(1)).alias("doc_count"), *[c for n, s in spec.get("aggs", {}).items() for c in metric(n, s, self.exact, self.df.schema)])
         return self.buckets(spec)
 
 
@@ -240,10 +312,16 @@ def aggregate_all(df: DataFrame, specs: dict[str, dict], query: q.Query | None =
     metrics = {n: s for n, s in specs.items() if _kind(s)[0] in _METRICS}
     out = {n: Aggregator(rows, fields, exact).run(n, s) for n, s in specs.items() if n not in metrics}
     if metrics:
-        out["_metrics"] = rows.agg(*[c for n, s in metrics.items() for c in metric(n, s, exact)])
+        out["_metrics"] = rows.agg(*[c for n, s in metrics.items() for c in metric(n, s, exact, rows.schema)])
     return out
 
 
+def aggregate_each(df: DataFrame, spec: dict, name: str = "agg", query: q.Query | None = None, fields: q.Fields | None = None, exact: bool = True) -> dict[str, DataFrame]:
+    """A bucket aggregation that holds several others, as a table for each innermost one, by path."""
+    rows = matching(df, query, fields) if query is not None else df
+    return {path: Aggregator(rows, fields, exact).run(path, chain) for path, chain in chains(spec, name).items()}
+
+
 def sum_other_doc_count(df: DataFrame, spec: dict, fields: q.Fields | None = None) -> DataFrame:
     """Rows with a key that is not among the returned terms."""
     level = _Level("terms", spec["terms"], {})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import analysis
 from ..plans import nodes as q
@@ -21,14 +24,20 @@ def scoring_terms(query: q.Query, fields: q.Fields) -> set[tuple[str, str]]:
         return {(query.field, query.value.lower() if lower else query.value)}
     if isinstance(query, q.TermSet):
         return set()
+    if isinstance(query, q.Phrase) or (isinstance(query, q.FullText) and query.mode == "phrase"):
+        return {(query.field, t) for t in _phrase_terms(query, fields)}
     if isinstance(query, q.FullText):
         return {(query.field, t) for t in analysis.plain_tokens(query.text, fields.tokenizer(query.field))}
-    if isinstance(query, q.Phrase):
-        return {(query.field, t if isinstance(t, str) else t[1]) for t in query.terms}
     inner = (*query.must, *query.should) if isinstance(query, q.Bool) else query.children()
     return set().union(*(scoring_terms(c, fields) for c in inner))
 
 
+def _phrase_terms(query: q.Query, fields: q.Fields) -> list[str]:
+    if isinstance(query, q.FullText):
+        return analysis.plain_tokens(query.text, fields.tokenizer(query.field))
+    return [t if isinstance(t, str) else t[1] for t in query.terms]
+
+
 def term_statistics(df: DataFrame, terms: set[tuple[str, str]], fields: q.Fields) -> dict:
     """Rows, mean field lengths and document frequencies in one pass; the result is one row."""
     compiler = Compiler(df.schema, fields)
@@ -55,9 +64,26 @@ class Scorer:
         norm = K1 * (1 - B + B * F.coalesce(F.size(toks), F.lit(0)) / self.stats["length"][field])
         return idf * tf * (K1 + 1) / (tf + norm)
 
+    def phrase(self, field: str, terms: list[str]) -> Column:
+        """BM25 of a phrase: how often it stands in the row, at the sum of its words' weights."""
+        n = self.stats["n"]
+        idf = sum(math.log(1 + (n - df + 0.5) / (df + 0.5)) for df in (self.stats["df"][(field, t)] for t in terms))
+        toks = F.col(f"_tok_{field}")
+
+        def frequency(ts: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: reduce(lambda a, b: a & b, [F.coalesce(F.get(ts, i + k) == t, F.lit(False)) for k, t in enumerate(terms)]))
+            return F.when(F.size(ts) > 0, F.size(starts)).otherwise(0)
+
+        tf = F.coalesce(F.transform(F.array(toks), frequency).getItem(0), F.lit(0)).cast("double")
+        norm = K1 * (1 - B + B * F.coalesce(F.size(toks), F.lit(0)) / self.stats["length"][field])
+        return F.lit(idf) * tf * (K1 + 1) / (tf + norm)
+
     def of(self, query: q.Query) -> Column:
         """The query's score on a row that it matches, 0 on others."""
         zero = F.lit(0.0)
+        strict = (isinstance(query, q.Phrase) and not query.slop and not query.prefix_last and all(isinstance(t, str) for t in query.terms)) or (isinstance(query, q.FullText) and query.mode == "phrase" and not query.slop)
+        if strict and len(words := _phrase_terms(query, self.fields)) > 1:  # other phrases score as their words do
+            return F.when(self.compiler.compile(query), self.phrase(query.field, words)).otherwise(zero)
         if isinstance(query, q.Boost):
             return self.of(query.query) * query.boost
         if isinstance(query, q.ConstScore):
@@ -140,11 +166,103 @@ def more_like_this(df: DataFrame, id_col: str, seed, field: str, max_terms: int
     return q.Bool(should=tuple(q.Term(field, t) for t in found)) if found else q.MatchNone()
 
 
+def retrieve(df: DataFrame, query: q.Query, columns: list[str] | None = None, fields: q.Fields | None = None, complex_as_json: bool = False) -> DataFrame:
+    """All matching rows, unscored, in columns; arrays, maps and structs as they are or as JSON text."""
+    out = matching(df, query, fields).select(*(columns or df.columns))
+    return out.select(*[as_json(out, c).alias(c) if complex_as_json else F.col(c) for c in out.columns])
+
+
+def as_json(df: DataFrame, column: str) -> Column:
+    """Arrays, maps and structs as JSON text, other columns as they are."""
+    return F.to_json(F.col(column)) if isinstance(df.schema[column].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(column)
+
+
+def stream_batches(df: DataFrame, query: q.Query, columns: list[str] | None = None, fields: q.Fields | None = None, rows: int = 10_000) -> Iterator:
+    """The matching rows as Arrow record batches of up to ``rows`` rows, one partition at a time on the driver."""
+    import pyarrow as pa
+
+    out = retrieve(df, query, columns, fields)
+    held, schema = [], None
+    for row in out.toLocalIterator():
+        held.append(row.asDict(recursive=True))
+        if len(held) == rows:
+            batch = pa.RecordBatch.from_pylist(held, schema)
+            schema, held = batch.schema, []
+            yield batch
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def binary_docs(df: DataFrame, id_col: str) -> DataFrame:
+    """``id, doc``: each row as JSON bytes."""
+    return df.select(F.col(id_col), F.to_json(F.struct(*df.columns)).cast("binary").alias("doc"))
+
+
+def counts(df: DataFrame) -> DataFrame:
+    """``n_docs, n_segments``: rows, and the files they lie in."""
+    return df.select(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_distinct("f").alias("n_segments"))
+
+
+def document(df: DataFrame, id_col: str, value) -> dict | None:
+    """One row by its id, as a dict; values of repeated fields are lists."""
+    row = df.filter(F.col(id_col) == F.lit(value)).limit(1).first()
+    return None if row is None else row.asDict(recursive=True)
+
+
 def postings(df: DataFrame, id_col: str, field: str, fields: q.Fields | None = None) -> DataFrame:
-    """The inverted index as a table: ``term, id, tf, positions``."""
-    toks = Compiler(df.schema, fields).terms(field)
-    each = df.select(F.col(id_col), F.posexplode(toks).alias("pos", "term"))
-    return each.groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """The inverted index as a table: ``term, id, tf, length, positions``."""
+    toks = Compiler(df.schema, fields or q.Fields()).terms(field)
+    each = df.select(F.col(id_col), toks.alias("_toks")).select(id_col, F.size("_toks").alias("length"), F.posexplode("_toks").alias("pos", "term"))
+    # a term's places in a row come from one row, so they meet there already
+    return each.groupBy("term", id_col, "length").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", id_col, "tf", "length", "positions")
+
+
+class PostingsTable:
+    """A stored inverted index: postings in Parquet, sorted by term so that a search reads a term's row groups only, and the statistics of BM25."""
+
+    def __init__(self, spark, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @staticmethod
+    def write(df: DataFrame, path: str, id_col: str, field: str, fields: q.Fields | None = None, part: str = "0") -> PostingsTable:
+        """Index one part of a table; parts are added side by side."""
+        out = PostingsTable(df.sparkSession, path)
+        toks = Compiler(df.schema, fields or q.Fields()).terms(field)
+        rows = postings(df, id_col, field, fields).withColumnRenamed(id_col, "id")
+        rows.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{out.path}/postings/part={part}")
+        rows = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.greatest(F.size(toks), F.lit(0)), F.lit(0))).alias("tokens"))
+        rows.write.mode("overwrite").parquet(f"{out.path}/statistics/part={part}")
+        return out
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    def validate(self) -> dict:
+        """Parts, rows and tokens; an error if the postings and the statistics disagree."""
+        stats = self.spark.read.parquet(f"{self.path}/statistics").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first().asDict()
+        held = self.postings().agg(F.sum("tf").alias("tf")).first()["tf"] or 0
+        if held != stats["tokens"]:
+            raise ValueError(f"the postings hold {held} tokens, the statistics {stats['tokens']}")
+        return stats
+
+    def merge(self, path: str) -> PostingsTable:
+        """All parts as one, at a new place."""
+        out = PostingsTable(self.spark, path)
+        self.postings().drop("part").repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{out.path}/postings/part=0")
+        self.spark.read.parquet(f"{self.path}/statistics").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).write.parquet(f"{out.path}/statistics/part=0")
+        return out
+
+    def search(self, terms: list[str], limit: int, every: bool = False) -> DataFrame:
+        """``id, score``: the best rows by BM25 that hold any (or every one) of the terms. Only these terms' postings are read."""
+        stats = self.spark.read.parquet(f"{self.path}/statistics").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
+        n, mean = stats["n"] or 0, (stats["tokens"] or 0) / max(1, stats["n"] or 0) or 1.0
+        hit = self.postings().filter(F.col("term").isin(terms)).select("term", "id", "tf", "length")
+        df = {r["term"]: r["df"] for r in hit.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row for each asked term
+        idf = reduce(lambda a, t: F.when(F.col("term") == t, math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))).otherwise(a), df, F.lit(0.0))
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+        found = hit.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("_k"))
+        found = found.filter(F.col("_k") == len(set(terms))) if every else found
+        return found.select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def top_per_group(df: DataFrame, group: str, by: Column, k: int, id_col: str) -> DataFrame:
