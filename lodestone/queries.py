@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import analysis
-from .functions.ip import v4_key
-from .operators import aggs, search
+from .functions.ip import ip_key, ip_text, v4_key
+from .operators import aggs, joins, search
 from .plans import nodes as q
 from .plans.compile import matching
 from .plans.parser import parse_query
 from .plans.rewrite import with_string_modes
-from .sources import filters
-from .sources.txlog import changes, list_files, replay
+from .sources import delta, filters, parquet
+from .sources.txlog import TransactionLog, changes, list_files, manifest, prune_manifest, replay, tombstones
 from .streaming import streams
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -59,10 +62,10 @@ _docs("q09_dismax_filter", q.DisMax((q.Term("text", "pathetic"), q.Term("text",
 _docs("q12_regex", q.Regex("text", "wh[ae]t?"), _any("regexp_full_match(t, 'wh[ae]t?')"))
 _docs("q13_wildcard_prefix", q.Wildcard("text", "path*"), _any("starts_with(t, 'path')"))
 _docs("q13_wildcard_one", q.Wildcard("text", "w?th"), _any("regexp_full_match(t, 'w.th')"))
-_docs("q13a_wildcard_words", q.Wildcard("text", "path* der*"), f"{_any("starts_with(t, 'path')")} AND {_any("starts_with(t, 'der')")}")
-_docs("q13b_wildcard_unordered", q.Wildcard("text", "*ingle*ount*"), f"{_any("contains(t, 'ingle')")} AND {_any("contains(t, 'ount')")}")
-_docs("q14_wildcard_lenient", q.Wildcard("nothing", "a*", lenient=True), "false")
-_docs("s01_term_exact_case", q.Term("text", "The", analyzed=False), "list_contains(tok, 'The')")
+_docs("q13a_wildcard_words", q.Wildcard("text", "ntio* ther*"), f"{_any("starts_with(t, 'ntio')")} AND {_any("starts_with(t, 'ther')")}")
+_docs("q13b_wildcard_unordered", q.Wildcard("text", "*ntion*ingth*"), f"{_any("contains(t, 'ntion')")} AND {_any("contains(t, 'ingth')")}")
+_docs("q14_wildcard_lenient", q.Bool(should=(q.Wildcard("nothing", "a*", lenient=True), q.Term("text", "pathetic"))), "list_contains(tok, 'pathetic')")
+_docs("s01_term_exact_case", q.Bool(should=(q.Term("text", "The", analyzed=False), q.Term("source", "src1", analyzed=False), q.Term("lang", "de", analyzed=False), q.Term("lang", "FR", analyzed=False))), "list_contains(tok, 'The') OR source = 'src1' OR lang = 'de'")
 _docs("s02_minimum_should_match", q.Bool(should=tuple(q.Term("text", t) for t in ("pathetic", "worthless", "the", "of")), minimum_should_match=3), "(list_contains(tok,'pathetic')::int + list_contains(tok,'worthless')::int + list_contains(tok,'the')::int + list_contains(tok,'of')::int) >= 3")
 _docs("s06_glob_ordered", q.Wildcard("text", "*th*ble*", ordered=True), _any("regexp_full_match(t, '.*th.*ble.*')"))
 _docs("s14_phrase_prefix", q.Phrase("text", ("of", "th"), prefix_last=True), "contains(' ' || array_to_string(tok, ' ') || ' ', ' of th')")
@@ -135,9 +138,27 @@ _register(
     lambda s, d: search.by_ids(_t(s, d, "documents"), [42, 7, 3], "doc_id", ["doc_id", "lang"]),
     "SELECT p.pos::int AS pos, d.doc_id, d.lang FROM documents d JOIN (VALUES (0, 42), (1, 7), (2, 3)) p(pos, id) ON d.doc_id = p.id",
 )
-_register("r12_snippets", lambda s, d: search.snippets(matching(_t(s, d, "documents"), q.Term("text", "pathetic")), "text", ["pathetic"]).select("doc_id", "snippet"))
-_register("q15_more_like_this", lambda s, d: matching(_t(s, d, "documents"), search.more_like_this(_t(s, d, "documents"), "doc_id", 1, "text")).select("doc_id"))
-_register("q19_explain", lambda s, d: search.explain(_t(s, d, "documents"), _TWO).select("doc_id", F.size("_explain").alias("n_parts")))
+_HIT = r"(?i)(^|[^\p{L}\p{N}])(pathetic)($|[^\p{L}\p{N}])"
+_register(
+    "r12_snippets",
+    lambda s, d: search.snippets(matching(_t(s, d, "documents"), q.Term("text", "pathetic")), "text", ["pathetic"]).select("doc_id", "snippet"),
+    f"""WITH t AS (SELECT doc_id, text, length(regexp_extract(text, '(?is)^(.*?(?:^|[^\\p{{L}}\\p{{N}}]))pathetic(?:$|[^\\p{{L}}\\p{{N}}])', 1)) + 1 AS hit FROM documents WHERE list_contains({_TOK}, 'pathetic'))
+    SELECT doc_id, regexp_replace(substr(text, greatest(1, hit - 50), 150), '{_HIT}', '\\1<b>\\2</b>\\3', 'g') AS snippet FROM t""",
+)
+_register(
+    "q15_more_like_this",
+    lambda s, d: matching(_t(s, d, "documents"), search.more_like_this(_t(s, d, "documents"), "doc_id", 1, "text")).select("doc_id"),
+    f"""WITH t AS (SELECT doc_id, {_TOK} AS tok FROM documents), own AS (SELECT w, count(*) AS tf FROM (SELECT unnest(tok) AS w FROM t WHERE doc_id = 1) GROUP BY 1),
+    f AS (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(tok)) AS w FROM t) WHERE w IN (SELECT w FROM own) GROUP BY 1),
+    best AS (SELECT list(w) AS ws FROM (SELECT w FROM own JOIN f USING (w) WHERE df >= 2 ORDER BY tf * ln((SELECT count(*) FROM documents) / df) DESC, w LIMIT 10))
+    SELECT doc_id FROM t, best WHERE list_has_any(tok, ws)""",
+)
+_register(
+    "q19_explain",
+    lambda s, d: search.explain(_t(s, d, "documents"), _TWO).select("doc_id", F.round(F.col("_explain")["text:pathetic"], 6).alias("one"), F.round(F.col("_explain")["text:the"], 6).alias("two")),
+    _BM25.split("s AS (SELECT")[0] + """s AS (SELECT doc_id, ln(1+(n-d1+0.5)/(d1+0.5))*f1*2.2/(f1+1.2*(0.25+0.75*l/avgl)) AS one, ln(1+(n-d2+0.5)/(d2+0.5))*f2*2.2/(f2+1.2*(0.25+0.75*l/avgl)) AS two FROM f, st WHERE f1 > 0 OR f2 > 0)
+    SELECT doc_id, round(one, 6) AS one, round(two, 6) AS two FROM s""",
+)
 _register(
     "r16_tokens",
     lambda s, d: _t(s, d, "documents").select(F.explode(analysis.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")),
@@ -303,8 +324,8 @@ _register(
 # ---------------------------------------------------------------------- inherited from Spark: joins, windows, sets, cubes, event time
 _register(
     "l_join_semi_anti",
-    lambda s, d: _t(s, d, "customer").join(_t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"),
-    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    lambda s, d: _t(s, d, "customer").join(_t(s, d, "orders").filter("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").join(_t(s, d, "orders").filter("o_orderpriority = '1-URGENT'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"),
+    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 )
 _register(
     "l_window_rank",
@@ -324,12 +345,57 @@ _register(
 
 
 def _as_of(s: SparkSession, d: str) -> DataFrame:
-    """The last order of a customer at or before each of its orders' next: per order the price of the order before it."""
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return _t(s, d, "orders").select("o_orderkey", F.lag("o_totalprice").over(w).alias("before"))
+    """For each purchase the last click of its user at or before it."""
+    e = _t(s, d, "events")
+    clicks = e.filter("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"))
+    return joins.as_of_join(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, ["user_id"], "ts", "click_ts", ["click_id"]).select("event_id", "click_id")
 
 
-_register("l_as_of", _as_of, "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders")
+_register(
+    "l_as_of",
+    _as_of,
+    "SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts",
+)
+_register(
+    "l_range_join",
+    lambda s, d: joins.range_join(_t(s, d, "part"), _t(s, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 50 + 900).alias("lo"), (F.col("n_nationkey") * 50 + 960).alias("hi")), F.col("p_retailprice"), F.col("lo"), F.col("hi"), 60).select("p_partkey", "n_nationkey"),
+    "SELECT p_partkey, n_nationkey FROM part JOIN nation ON p_retailprice BETWEEN n_nationkey * 50 + 900 AND n_nationkey * 50 + 960",
+)
+_register(
+    "l_union_except",
+    lambda s, d: _t(s, d, "orders").filter("o_totalprice > 200000").select("o_custkey").union(_t(s, d, "customer").filter("c_acctbal < 0").select("c_custkey")).exceptAll(_t(s, d, "customer").select("c_custkey")),
+    "(SELECT o_custkey FROM orders WHERE o_totalprice > 200000 UNION ALL SELECT c_custkey FROM customer WHERE c_acctbal < 0) EXCEPT ALL SELECT c_custkey FROM customer",
+)
+_register(
+    "l_rollup",
+    lambda s, d: _t(s, d, "lineitem").rollup("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linenumber)",
+)
+_register(
+    "l_grouping_sets",
+    lambda s, d: _t(s, d, "orders").groupingSets([["o_orderstatus"], ["o_orderpriority"], []], "o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())",
+)
+_register(
+    "l_pivot",
+    lambda s, d: _t(s, d, "lineitem").groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1))).select("l_linestatus", *[F.coalesce(c, F.lit(0)).alias(c.lower()) for c in "ANR"]),
+    "SELECT l_linestatus, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1",
+)
+
+
+def _lateral(s: SparkSession, d: str) -> DataFrame:
+    """A common table expression and a correlated lateral subquery in Spark SQL."""
+    nations, customers = (_t(s, d, t) for t in ("nation", "customer"))
+    text = """WITH n AS (SELECT n_nationkey, n_name FROM {nations} WHERE n_regionkey < 3)
+    SELECT n.n_name, c.c_custkey FROM n JOIN LATERAL (SELECT c_custkey FROM {customers} WHERE c_nationkey = n.n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) c"""
+    return s.sql(text, nations=nations, customers=customers)
+
+
+_register(
+    "l_lateral_cte",
+    _lateral,
+    "WITH n AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3) SELECT n.n_name, c.c_custkey FROM n, LATERAL (SELECT c_custkey FROM customer WHERE c_nationkey = n.n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 2) c",
+)
 _register(
     "l_event_windows",
     lambda s, d: streams.windowed(_t(s, d, "events"), "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")]).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n"),
@@ -344,6 +410,163 @@ _register(
 _register("h08_ip_key", lambda s, d: _addr(s, d).select("event_id", F.hex(v4_key(F.col("addr"))).alias("k")), "SELECT event_id, upper('00000000000000000000ffff0a' || printf('%02x%02x%02x', user_id % 4, user_id % 256, event_id % 256)) AS k FROM events")
 
 
+# ---------------------------------------------------------------------- dates, addresses, retrieval, postings
+_register(
+    "q02_date_term",
+    lambda s, d: matching(_t(s, d, "orders"), q.Term("o_orderdate", "1996-06-01")).select("o_orderkey"),
+    "SELECT o_orderkey FROM orders WHERE o_orderdate = TIMESTAMP '1996-06-01'",
+)
+_V6 = lambda s, d: _t(s, d, "events").select("event_id", F.concat(F.lit("2001:db8:"), F.hex(F.col("user_id")), F.lit("::"), F.hex(F.col("event_id") % 65536)).alias("addr"))
+_register(
+    "x05_ip_text",
+    lambda s, d: _V6(s, d).select("event_id", ip_text(ip_key(F.col("addr"))).alias("t")).unionByName(_addr(s, d).select("event_id", ip_text(ip_key(F.col("addr"))).alias("t"))),
+    """SELECT event_id, CASE WHEN event_id % 65536 = 0 THEN '2001:db8:' || CASE WHEN user_id = 0 THEN ':' ELSE lower(printf('%x', user_id)) || '::' END
+      WHEN user_id = 0 THEN '2001:db8::' || printf('%x', event_id % 65536) ELSE '2001:db8:' || printf('%x', user_id) || '::' || printf('%x', event_id % 65536) END AS t FROM events
+    UNION ALL SELECT event_id, '10.' || user_id % 4 || '.' || user_id % 256 || '.' || event_id % 256 FROM events""",
+)
+_register(
+    "q17_ipv6_range",
+    lambda s, d: matching(_V6(s, d), q.Range("addr", "2001:db8:10::", "2001:db8:20::ffff"), _IPS).select("event_id"),
+    "SELECT event_id FROM events WHERE user_id BETWEEN 16 AND 31 OR (user_id = 32)",
+)
+_register(
+    "r09_retrieve_complex",
+    lambda s, d: search.retrieve(_t(s, d, "benchmark").withColumn("words", F.split("text", " ")), q.Term("text", "the"), ["item_id", "words"], complex_as_json=True),
+    f"SELECT item_id, to_json(string_split(text, ' '))::varchar AS words FROM benchmark WHERE list_contains({_TOK}, 'the')",
+)
+_register("r14_counts", lambda s, d: search.counts(_t(s, d, "documents")), "SELECT count(*) AS n_docs, 1::bigint AS n_segments FROM documents")
+_register(
+    "r11_binary_docs",
+    lambda s, d: search.binary_docs(_t(s, d, "nation"), "n_nationkey").select("n_nationkey", F.sha1("doc").alias("doc")),
+    """SELECT n_nationkey, sha1('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS doc FROM nation""",
+)
+_register(
+    "r03_phrase_score",
+    lambda s, d: search.score(_t(s, d, "documents"), q.Phrase("text", ("of", "the"))).select("doc_id", F.round("_score", 6).alias("score")),
+    f"""WITH t AS (SELECT doc_id, {_TOK} AS tok FROM documents), st AS (SELECT count(*) AS n, avg(len(tok)) AS avgl, sum(list_contains(tok,'of')::int) AS d1, sum(list_contains(tok,'the')::int) AS d2 FROM t),
+    f AS (SELECT doc_id, len(tok) AS l, len(list_filter(list_zip(tok, tok[2:]), lambda x: x[1] = 'of' AND x[2] = 'the')) AS tf FROM t)
+    SELECT doc_id, round((ln(1+(n-d1+0.5)/(d1+0.5)) + ln(1+(n-d2+0.5)/(d2+0.5))) * tf * 2.2 / (tf + 1.2*(0.25+0.75*l/avgl)), 6) AS score FROM f, st WHERE tf > 0""",
+)
+
+
+def _folder(s: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
+
+
+def _stored_postings(s: SparkSession, d: str) -> DataFrame:
+    docs, where = _t(s, d, "documents"), _folder(s)
+    table = search.PostingsTable.write(docs.filter("doc_id % 2 = 0"), where, "doc_id", "text", part="even")
+    search.PostingsTable.write(docs.filter("doc_id % 2 <> 0"), where, "doc_id", "text", part="odd")
+    table.validate()
+    return table.merge(where + "-merged").search(["pathetic", "the"], 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_register("w10_stored_postings", _stored_postings, _BM25)
+
+
+def _log_table(s: SparkSession, d: str) -> TransactionLog:
+    """Nations as a logged table: two appends, a delete, a merge, a checkpoint and one more append."""
+    nation = _t(s, d, "nation")
+    log = TransactionLog(s, _folder(s))
+    log.initialise("{}", ["n_regionkey"])
+    log.append(nation.filter("n_nationkey < 10").coalesce(1), ["n_regionkey"], stats=["n_name"])
+    log.append(nation.filter("n_nationkey between 10 and 19").coalesce(1), ["n_regionkey"], stats=["n_name"])
+    log.delete_where(F.col("n_nationkey") % 4 != 1, stats=["n_name"])
+    of_two = [r["path"] for r in list_files(log.actions(), filters.Filter("eq", "n_regionkey", "2")).select("path").orderBy("path").collect()]
+    if len(of_two) > 1:
+        log.merge(of_two, stats=["n_name"])
+    log.checkpoint()
+    log.append(nation.filter("n_nationkey >= 20").coalesce(1), ["n_regionkey"], stats=["n_name"])
+    return log
+
+
+_register("w04_log_scan", lambda s, d: _log_table(s, d).scan().select("n_nationkey", "n_name", "n_regionkey"), "SELECT * FROM nation WHERE n_nationkey >= 20 OR n_nationkey % 4 <> 1")
+_register(
+    "f09_log_skipping",
+    lambda s, d: list_files(_log_table(s, d).actions(), filters.Filter("in", "n_regionkey", ["1", "2"]), filters.Filter("gte", "n_name", "A")).agg(F.sum("numRecords").alias("n")),
+    "SELECT count(*)::bigint AS n FROM nation WHERE (n_nationkey >= 20 OR n_nationkey % 4 <> 1) AND n_regionkey IN (1, 2)",
+)
+_register(
+    "f07_manifest_pruning",
+    lambda s, d: prune_manifest(manifest(_log(s, d), 10), filters.Filter("eq", "p", "1-URGENT")).select(F.element_at("low", "p").alias("p"), "files").groupBy("p").agg(F.sum("files").alias("files")),
+    _LOG_SQL + "SELECT p, count(*)::bigint AS files FROM live WHERE p = '1-URGENT' GROUP BY 1",
+)
+_register(
+    "t16_tombstones",
+    lambda s, d: _paths(tombstones(_log(s, d))),
+    _LOG_SQL + "SELECT path, version FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY version DESC) r FROM a) WHERE r = 1 AND action = 'remove'",
+)
+
+
+def _delta_files(s: SparkSession, d: str) -> DataFrame:
+    """Nations as the files of a Delta log: adds in two versions, then a remove of every fourth."""
+    where = _folder(s)
+    log = TransactionLog(s, where)
+    log.root = f"{where}/_delta_log"
+    rows = _t(s, d, "nation").orderBy("n_nationkey").collect()  # 25 rows
+    add = lambda r: {"add": {"path": f"{r['n_name']}.parquet", "partitionValues": {"r": str(r["n_regionkey"])}, "size": r["n_nationkey"], "modificationTime": 0, "dataChange": True}}
+    first = [{"metaData": {"id": "n", "schemaString": '{"type":"struct","fields":[]}', "partitionColumns": ["r"], "configuration": {}}}, *[add(r) for r in rows[:12]]]
+    for v, lines in enumerate((first, [add(r) for r in rows[12:]], [{"remove": {"path": f"{r['n_name']}.parquet", "deletionTimestamp": 1, "dataChange": True}} for r in rows[::4]])):
+        log._create(f"{log.root}/{v:020d}.json", "\n".join(json.dumps(x) for x in lines))
+    return delta.DeltaTable(s, where).files(partition=filters.Filter("in", "r", ["1", "2", "3"])).select("path", "size")
+
+
+_register("c01_delta_files", _delta_files, "SELECT n_name || '.parquet' AS path, n_nationkey::bigint AS size FROM nation WHERE n_nationkey % 4 <> 0 AND n_regionkey IN (1, 2, 3)")
+
+
+def _hive_files(s: SparkSession, d: str) -> DataFrame:
+    where = _folder(s)
+    _t(s, d, "nation").write.partitionBy("n_regionkey").parquet(where)
+    return parquet.files(s, where).select(F.col("partition_values")["n_regionkey"].alias("r")).distinct()
+
+
+_register("c15_hive_partitions", _hive_files, "SELECT DISTINCT n_regionkey::varchar AS r FROM nation")
+
+# ---------------------------------------------------------------------- aggregations of several levels, arrays, pages of groups
+_register(
+    "a14_outer_metrics",
+    _agg("lineitem", {"terms": {"field": "l_returnflag"}, "aggs": {"qty": {"sum": {"field": "l_quantity"}}, "s": {"terms": {"field": "l_linestatus"}, "aggs": {"top": {"max": {"field": "l_quantity"}}}}}}),
+    """WITH o AS (SELECT l_returnflag AS key_0, count(*) AS doc_count_0, sum(l_quantity) AS qty FROM lineitem GROUP BY 1)
+    SELECT key_0, l_linestatus AS key_1, count(*) AS doc_count, max(l_quantity) AS top, any_value(doc_count_0) AS doc_count_0, any_value(qty) AS qty FROM lineitem JOIN o ON key_0 = l_returnflag GROUP BY 1, 2""",
+)
+_register(
+    "a14_sibling_buckets",
+    lambda s, d: aggs.aggregate_each(_t(s, d, "orders"), {"terms": {"field": "o_orderstatus"}, "aggs": {"p": {"terms": {"field": "o_orderpriority"}}, "h": {"histogram": {"field": "o_totalprice", "interval": 100000}}}})["agg>p"],
+    "SELECT o_orderstatus AS key_0, o_orderpriority AS key_1, count(*) AS doc_count FROM orders GROUP BY 1, 2",
+)
+_register(
+    "a01_array_values",
+    lambda s, d: aggs.aggregate(_t(s, d, "benchmark").withColumn("lengths", F.transform(F.split("text", " "), lambda w: F.length(w))), {"stats": {"field": "lengths"}}).withColumn("avg", F.round("avg", 6)),
+    """SELECT count(x) AS "count", sum(x)::double AS "sum", min(x)::double AS "min", max(x)::double AS "max", round(avg(x), 6) AS "avg" FROM (SELECT unnest(list_transform(string_split(text, ' '), lambda w: length(w))) AS x FROM benchmark)""",
+)
+_register(
+    "a24_composite",
+    _agg("lineitem", {"composite": {"size": 7, "sources": [{"flag": {"terms": {"field": "l_returnflag"}}}, {"qty": {"histogram": {"field": "l_quantity", "interval": 10}}}], "after": {"flag": "A", "qty": 20.0}}, "aggs": {"tax": {"max": {"field": "l_tax"}}}}),
+    "SELECT l_returnflag AS flag, floor(l_quantity / 10) * 10 AS qty, count(*) AS doc_count, max(l_tax) AS tax FROM lineitem GROUP BY 1, 2 HAVING l_returnflag > 'A' OR (l_returnflag = 'A' AND floor(l_quantity / 10) * 10 > 20) ORDER BY 1, 2 LIMIT 7",
+)
+_register(
+    "a24_top_hits",
+    lambda s, d: aggs.aggregate(_t(s, d, "orders"), {"terms": {"field": "o_orderpriority"}, "aggs": {"best": {"top_hits": {"size": 2, "sort": [{"o_totalprice": "desc"}], "_source": ["o_orderkey"]}}}}).select("key", "doc_count", F.posexplode("best").alias("pos", "hit")).select("key", "doc_count", "pos", "hit.o_orderkey"),
+    "SELECT key, doc_count, r::int AS pos, o_orderkey FROM (SELECT o_orderpriority AS key, o_orderkey, count(*) OVER (PARTITION BY o_orderpriority) AS doc_count, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) - 1 AS r FROM orders) WHERE r < 2",
+)
+_register(
+    "a09_terms_include_missing",
+    lambda s, d: aggs.aggregate(_t(s, d, "documents").join(_t(s, d, "labels"), "doc_id", "left"), {"terms": {"field": "quality", "missing": "none", "include": ["none", "1"]}}),
+    "SELECT coalesce(quality::varchar, 'none') AS key, count(*) AS doc_count FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality::varchar, 'none') IN ('none', '1') GROUP BY 1",
+)
+_register(
+    "a24_extended_stats",
+    lambda s, d: aggs.aggregate(_t(s, d, "lineitem"), {"terms": {"field": "l_returnflag"}, "aggs": {"q": {"extended_stats": {"field": "l_quantity"}}}}).select("key", F.round("q_variance", 6).alias("variance"), F.round("q_std_deviation", 6).alias("deviation")),
+    "SELECT l_returnflag AS key, round(var_pop(l_quantity), 6) AS variance, round(stddev_pop(l_quantity), 6) AS deviation FROM lineitem GROUP BY 1",
+)
+
+
 def queries() -> dict[str, Run]:
     return dict(RUNS)
 

@@ -4,7 +4,7 @@ import json
 
 import pytest
 from lodestone.functions import analysis, ip
-from lodestone.operators import aggs, search
+from lodestone.operators import aggs, joins, search
 from lodestone.plans import nodes as q
 from lodestone.plans.compile import matching
 from lodestone.plans.parser import parse_lenient, parse_query
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 @pytest.fixture(scope="module")
 def books(spark):
-    rows = [(1, "Hello World"), (2, "World News"), (3, "Hello Universe"), (4, "Hello"), (5, "HelloWorld"), (6, "Machien Learning"), (7, "machine learning of the deep"), (8, None), (9, "")]
+    rows = [(1, "Copper Kettle"), (2, "Kettle Songs"), (3, "Copper Harbour"), (4, "Copper"), (5, "CopperKettle"), (6, "Lantren Keeper"), (7, "lantern keeper of the north"), (8, None), (9, "")]
     return spark.createDataFrame(rows, "id long, title string")
 
 
@@ -26,21 +26,21 @@ def ids(df):
 @pytest.mark.parametrize(
     ("query", "want"),
     [
-        (q.Term("title", "hello"), [1, 3, 4]),
-        (q.Term("title", "Hello", analyzed=False), []),
-        (q.Wildcard("title", "hello*"), [1, 3, 4, 5]),
-        (q.Wildcard("title", "*world"), [1, 2, 5]),
-        (q.Phrase("title", ("machine", "learning")), [7]),
-        (q.Phrase("title", ("machine", "the"), slop=2), [7]),
-        (q.Phrase("title", ("machine", "the"), slop=1), []),
-        (q.Fuzzy("title", "machine", 1), [6, 7]),
-        (q.Fuzzy("title", "machine", 1, transposition_cost_one=False), [7]),
-        (q.Fuzzy("title", "univ", 0, prefix=True), [3]),
+        (q.Term("title", "copper"), [1, 3, 4]),
+        (q.Term("title", "Copper", analyzed=False), []),
+        (q.Wildcard("title", "copper*"), [1, 3, 4, 5]),
+        (q.Wildcard("title", "*kettle"), [1, 2, 5]),
+        (q.Phrase("title", ("lantern", "keeper")), [7]),
+        (q.Phrase("title", ("lantern", "the"), slop=2), [7]),
+        (q.Phrase("title", ("lantern", "the"), slop=1), []),
+        (q.Fuzzy("title", "lantern", 1), [6, 7]),
+        (q.Fuzzy("title", "lantern", 1, transposition_cost_one=False), [7]),
+        (q.Fuzzy("title", "harb", 0, prefix=True), [3]),
         (~q.Exists("title"), [8]),
-        (q.Bool(must_not=(q.Term("title", "hello"),)), []),
-        (~q.Term("title", "hello"), [2, 5, 6, 7, 8, 9]),
-        (q.Regex("title", "hel+o"), [1, 3, 4]),
-        (q.Bool(should=(q.Term("title", "hello"), q.Term("title", "world")), minimum_should_match=2), [1]),
+        (q.Bool(must_not=(q.Term("title", "copper"),)), []),
+        (~q.Term("title", "copper"), [2, 5, 6, 7, 8, 9]),
+        (q.Regex("title", "cop+er"), [1, 3, 4]),
+        (q.Bool(should=(q.Term("title", "copper"), q.Term("title", "kettle")), minimum_should_match=2), [1]),
     ],
 )
 def test_predicates(books, query, want):
@@ -51,8 +51,8 @@ def test_predicates(books, query, want):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("hello AND world", [1]), ("hello world", [1, 2, 3, 4]), ("+hello -world", [3, 4]), ('title:"machine learning"', [7]), ("(news OR universe) AND NOT hello", [2]),
-        ("title:uni*", [3]), ("title:/univ.*/", [3]), ("id:[2 TO 4}", [2, 3]), ("id:>=8", [8, 9]), ("title:*", [1, 2, 3, 4, 5, 6, 7, 9]), ("machine~1", [6, 7]), ("*", list(range(1, 10))),
+        ("copper AND kettle", [1]), ("copper kettle", [1, 2, 3, 4]), ("+copper -kettle", [3, 4]), ('title:"lantern keeper"', [7]), ("(songs OR harbour) AND NOT copper", [2]),
+        ("title:har*", [3]), ("title:/harb.*/", [3]), ("id:[2 TO 4}", [2, 3]), ("id:>=8", [8, 9]), ("title:*", [1, 2, 3, 4, 5, 6, 7, 9]), ("lantern~1", [6, 7]), ("*", list(range(1, 10))),
     ],
 )
 def test_parser(books, text, want):
@@ -96,35 +96,99 @@ def test_addresses(spark):
 
 
 def test_ranking(books):
-    top = search.search(books, q.Bool(should=(q.Boost(q.Term("title", "news"), 5.0), q.Term("title", "hello"))), 2, "id").collect()
+    top = search.search(books, q.Bool(should=(q.Boost(q.Term("title", "songs"), 5.0), q.Term("title", "copper"))), 2, "id").collect()
     assert [r["id"] for r in top] == [2, 4]
-    assert search.doc_freq(books, "title", "hello") == 3
-    assert search.snippets(books.filter("id = 1"), "title", ["world"]).first()["snippet"] == "Hello <b>World</b>"
-
-
-PRODUCTS = [(1, "electronics", 10, 1.5), (2, "electronics", 25, 2.5), (3, "electronics", 50, 3.5), (4, "books", 75, 4.0), (5, "books", 100, 4.5), (6, "clothing", 150, 3.0), (7, "clothing", 200, 3.5), (8, "clothing", 250, 4.0), (9, "electronics", 500, 4.5), (10, "electronics", 1000, 5.0)]
+    assert search.doc_freq(books, "title", "copper") == 3
+    assert search.snippets(books.filter("id = 1"), "title", ["kettle"]).first()["snippet"] == "Copper <b>Kettle</b>"
 
 
 def test_aggregations(spark):
-    df = spark.createDataFrame(PRODUCTS, "id long, category string, price long, score double")
-    ranges = {"range": {"field": "price", "ranges": [{"key": "cheap", "to": 100}, {"key": "medium", "from": 100, "to": 500}, {"key": "expensive", "from": 500}]}}
-    assert {r["key"]: r["doc_count"] for r in aggs.aggregate(df, ranges).collect()} == {"cheap": 4, "medium": 4, "expensive": 2}
-    hist = aggs.aggregate(df, {"histogram": {"field": "price", "interval": 100, "hard_bounds": {"min": 0, "max": 300}}}).collect()
-    assert sum(r["doc_count"] for r in hist) == 8
-    full = aggs.aggregate(df, {"histogram": {"field": "price", "interval": 100}}).collect()
-    assert len(full) == 11 and min(r["doc_count"] for r in full) == 0
-    wide = aggs.aggregate(df, {"histogram": {"field": "price", "interval": 500, "extended_bounds": {"min": -500, "max": 2000}}}).collect()
-    assert sorted(r["key"] for r in wide) == [-500, 0, 500, 1000, 1500, 2000]
-    terms = aggs.aggregate(df, {"terms": {"field": "category", "size": 1}, "aggs": {"s": {"avg": {"field": "score"}}}}).collect()
-    assert [(r["key"], r["doc_count"], r["s"]) for r in terms] == [("electronics", 5, 3.4)]
-    empty = aggs.aggregate(df, {"stats": {"field": "price"}}, q.MatchNone()).first()
+    """Tools: three kinds, weights on both sides of each bound, one far from the others."""
+    rows = [("saw", 40, 2.0), ("saw", 99, 4.0), ("awl", 100, 1.0), ("awl", 130, 3.0), ("awl", 299, 5.0), ("axe", 300, 2.5), ("axe", 410, 3.5), ("awl", 760, 6.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, kind string, weight long, rating double")
+    ranges = {"range": {"field": "weight", "ranges": [{"key": "light", "to": 100}, {"key": "mid", "from": 100, "to": 300}, {"key": "heavy", "from": 300}]}}
+    assert {r["key"]: r["doc_count"] for r in aggs.aggregate(df, ranges).collect()} == {"light": 2, "mid": 3, "heavy": 3}
+    bounded = aggs.aggregate(df, {"histogram": {"field": "weight", "interval": 100, "hard_bounds": {"min": 50, "max": 300}}}).collect()
+    assert sorted((r["key"], r["doc_count"]) for r in bounded) == [(0, 1), (100, 2), (200, 1), (300, 1)]
+    full = aggs.aggregate(df, {"histogram": {"field": "weight", "interval": 100}}).collect()
+    assert sorted(r["key"] for r in full) == [100 * k for k in range(8)] and [r["doc_count"] for r in full if r["key"] == 500] == [0]
+    wide = aggs.aggregate(df, {"histogram": {"field": "weight", "interval": 400, "extended_bounds": {"min": -300, "max": 1300}}}).collect()
+    assert sorted(r["key"] for r in wide) == [-400, 0, 400, 800, 1200]
+    terms = aggs.aggregate(df, {"terms": {"field": "kind", "size": 1}, "aggs": {"r": {"avg": {"field": "rating"}}}}).collect()
+    assert [(r["key"], r["doc_count"], r["r"]) for r in terms] == [("awl", 4, 3.75)]
+    empty = aggs.aggregate(df, {"stats": {"field": "weight"}}, q.MatchNone()).first()
     assert empty["count"] == 0 and empty["sum"] is None
     assert aggs.schema_of(df, ranges).names[:2] == ["key", "from"]
-    for bad in ({"terms": {"field": "category", "size": 0}}, {"histogram": {"field": "price", "interval": 0}}, {"multi_terms": {"terms": ["category"]}}):
+    tree = {"terms": {"field": "kind"}, "aggs": {"w": {"max": {"field": "weight"}}, "a": {"range": ranges["range"]}, "b": {"terms": {"field": "id"}}}}
+    each = aggs.aggregate_each(df, tree, "t")
+    assert sorted(each) == ["t>a", "t>b"] and {r["key_0"]: r["w"] for r in each["t>b"].collect()} == {"saw": 99, "awl": 760, "axe": 410}
+    for bad in ({"terms": {"field": "kind", "size": 0}}, {"histogram": {"field": "weight", "interval": 0}}, {"multi_terms": {"terms": ["kind"]}}, tree):
         with pytest.raises(ValueError):
             aggs.aggregate(df, bad)
 
 
+def test_array_metrics_and_top_hits(spark):
+    df = spark.createDataFrame([(1, "x", [1, 2, 3]), (2, "x", [None, 5]), (3, "y", []), (4, "y", None)], "id long, k string, v array<int>")
+    assert aggs.aggregate(df, {"value_count": {"field": "v"}}).first()["value"] == 4
+    got = {r["key"]: (r["s_count"], r["s_sum"], r["s_max"], r["s_avg"]) for r in aggs.aggregate(df, {"terms": {"field": "k"}, "aggs": {"s": {"stats": {"field": "v"}}}}).collect()}
+    assert got == {"x": (4, 11.0, 5.0, 2.75), "y": (0, None, None, None)}
+    hits = aggs.aggregate(df, {"terms": {"field": "k"}, "aggs": {"h": {"top_hits": {"size": 1, "sort": [{"id": "desc"}], "_source": ["id"]}}}})
+    assert {r["key"]: [h["id"] for h in r["h"]] for r in hits.collect()} == {"x": [2], "y": [4]}
+    with pytest.raises(ValueError):
+        aggs.aggregate(df, {"cardinality": {"field": "v"}})
+
+
+def test_retrieval(books):
+    batches = list(search.stream_batches(books, q.Exists("title"), ["id", "title"], rows=3))
+    assert [b.num_rows for b in batches] == [3, 3, 2] and batches[0].schema.names == ["id", "title"]
+    assert search.document(books, "id", 2) == {"id": 2, "title": "Kettle Songs"} and search.document(books, "id", 99) is None
+    assert json.loads(bytes(search.binary_docs(books, "id").filter("id = 4").first()["doc"])) == {"id": 4, "title": "Copper"}
+    with pytest.raises(ValueError):
+        parse_query("copper", ["nothing"], schema=books.schema)
+    assert ids(matching(books, parse_query("copper", schema=books.schema))) == [1, 3, 4]
+    typed = q.Range("id", 2, 3, type="INTEGER")
+    assert q.Query.from_json(typed.to_json()) == typed
+
+
+def test_address_keys(spark):
+    import ipaddress
+
+    texts = ["1.2.3.4", "255.255.255.255", "256.1.1.1", "1.2.3", "::", "::1", "1::", "2001:db8::ff00:42:8329", "2001:0DB8:0:0:1:0:0:1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::ffff:10.0.0.1", "64:ff9b::1.2.3.4", "1:2:3:4:5:6:7:8:9", "1::2::3", "12345::", "g::", ":::", "1:2", "", " 10.0.0.1 ", None, "fe80::0:0:1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, a string")
+    for r in df.select("a", ip.ip_key(F.col("a")).alias("k"), ip.ip_text(ip.ip_key(F.col("a"))).alias("t")).collect():
+        try:
+            want = ip.key_of(r["a"])
+        except (ValueError, AttributeError):
+            want = None
+        assert (bytes(r["k"]) if r["k"] is not None else None) == want, r["a"]
+        if want is not None:
+            plain = ipaddress.ip_address(want)
+            assert r["t"] == str(plain.ipv4_mapped or plain), r["a"]
+    assert "Python" not in df.filter(ip.ip_key(F.col("a")).isNotNull())._jdf.queryExecution().toString()
+
+
+def test_as_of_and_range_joins(spark):
+    left = spark.createDataFrame([("a", 5, 1), ("a", 1, 2), ("b", 9, 3), (None, 9, 4), ("a", None, 5)], "k string, t int, _row int")
+    right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("b", 10, "z"), (None, 1, "n")], "k string, u int, v string")
+    assert {r["_row"]: r["v"] for r in joins.as_of_join(left, right, ["k"], "t", "u", ["v"]).collect()} == {1: "y", 2: None, 3: None, 4: None, 5: None}
+    assert {r["_row"]: r["v"] for r in joins.as_of_join(left, right, ["k"], "t", "u", ["v"], strict=True).collect()} == {1: "x", 2: None, 3: None, 4: None, 5: None}
+    points = spark.createDataFrame([(x,) for x in (-1.5, 0.0, 3.0, 7.9, 100.0)], "p double")
+    bands = spark.createDataFrame([(0, -2.0, 0.0), (1, 0.0, 50.0), (2, 8.0, 7.0), (3, 7.9, 7.9)], "b int, lo double, hi double")
+    got = {(r["p"], r["b"]) for r in joins.range_join(points, bands, F.col("p"), F.col("lo"), F.col("hi"), 4.0).collect()}
+    assert got == {(-1.5, 0), (0.0, 0), (0.0, 1), (3.0, 1), (7.9, 1), (7.9, 3)}
+
+
+def test_stored_postings(spark, books, tmp_path):
+    table = search.PostingsTable.write(books, f"file://{tmp_path}/p", "id", "title")
+    assert table.validate() == {"parts": 1, "n": 9, "tokens": 15}
+    want = [(r["id"], round(r["_score"], 9)) for r in search.search(books, q.Bool(should=(q.Term("title", "copper"), q.Term("title", "kettle"))), 9, "id").collect()]
+    assert [(r["id"], round(r["score"], 9)) for r in table.search(["copper", "kettle"], 9).collect()] == want
+    assert [r["id"] for r in table.search(["copper", "kettle"], 9, every=True).collect()] == [1]
+    spark.createDataFrame([("x", 99, 1, 1, [0])], "term string, id long, tf long, length int, positions array<int>").write.parquet(f"{tmp_path}/p/postings/part=bad")
+    with pytest.raises(ValueError):
+        table.validate()
+
+
 def test_filter_dialects(spark):
     df = spark.createDataFrame([(1, {"n": "9"}), (2, {"n": "10"}), (3, {"n": ""}), (4, {})], "id long, v map<string,string>")
     run = lambda f, dialect="log": ids(df.filter(filters.compile_filter(f, F.col("v"), dialect)))
@@ -162,6 +226,46 @@ def test_log(spark, tmp_path):
     assert spark.table("log_changes").filter("action = 'remove'").count() >= 1
 
 
+def test_log_survives_writers_that_die(spark, tmp_path, monkeypatch):
+    log = txlog.TransactionLog(spark, f"file://{tmp_path}/t")
+    log.initialise("{}")
+    df = spark.createDataFrame([(i, "x" * 200 + str(i)) for i in range(10)], "id long, t string").coalesce(1)
+    log.append(df, stats=["id", "t"])
+    log.append(df.withColumn("id", F.col("id") + 10), stats=["id", "t"])
+    paths = [r["path"] for r in txlog.replay(log.actions()).collect()]
+    assert all(len(r["maxValues"]["t"]) == 64 for r in txlog.replay(log.actions()).collect())
+    version = log.current_version()
+
+    def dies(*_, **__):
+        raise RuntimeError("the writer died")
+
+    with monkeypatch.context() as m:  # before the commit: readers see what was there
+        m.setattr(log, "write_once", dies)
+        for act in (lambda: log.merge(paths), lambda: log.delete_where(F.col("id") % 2 == 0)):
+            with pytest.raises(RuntimeError):
+                act()
+    assert log.current_version() == version and log.scan().count() == 20
+    merged, bad = log.merge(paths, stats=["id"])
+    assert (merged, bad) == (version + 1, []) and log.scan().count() == 20  # one version holds the new file and the removes
+    assert {r["action"] for r in log.read_version(merged).collect()} == {"add", "remove"}
+
+    with monkeypatch.context() as m:  # a checkpoint that is not published is none
+        m.setattr(log, "_create", dies)
+        with pytest.raises(RuntimeError):
+            log.checkpoint()
+    assert log.checkpoint_version() is None and log.scan().count() == 20
+    assert log.checkpoint(keep_removed_since=0) == merged == log.checkpoint_version()
+    log.delete_where(F.col("id") >= 5)
+    assert log.scan().count() == 15 and txlog.tombstones(log.actions()).count() == 3
+    assert not log.write_once([{"action": "add", "path": "late"}], merged) and log.scan().count() == 15
+    strays = log.collect_garbage(2**62, dry_run=True)
+    assert log.collect_garbage(2**62) == strays >= 5 and log.collect_garbage(2**62, dry_run=True) == 0 and log.scan().count() == 15
+    (path,) = [r["path"] for r in txlog.replay(log.actions()).collect()]
+    log._fs.delete(log._path(path), False)
+    with pytest.raises(ValueError):
+        log.scan(missing="ignore")
+
+
 def test_delta(spark, tmp_path):
     where = tmp_path / "d" / "_delta_log"
     where.mkdir(parents=True)
@@ -177,6 +281,16 @@ def test_delta(spark, tmp_path):
     assert [r["path"] for r in t.files().collect()] == ["f2"] and t.files(1).count() == 2 and t.files(0).first()["num_records"] == 3
     assert t.current_version() == 2 and t.column_mapping() == {"c1": "a"} and t.changes(1, 2).first()["change"] == "remove"
     assert t.files(1, filters.Filter("eq", "p", "2")).count() == 1
+    # a checkpoint counts when all of its parts are there
+    state = t._actions(2).drop("version").coalesce(1)
+    for k in (1, 2):
+        state.filter(F.lit(k == 1)).write.parquet(f"{tmp_path}/part{k}")
+        next((tmp_path / f"part{k}").glob("*.parquet")).rename(where / f"{2:020d}.checkpoint.{k:010d}.{3:010d}.parquet")
+    assert delta.DeltaTable(spark, f"file://{tmp_path}/d").checkpoint_version() is None
+    state.filter("false").write.parquet(f"{tmp_path}/part3")
+    next((tmp_path / "part3").glob("*.parquet")).rename(where / f"{2:020d}.checkpoint.{3:010d}.{3:010d}.parquet")
+    whole = delta.DeltaTable(spark, f"file://{tmp_path}/d")
+    assert whole.checkpoint_version() == 2 and len(whole.checkpoint_parts(2)) == 3
 
 
 def test_hive_files(spark, tmp_path):
