@@ -54,8 +54,22 @@ def _encode(path: str, words: list[str]) -> list[list[int]]:
     return [e.ids for e in _tokenizer(path).encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Values by the places of their bytes, which compress well, since most are small."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True) if len(values) else b""
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 def _packed(values: np.ndarray) -> pa.Array:
-    return pa.array([values.tobytes()], pa.binary())
+    return pa.array([_pack(values)], pa.binary())
 
 
 def _blocks(texts: pa.Array) -> Iterator[slice]:
@@ -69,11 +83,12 @@ def _blocks(texts: pa.Array) -> Iterator[slice]:
         low = high
 
 
-_WORD = (("hash", pa.int64()), ("local", pa.int32()), ("word", pa.binary()), ("k", pa.int64()))
+#: A word's place: its block, and its number among the block's words in the lower bits.
+_LOCAL_BITS = 24
 
 
 def _read(schema: pa.Schema):
-    """``id, text, slice, task`` to one row a block, ``block, ids, slices, lengths, places``, and one for each of its distinct words, ``block, hash, local, word, k``."""
+    """``id, text, slice, task`` to one row a block, ``block, ids, slices, lengths, places``, and one for each of its distinct words, ``hash, at, word, k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = 0
@@ -82,12 +97,21 @@ def _read(schema: pa.Schema):
                 part = batch.slice(at.start, at.stop - at.start)
                 slices = np.asarray(part.column(2)).astype(np.int8)
                 data, offsets = buffers(part.column(1))
-                starts, ends, before = word_spans(data, offsets)
                 lower = _LOWER[data]
-                lengths = np.diff(before)
-                unique, first, place = np.unique(word_hashes(lower, starts, ends).view(np.int64), return_index=True, return_inverse=True)
+                spans = []
+                for lo in range(0, part.num_rows, 256):  # a hash of words takes eight bytes for each of the texts' bytes
+                    low, high = offsets[lo], offsets[min(lo + 256, part.num_rows)]
+                    starts, ends, before = word_spans(lower[low:high], offsets[lo : lo + 257] - low)
+                    spans.append((word_hashes(lower[low:high], starts, ends), starts + low, ends + low, np.diff(before)))
+                hashes, starts, ends, lengths = (np.concatenate([x[k] for x in spans]) for k in range(4))
+                spans.clear()
+                unique, first, place, often = np.unique(hashes.view(np.int64), return_index=True, return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")  # frequent words get small numbers
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                unique, first, place = unique[order], first[order], rank[place]
                 k = np.bincount(place, np.repeat(slices >= 0, lengths), len(unique)).astype(np.int64)
-                number = (int(part.column(3)[0].as_py()) << 32) + block
+                number = (int(part.column(3)[0].as_py()) << 12) + block
                 block += 1
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
                 row = {"block": pa.array([number]), "ids": ids, "slices": _packed(slices), "lengths": _packed(lengths.astype(np.int64)), "places": _packed(place.astype(np.uint32))}
@@ -97,7 +121,7 @@ def _read(schema: pa.Schema):
                     own = slice(lo, lo + 50_000)
                     words = pa.array([raw[a:b] for a, b in zip(starts[first[own]].tolist(), ends[first[own]].tolist(), strict=True)], pa.binary())
                     n = len(words)
-                    yield _row({"block": pa.array(np.full(n, number)), "hash": pa.array(unique[own]), "local": pa.array(np.arange(lo, lo + n, dtype=np.int32)), "word": words, "k": pa.array(k[own])}, n, schema)
+                    yield _row({"at": pa.array((number << _LOCAL_BITS) + np.arange(lo, lo + n)), "hash": pa.array(unique[own]), "word": words, "k": pa.array(k[own])}, n, schema)
 
     return run
 
@@ -106,63 +130,94 @@ def _row(columns: dict[str, pa.Array], n: int, schema: pa.Schema) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
+_JOINED = "block long, data binary, n long, v long, c long, hash long, ids binary"
+
+
 def _join_words(path: str, kind: type):
-    """Sorted by hash: ``hash, block, local, word, k`` to ``block, local, hash, c, ids, first``; first marks one row of each word."""
-    schema = pa.schema([("block", pa.int64()), ("local", pa.int32()), ("hash", pa.int64()), ("c", pa.int64()), ("ids", pa.binary()), ("first", pa.bool_())])
+    """Sorted by hash: ``hash, at, word, k`` to what blocks, and to what the corpus needs to know.
 
-    def emit(rows: pa.Table) -> pa.RecordBatch:
-        hashes, counts = rows["hash"].to_numpy(), rows["k"].to_numpy()
+    For some words of a block one row ``block, data``; for some words, each once, ``n, v, data`` (training tokens, training words); and
+    ``c, hash, ids`` of those that may be among the most frequent.
+    """
+    schema = to_arrow_schema(_parse_datatype_string(_JOINED))
+
+    def emit(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        hashes, counts, at = (rows[name].to_numpy() for name in ("hash", "k", "at"))
         unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         c = np.bincount(inverse, counts, len(unique)).astype(np.int64)
         found = _encode(path, [w.as_py().decode("utf-8", "replace") for w in rows["word"].take(pa.array(first))])
         sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], kind)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]) * flat.itemsize
-        ids = pa.Array.from_buffers(pa.binary(), len(unique), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-        marks = np.zeros(len(hashes), bool)
-        marks[first] = True
-        columns = [rows["block"].combine_chunks(), rows["local"].combine_chunks(), rows["hash"].combine_chunks(), pa.array(c[inverse]), ids.take(pa.array(inverse)), pa.array(marks)]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+        flat, starts = np.array([i for x in found for i in x], kind), np.cumsum(sizes) - sizes
+        known = np.flatnonzero(c > 0)
+        if len(known):
+            yield _row({"n": pa.array([int(c.sum())]), "v": pa.array([len(known)]), "data": pa.array([pickle.dumps(_words_of(known, c, sizes, starts, flat))], pa.binary())}, 1, schema)
+            top = known[np.argsort(-c[known], kind="stable")[: lm.FREQUENT]]
+            own = pa.array([np.array(found[i], kind).tobytes() for i in top.tolist()], pa.binary())
+            yield _row({"c": pa.array(c[top]), "hash": pa.array(unique[top]), "ids": own}, len(top), schema)
+        order = np.argsort(at, kind="stable")
+        blocks = at[order] >> _LOCAL_BITS
+        cuts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+        data = []
+        for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+            own = order[low:high]
+            data.append(pickle.dumps((_pack((at[own] & ((1 << _LOCAL_BITS) - 1)).astype(np.uint32)), *_words_of(inverse[own], c, sizes, starts, flat))))
+        yield _row({"block": pa.array(blocks[cuts]), "data": pa.array(data, pa.binary())}, len(cuts), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]).combine_chunks() if rest is not None else table
-            hashes = table["hash"].to_numpy()
-            cut = int(np.searchsorted(hashes, hashes[-1])) if len(hashes) else 0
-            if cut:
-                yield emit(table.slice(0, cut))
-            rest = table.slice(cut)
-        if rest is not None and len(rest):
-            yield emit(rest)
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 200_000:
+                table = pa.Table.from_batches(held).combine_chunks()
+                hashes = table["hash"].to_numpy()
+                cut = int(np.searchsorted(hashes, hashes[-1]))
+                if cut:
+                    yield from emit(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                rows = len(table) - cut
+        if rows:
+            yield from emit(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _words_of(which: np.ndarray, c: np.ndarray, sizes: np.ndarray, starts: np.ndarray, flat: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Counts, numbers of subword ids, and subword ids of some words."""
+    n = sizes[which]
+    ids = flat[np.repeat(starts[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    return _pack(c[which]), _pack(n.astype(np.uint32)), _pack(ids)
+
+
 _CHUNK = ("lengths", "places", "c", "sizes", "word_ids", "frequent")
 
 
-def _chunks(frequent: np.ndarray, kind: type, schema: pa.Schema):
+def _rank(frequent: list[bytes], least: int, c: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Each word's place among the frequent words, or -1; they are told by their subword ids, and are counted ``least`` times at least."""
+    place = {ids: k for k, ids in enumerate(frequent)}
+    starts, out = np.cumsum(sizes) - sizes, np.full(len(c), -1, np.int64)
+    for k in np.flatnonzero(c >= least).tolist() if frequent else ():
+        out[k] = place.get(flat[starts[k] : starts[k] + sizes[k]].tobytes(), -1)
+    return out
+
+
+def _chunks(frequent: list[bytes], least: int, kind: type, schema: pa.Schema):
     """A block and its words to a row for each training slice of its documents."""
-    order = np.argsort(frequent)
-    hashes = frequent[order]
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        parts = [pickle.loads(x.as_py()) for x in words["data"]]
+        local, c, sizes, flat = (np.concatenate([_unpack(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in enumerate((np.uint32, np.int64, np.uint32, kind)))
+        parts.clear()
+        sizes = sizes.astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        rank = _rank(frequent, least, c, sizes, flat).astype(np.int16)
+        by = np.argsort(local)
+        c, sizes, starts, rank = c[by], sizes[by], starts[by], rank[by]
         out = []
-        words = words.combine_chunks()
-        by = np.argsort(words["local"].to_numpy()) if len(words) else np.zeros(0, np.int64)
-        h, c = (words[n].to_numpy()[by] if len(words) else np.zeros(0, np.int64) for n in ("hash", "c"))
-        ids = words["ids"].combine_chunks().take(pa.array(by)) if len(words) else pa.array([], pa.binary())
-        sizes = np.asarray(pa.compute.binary_length(ids), np.int64) // np.dtype(kind).itemsize
-        flat, starts = np.frombuffer(b"".join(ids.to_pylist()), kind), np.cumsum(sizes) - sizes
-        rank = np.full(len(h), -1, np.int16)
-        if len(hashes):
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            rank = np.where(hashes[at] == h, order[at], -1).astype(np.int16)
         for row in docs.to_batches():
             for k in range(row.num_rows):
-                slices, lengths, places = (np.frombuffer(row[n][k].as_py(), t) for n, t in (("slices", np.int8), ("lengths", np.int64), ("places", np.uint32)))
+                slices, lengths, places = (_unpack(row[n][k].as_py(), t) for n, t in (("slices", np.int8), ("lengths", np.int64), ("places", np.uint32)))
                 of_slice = np.repeat(slices, lengths)
                 for s in np.unique(slices):
                     mine = np.flatnonzero(slices == s)
@@ -181,7 +236,7 @@ class Chunk:
     """Documents of one slice: the words' counts and subword ids, and each document's words by place."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, kind: type) -> None:
-        get = lambda name, t: np.frombuffer(batch[name][k].as_py(), t)
+        get = lambda name, t: _unpack(batch[name][k].as_py(), t)
         self.lengths, self.places, self.c, self.sizes = get("lengths", np.int64), get("places", np.uint32), get("c", np.int64), get("sizes", np.uint32).astype(np.int64)
         self.ids, self.frequent = get("word_ids", kind), get("frequent", np.int16).astype(np.int64)
 
@@ -224,7 +279,7 @@ def _summed(parts: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]],
     level = level.groupBy("k").applyInPandas(add, "k int, part binary")
     level = level.withColumn("k", F.shiftright("k", 6)).groupBy("k").applyInPandas(add, "k int, part binary")
     whole: dict[str, np.ndarray] | None = None
-    for row in level.select("part").toLocalIterator():
+    for row in level.select("part").coalesce(1).toLocalIterator():  # one job, not one for each partition
         one = pickle.loads(zlib.decompress(row["part"]))
         whole = one if whole is None else {k: whole[k] + v for k, v in one.items()}
     return whole
@@ -279,20 +334,18 @@ def _by_topic(group: np.ndarray, ids: int, kind: type):
     return run
 
 
-def _class_sizes(seen: lm.Words, frequent: np.ndarray, kind: type):
-    """Training tokens and distinct training words of each class, from one row of each word."""
-    order = np.argsort(frequent)
+def _class_sizes(seen: lm.Words, frequent: list[bytes], least: int, kind: type):
+    """Training tokens and distinct training words of each class, from rows that hold each word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
         tokens, types = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
         for batch in batches:
-            h, c = np.asarray(batch["hash"]), np.asarray(batch["c"])
-            at = np.minimum(np.searchsorted(frequent[order], h), len(frequent) - 1)
-            rank = np.where(frequent[order][at] == h, order[at], -1)
-            sizes = np.asarray(pa.compute.binary_length(batch["ids"]), np.int64) // np.dtype(kind).itemsize
-            classes, _ = seen.look(np.frombuffer(b"".join(batch["ids"].to_pylist()), kind), sizes, rank, c)
-            tokens += np.bincount(classes, c, lm.CLASSES)
-            types += np.bincount(classes, minlength=lm.CLASSES)
+            for data in batch.column(0):
+                c, sizes, flat = (_unpack(x, t) for x, t in zip(pickle.loads(data.as_py()), (np.int64, np.uint32, kind), strict=True))
+                sizes = sizes.astype(np.int64)
+                classes, _ = seen.look(flat, sizes, _rank(frequent, least, c, sizes, flat), c)
+                tokens += np.bincount(classes, c, lm.CLASSES)
+                types += np.bincount(classes, minlength=lm.CLASSES)
         return {"tokens": tokens, "types": types}
 
     return run
@@ -366,23 +419,24 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, ids: int = 50
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     piece = F.when(crc % 7 == 2, -1).otherwise(F.coalesce((F.floor(crc / 7) % ROUNDS).cast("int"), F.lit(0)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), piece.alias("slice"), F.spark_partition_id().alias("task"))
-    schema = f"block long, ids array<{id_kind}>, slices binary, lengths binary, places binary, hash long, local int, word binary, k long"
+    schema = f"block long, ids array<{id_kind}>, slices binary, lengths binary, places binary, hash long, at long, word binary, k long"
     both = materialise(rows.mapInArrow(_read(arrow(schema)), schema), "lm-blocks")
 
     # a word has at most one row for each block
-    counted = both.filter("hash is not null").select("hash", "block", "local", "word", "k").repartition("hash").sortWithinPartitions("hash")
-    words = materialise(counted.mapInArrow(_join_words(tokenizer, kind), "block long, local int, hash long, c long, ids binary, first boolean"), "lm-words")
+    counted = both.filter("hash is not null").select("hash", "at", "word", "k").repartition("hash").sortWithinPartitions("hash")
+    words = materialise(counted.mapInArrow(_join_words(tokenizer, kind), _JOINED), "lm-words")
     release(spark)
-    one = words.filter("first and c > 0")
-    n, v = one.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = np.array([r["hash"] for r in one.orderBy(F.desc("c"), "hash").select("hash").limit(lm.FREQUENT).collect()], np.int64)
+    one = words.filter("n is not null")
+    n, v = one.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    top = words.filter("c is not null").orderBy(F.desc("c"), "hash").select("c", "ids").limit(lm.FREQUENT).collect()
+    frequent, least = [bytes(r["ids"]) for r in top], min((r["c"] for r in top), default=0)
     ends = rows.filter("slice >= 0").count()
     n, v = n + ends, v + (ends > 0)
 
     chunk_schema = f"slice int, ids array<{id_kind}>, " + ", ".join(f"{name} binary" for name in _CHUNK)
     blocks = both.filter("hash is null").select("block", "ids", "slices", "lengths", "places").groupBy("block")
-    by_block = words.select("block", "local", "hash", "c", "ids").groupBy("block")
-    chunks = materialise(blocks.cogroup(by_block).applyInArrow(_chunks(frequent, kind, arrow(chunk_schema)), chunk_schema), "lm-chunks")
+    by_block = words.filter("block is not null").select("block", "data").groupBy("block")
+    chunks = materialise(blocks.cogroup(by_block).applyInArrow(_chunks(frequent, least, kind, arrow(chunk_schema)), chunk_schema), "lm-chunks")
     discard(both)
     release(spark)
 
@@ -391,7 +445,7 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, ids: int = 50
     group = lm.topics((_summed(_together(kind), training) or empty)["total"][: len(frequent), : len(frequent)]) if len(frequent) else np.zeros(0, np.int64)
     found = _summed(_by_topic(group, ids, kind), training)
     seen = lm.Words(lm.profiles(found["total"].reshape(ids, lm.TOPICS) if found else np.zeros((ids, lm.TOPICS))))
-    sizes = _summed(_class_sizes(seen, frequent, kind), one.select("hash", "c", "ids")) if len(frequent) else None
+    sizes = _summed(_class_sizes(seen, frequent, least, kind), one.select("data"))
     sizes = sizes or {"tokens": np.zeros(lm.CLASSES), "types": np.zeros(lm.CLASSES)}
     sizes["tokens"][lm.END] = ends
     discard(words)

@@ -17,13 +17,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, words
+from .common import fresh, materialise, words
 
-#: Sources are a list that a person could review; more of them is an error rather than a table on the driver.
+#: Up to so many sources their sums and multipliers are lists on the driver and broadcast; more stay tables, and each source is solved where its sizes lie.
 MAX_SOURCES = 100_000
 _SALTS = 64
 
@@ -75,15 +76,67 @@ def _solve(hist: DataFrame, sources: list[dict], max_copies: float, tolerance: f
             if abs(gap) <= tolerance * max(1.0, sources[i]["target"]):
                 todo.discard(i)
                 continue
-            low[i], high[i] = (lam[i], high[i]) if gap < 0 else (low[i], lam[i])
-            step = lam[i] - gap / r["slope"] if r["slope"] > 0 else math.nan
-            step = min(max(step, lam[i] - 4.0), lam[i] + 4.0) if step == step else step
-            if not low[i] < step < high[i]:
-                step = (low[i] + high[i]) / 2 if math.isfinite(low[i]) and math.isfinite(high[i]) else lam[i] + math.copysign(2.0, -gap)
-            lam[i] = step
+            lam[i], low[i], high[i] = _step(lam[i], gap, r["slope"], low[i], high[i])
     return lam
 
 
+def _numbered(sums: DataFrame) -> DataFrame:
+    """Sources numbered in code-point order, null last."""
+    order = [F.col("_source").isNull(), F.col("_source")]
+    ranged = materialise(sums.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "mix-sources")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_k")).select("_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(F.broadcast(offsets), "_part").withColumn("_s", (F.col("_before") + place - 1).cast("int")).drop("_part", "_before")
+
+
+def _table_of_targets(sums: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
+    """What :func:`targets_by_weight` gives, for any number of sources: ``_s, _name, source_size, target, _mean``."""
+    sources = materialise(_numbered(sums).withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("_s"), F.lit(len(weights))) + 1)), "mix-numbered")
+    whole = sources.agg(F.sum("size").alias("size"), F.sum("_w").alias("w")).first()
+    total, level = share * float(whole["size"] or 0), share * float(whole["size"] or 0) / (whole["w"] or 1.0)
+    while True:  # the words for each unit of weight, from the sources that are not full at the last level; it only rises
+        full = F.lit(level) * F.col("_w") > F.lit(float(cap)) * F.col("size")
+        row = sources.agg(F.sum(F.when(full, F.col("size") * float(cap)).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("_w"))).alias("w")).first()
+        if not row["w"] or (total - row["full"]) / row["w"] <= level:
+            break
+        level = (total - row["full"]) / row["w"]
+    target = F.least(F.lit(level) * F.col("_w"), F.lit(float(cap)) * F.col("size"))
+    return sources.select("_s", F.col("_source").alias("_name"), F.col("size").alias("source_size"), target.alias("target"), F.greatest(F.lit(1.0), F.col("size") / F.col("n")).alias("_mean"))
+
+
+def _solve_there(max_copies: float, tolerance: float, max_iterations: int):
+    """The same iterations for one source, over its sizes."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        size, n = pdf["size"].to_numpy(float), pdf["_n"].to_numpy(float)
+        target, z = float(pdf["target"].iloc[0]), size / float(pdf["_mean"].iloc[0])
+        whole, lam, low, high = float((size * n).sum()), 0.0, -math.inf, math.inf
+        if target >= max_copies * whole * (1 - 1e-12):
+            lam = math.inf if whole > 0 else 0.0
+        else:
+            for _ in range(max_iterations):
+                rate = np.exp(np.minimum(lam * z, 50.0))
+                gap = float((n * size * np.minimum(rate, max_copies)).sum()) - target
+                if abs(gap) <= tolerance * max(1.0, target):
+                    break
+                slope = float((n * size * z * rate)[rate < max_copies].sum())
+                lam, low, high = _step(lam, gap, slope, low, high)
+        return pd.DataFrame({"_s": pdf["_s"].iloc[:1], "_lam": [min(lam, 1e300)]})
+
+    return run
+
+
+def _step(lam: float, gap: float, slope: float, low: float, high: float) -> tuple[float, float, float]:
+    """Newton's step, kept inside the bracket, which it narrows."""
+    low, high = (lam, high) if gap < 0 else (low, lam)
+    step = lam - gap / slope if slope > 0 else math.nan
+    step = min(max(step, lam - 4.0), lam + 4.0) if step == step else step
+    if not low < step < high:
+        step = (low + high) / 2 if math.isfinite(low) and math.isfinite(high) else lam + math.copysign(2.0, -gap)
+    return step, low, high
+
+
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
     """Whole copies for each size of one source; what a size takes too much or too little is passed on to the next smaller one."""
     pdf = pdf.sort_values("size", ascending=False, ignore_index=True)
@@ -118,26 +171,33 @@ def mix_to_weights(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.cast("long").alias("size"), F.xxhash64(id_col, text).alias("row_key")
     )
     rows = materialise(rows, "mix-rows")
-    found = rows.groupBy("_source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
-    goals = targets_by_weight([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, max_copies)
-    sources = [{"size": r["size"], "target": t, "mean": max(1.0, r["size"] / r["n"])} for r, t in zip(found, goals, strict=True)]
-    known = spark.createDataFrame(
-        [(i, r["_source"], r["size"], t) for i, (r, t) in enumerate(zip(found, goals, strict=True))], "_s int, _name string, source_size long, target double"
-    )
+    sums = materialise(rows.groupBy("_source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "mix-sums")
+    found = sums.limit(MAX_SOURCES + 1).collect()
+    few = len(found) <= MAX_SOURCES
+    given = F.broadcast if few else (lambda table: table)
+    if few:
+        found.sort(key=lambda r: (r["_source"] is None, r["_source"] or ""))
+        goals = targets_by_weight([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))], share, max_copies)
+        sources = [{"size": r["size"], "target": t, "mean": max(1.0, r["size"] / r["n"])} for r, t in zip(found, goals, strict=True)]
+        known = spark.createDataFrame([(i, r["_source"], r["size"], t) for i, (r, t) in enumerate(zip(found, goals, strict=True))], "_s int, _name string, source_size long, target double")
+    else:
+        of_source = materialise(_table_of_targets(sums, weights, share, max_copies), "mix-targets")
+        known = of_source.drop("_mean")
     salt = F.pmod(F.xxhash64("_id"), F.lit(_SALTS)).cast("int")
-    keyed = rows.join(F.broadcast(known), F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_salt", salt)
+    keyed = rows.join(given(known), F.col("_source").eqNullSafe(F.col("_name"))).withColumn("_salt", salt)
     salted = materialise(keyed.groupBy("_s", "size", "_salt").agg(F.count(F.lit(1)).alias("_k")), "mix-counts")
     hist = materialise(salted.groupBy("_s", "size").agg(F.sum("_k").alias("_n")), "mix-sizes")
 
-    lam = _solve(hist, sources, max_copies, tolerance, max_iterations)
-    solved = spark.createDataFrame([(i, min(x, 1e300), s["mean"]) for i, (x, s) in enumerate(zip(lam, sources, strict=True))], "_s int, _lam double, _mean double")
+    if few:
+        lam = _solve(hist, sources, max_copies, tolerance, max_iterations)
+        solved = spark.createDataFrame([(i, min(x, 1e300), s["mean"]) for i, (x, s) in enumerate(zip(lam, sources, strict=True))], "_s int, _lam double, _mean double")
+    else:
+        each = hist.join(of_source, "_s").select("_s", "size", "_n", "target", "_mean").groupBy("_s").applyInPandas(_solve_there(max_copies, tolerance, max_iterations), "_s int, _lam double")
+        solved = materialise(each.join(of_source.select("_s", "_mean"), "_s"), "mix-solved")
     rate = F.when(F.col("_lam") > 1e299, F.lit(float(max_copies))).otherwise(
         F.least(F.lit(float(max_copies)), F.exp(F.least(F.col("_lam") * F.col("size") / F.col("_mean"), F.lit(50.0))))
     )
-    rated = hist.join(F.broadcast(solved), "_s").withColumn("_rate", rate).withColumn("_most", F.lit(max_copies))
+    rated = hist.join(given(solved), "_s").withColumn("_rate", rate).withColumn("_most", F.lit(max_copies))
     # A group here is the distinct sizes of a source, bounded by its longest document and not by its rows.
     rounded = rated.select("_s", "size", "_n", "_rate", "_most").groupBy("_s").applyInPandas(_round, "_s int, size long, _n long, _copies long")
 
@@ -168,10 +228,10 @@ def mix_to_weights(
 
 def apply_mix(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as ``mix`` says; rows of no copy go, rows equal in id and text share their copies."""
-    key = F.xxhash64(id_col, text)
-    per_key = mix.groupBy("row_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).withColumnRenamed("row_key", "_key")
-    joined = docs.withColumn("_key", key).join(per_key, "_key")
-    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.monotonically_increasing_id()))  # the join has dealt the rows by this key already
-    more = F.when(rank <= F.pmod(F.col("_copies"), F.col("_rows")), 1).otherwise(0)
-    out = joined.withColumn("_n", F.floor(F.col("_copies") / F.col("_rows")).cast("int") + more).filter("_n > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    key, copies, alike, n, copy = fresh(docs, "key", "copies", "alike", "n", "copy")
+    per_key = mix.groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(alike)).filter(F.col(copies) > 0)
+    joined = docs.withColumn(key, F.xxhash64(id_col, text)).join(per_key, key)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.monotonically_increasing_id()))  # the join has dealt the rows by this key already
+    more = F.when(rank <= F.pmod(F.col(copies), F.col(alike)), 1).otherwise(0)
+    out = joined.withColumn(n, F.floor(F.col(copies) / F.col(alike)).cast("int") + more).filter(F.col(n) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(docs.columns)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import fresh, materialise, release
 from .components import connected_components
 from .shingles import buffers, mix, shingles, word_hashes, word_spans
 
@@ -328,5 +328,6 @@ def _finish(first: DataFrame, words: DataFrame, pairs: DataFrame, shared: DataFr
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each linked group, that of its smallest id; rows without an id stay."""
     found = ngram_links(docs, n, percent, id_col, text)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    (gone,) = fresh(docs, "gone")
+    hits = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(hits, F.col(id_col) == F.col(gone), "left_anti")

@@ -15,8 +15,10 @@ def _grams(table: str, key: str) -> str:
 
 
 DECONTAMINATION = f"""WITH d AS ({_grams("documents", "doc_id")}), b AS ({_grams("benchmark", "item_id")}),
-q AS (SELECT item_id, count(*) AS q FROM b GROUP BY 1), h AS (SELECT doc_id, item_id, count(*) AS n FROM d JOIN b USING (g) GROUP BY 1, 2)
-SELECT doc_id, item_id, n AS n_shared, q AS n_item_shingles, n / q AS containment FROM h JOIN q USING (item_id) WHERE 10 * n >= 8 * q"""
+q AS (SELECT item_id, count(*) AS q FROM b GROUP BY 1), h AS (SELECT doc_id, item_id, count(*) AS n FROM d JOIN b USING (g) GROUP BY 1, 2),
+s AS (SELECT item_id, array_to_string(w, ' ') AS whole FROM (SELECT item_id, {_WORDS.format("lower(coalesce(text, ''))")} AS w FROM benchmark) WHERE len(w) BETWEEN 1 AND 4)
+SELECT doc_id, item_id, n AS n_shared, q AS n_item_shingles, n / q AS containment FROM h JOIN q USING (item_id) WHERE 10 * n >= 8 * q
+UNION ALL SELECT doc_id, item_id, 1, 1, 1.0 FROM documents, s WHERE contains(' ' || array_to_string({_WORDS.format("lower(coalesce(text, ''))")}, ' ') || ' ', ' ' || whole || ' ')"""
 
 _STOP = ", ".join(f"'{form}'" for form in sorted({f for group in STOP_WORDS.values() for w in group.split() for f in (w, w.capitalize())}))
 
@@ -35,5 +37,15 @@ WARC = """SELECT page_id, url, strlen(h) AS payload_bytes, sha1(h) AS payload_di
   CASE WHEN strlen(h) >= 1000 AND page_id <> m THEN m END AS refers_to FROM (SELECT page_id, url, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages)"""
 
 
+# Shards of nearly equal bytes in id order: where the middle of a document's bytes lies.
+SHARDING = """WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, list_transform(range(8), lambda k: 0::bigint)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+b AS (SELECT doc_id, (coalesce(strlen(text), 0) + 1)::hugeint AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: ('0x' || p)::bigint) AS b FROM documents),
+d AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, b), lambda c, y: xor(c >> 8, list_extract(t, (xor(c, y) & 255) + 1)))) AS text_crc32 FROM b, t),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM d),
+s AS (SELECT *, least(7, (2 * start + size) * 8 // (2 * total))::int AS shard FROM p)
+SELECT doc_id, size::bigint AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, NULL::int AS grown_shard FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION, "op5_quality_rules": QUALITY_RULES, "op6_warc": WARC}
+    return {"op3_decontamination": DECONTAMINATION, "op5_quality_rules": QUALITY_RULES, "op6_warc": WARC, "op9_sharding": SHARDING}

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import fresh, let, words
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = {
@@ -115,12 +115,13 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     stop = sorted({form for group in STOP_WORDS.values() for w in group.split() for form in (w, w.capitalize())})
     has_word = lambda line: line.rlike(r"[^ \t-\r]")
     kept = [F.col(c) for c in docs.columns if c not in COUNTS + RATIOS]
-    out = docs.select(*kept, t.alias("__t")).withColumns({"__w": words(F.col("__t")), "__l": F.filter(F.split("__t", "\n"), has_word)})
-    w, line = F.col("__w"), F.col("__l")
+    whole, in_words, in_lines = fresh(docs, "whole", "words", "lines")
+    out = docs.select(*kept, t.alias(whole)).withColumns({in_words: words(F.col(whole)), in_lines: F.filter(F.split(whole, "\n"), has_word)})
+    w, line = F.col(in_words), F.col(in_lines)
     counts = dict(
         n_words=F.size(w),
         word_chars=F.length(F.array_join(w, "")),
-        n_symbols=F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")),
+        n_symbols=F.length(F.regexp_replace(whole, r"[^#*$%&|<>]+", "")),
         n_lines=F.size(line),
         n_dup_lines=F.size(line) - F.size(F.array_distinct(line)),
         n_repeat_words=_repeat_words(w, F.size(w)),
@@ -130,7 +131,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     # a filter on a verdict is not pushed below a generator, so no count is computed again for each rule that asks for it
     row = F.struct(*[counts[c].cast("long").alias(c) for c in COUNTS])
-    out = out.select(*[F.col(c) for c in out.columns if c not in ("__t", "__w", "__l")], F.inline(F.array(row)))
+    out = out.select(*[F.col(c) for c in out.columns if c not in (whole, in_words, in_lines)], F.inline(F.array(row)))
     n, lines = F.col("n_words"), F.col("n_lines")
     return out.withColumns(
         {

@@ -25,8 +25,8 @@ from .common import lookup, materialise, scratch_path
 _VERSION, _BREAK = "WARC/1.1", "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-#: Records of an archive file; with them a file stays within what one task reads.
-RECORDS_PER_FILE = 5_000
+#: Records and bytes of an archive file at most (one record may be larger): a file is read by one task.
+RECORDS_PER_FILE, BYTES_PER_FILE = 5_000, 256 << 20
 
 
 def _record_id(page: Column, digest: Column) -> Column:
@@ -79,7 +79,9 @@ def archive(
         F.lit(_BREAK),
     )
     writer = rows.select(F.concat(head, block).alias("value")).write.option("lineSep", _BREAK + _BREAK)
-    writer.option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    largest = pages.agg(F.max(F.octet_length(payload))).first()[0] or 0
+    most = max(1, min(RECORDS_PER_FILE, BYTES_PER_FILE // (largest + 1000)))
+    writer.option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
     return path
 
 
