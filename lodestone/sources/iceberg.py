@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class _Avro:
@@ -116,24 +119,69 @@ class IcebergTable:
         return [m for m in self.manifests() if m["added_snapshot_id"] > since]
 
     def files(self, snapshot_id: int | None = None) -> DataFrame:
-        """Live data files; manifests are parsed on the executors."""
-        paths = [m["manifest_path"] for m in self.manifests(snapshot_id)]
-        schema = "path string, format string, record_count long, size long, partition_values string, content int, snapshot_id long"
-        if not paths:
+        """Live data and delete files (content 1: by position, 2: by equal values); manifests are parsed on the executors.
+
+        A file without a sequence number of its own has its manifest's.
+        """
+        manifests = self.manifests(snapshot_id)
+        schema = "path string, format string, record_count long, size long, partition_values string, content int, snapshot_id long, sequence_number long, equality_ids array<int>"
+        if not manifests:
             return self.spark.createDataFrame([], schema)
+        sequence = {_plain(m["manifest_path"]): m.get("sequence_number") or 0 for m in manifests}
 
         def parse(batches):
             import pandas as pd
 
             for pdf in batches:
-                rows = [e for c in pdf["content"] for e in read_avro(bytes(c)) if e["status"] != 2]
-                files = [e["data_file"] for e in rows]
-                yield pd.DataFrame(
-                    [(f["file_path"], f["file_format"], f["record_count"], f["file_size_in_bytes"], json.dumps(f.get("partition") or {}, default=str), f.get("content", 0), e.get("snapshot_id")) for f, e in zip(files, rows, strict=True)],
-                    columns=["path", "format", "record_count", "size", "partition_values", "content", "snapshot_id"],
-                )
-
-        return self.spark.read.format("binaryFile").load(paths).select("content").mapInPandas(parse, schema)
+                rows = []
+                for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                    for e in read_avro(bytes(content)):
+                        f, number = e["data_file"], e.get("sequence_number")
+                        if e["status"] != 2:
+                            rows.append((f["file_path"], f["file_format"], f["record_count"], f["file_size_in_bytes"], json.dumps(f.get("partition") or {}, default=str), f.get("content", 0), e.get("snapshot_id"), sequence[_plain(path)] if number is None else number, f.get("equality_ids")))
+                yield pd.DataFrame(rows, columns=["path", "format", "record_count", "size", "partition_values", "content", "snapshot_id", "sequence_number", "equality_ids"])
+
+        return self.spark.read.format("binaryFile").load([m["manifest_path"] for m in manifests]).select("path", "content").mapInPandas(parse, schema)
+
+    def scan(self, snapshot_id: int | None = None) -> DataFrame:
+        """The rows of a snapshot: those of its Parquet data files that no delete file takes away.
+
+        A position delete names a file and a row of it; an equality delete takes rows of files with a smaller sequence number.
+        """
+        files = self.files(snapshot_id)
+        live = [r.asDict() for r in files.select("path", "content", "sequence_number", "equality_ids").toLocalIterator()]
+        paths = [f["path"] for f in live if f["content"] == 0]
+        if not paths:
+            raise ValueError("the snapshot holds no data file")
+        plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        names = rows.columns
+        rows = rows.select(F.struct(*names).alias("row"), plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.row_index").alias("pos"))
+        if by_position := [f["path"] for f in live if f["content"] == 1]:
+            gone = self.spark.read.parquet(*by_position).select(plain(F.col("file_path")).alias("path"), "pos").distinct()
+            rows = rows.join(gone, ["path", "pos"], "left_anti")
+        by_value: dict[tuple[int, ...], list[dict]] = {}
+        for f in live:
+            if f["content"] == 2:
+                by_value.setdefault(tuple(sorted(f["equality_ids"] or [])), []).append(f)
+        if by_value:
+            numbers = files.filter("content = 0").select(plain(F.col("path")).alias("path"), F.col("sequence_number").alias("written"))
+            rows = rows.join(numbers, "path")
+            name_of = {f["id"]: f["name"] for f in self.schema(snapshot_id)}
+            deletes = files.filter("content = 2").select(plain(F.col("path")).alias("_path"), F.col("sequence_number").alias("deleted"))
+            for ids, group in by_value.items():
+                columns = [name_of[i] for i in ids]
+                gone = self.spark.read.parquet(*[f["path"] for f in group]).select(*columns, plain(F.col("_metadata.file_path")).alias("_path")).join(deletes, "_path")
+                gone = gone.groupBy(*columns).agg(F.max("deleted").alias("deleted"))  # the last delete of a value is what counts
+                gone = gone.select(F.struct(*columns).alias("key"), "deleted")
+                same = [F.col("row")[c].eqNullSafe(F.col("key")[c]) for c in columns]
+                rows = rows.join(gone, reduce(lambda a, b: a & b, same) & (F.col("written") < F.col("deleted")), "left_anti")
+        return rows.select("row.*")
+
+
+def _plain(path: str) -> str:
+    """file:/x and file:///x are one."""
+    return re.sub("^([a-z0-9]+):/+", r"\1:/", path)
 
 
 def catalog(config: dict):

@@ -1,6 +1,7 @@
 """Unit cases of the engine: predicates, parser, addresses, aggregations, filters, the log, Delta logs and streams."""
 
 import json
+import os
 
 import pytest
 from lodestone.functions import analysis, ip
@@ -8,7 +9,7 @@ from lodestone.operators import aggs, joins, search
 from lodestone.plans import nodes as q
 from lodestone.plans.compile import matching
 from lodestone.plans.parser import parse_lenient, parse_query
-from lodestone.sources import delta, filters, parquet, txlog
+from lodestone.sources import delta, filters, iceberg, parquet, txlog
 from lodestone.streaming import streams
 from pyspark.sql import functions as F
 
@@ -299,3 +300,84 @@ def test_hive_files(spark, tmp_path):
     assert found == {"a b", "c+d"}
     assert parquet.table_info(spark, f"{tmp_path}/h")["partition_columns"] == ["p"]
     assert parquet.widen("bool", "i64") == "i64" and parquet.widen("f64", "bool") == "f64"
+
+
+def avro(schema, rows):
+    """An Avro container file of one block, uncompressed."""
+
+    def number(n):
+        n, out = (n << 1) ^ (n >> 63), b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    def raw(x):
+        data = x.encode() if isinstance(x, str) else x
+        return number(len(data)) + data
+
+    def put(kind, x):
+        if isinstance(kind, list):
+            at = 0 if x is None else next(k for k, t in enumerate(kind) if t != "null")
+            return number(at) + (b"" if x is None else put(kind[at], x))
+        if kind in ("int", "long"):
+            return number(x)
+        if kind == "string":
+            return raw(x)
+        if kind["type"] == "array":
+            return (number(len(x)) + b"".join(put(kind["items"], y) for y in x) if x else b"") + number(0)
+        return b"".join(put(f["type"], x[f["name"]]) for f in kind["fields"])
+
+    body = b"".join(put(schema, r) for r in rows)
+    return b"Obj\x01" + number(1) + raw("avro.schema") + raw(json.dumps(schema)) + number(0) + b"s" * 16 + number(len(rows)) + number(len(body)) + body + b"s" * 16
+
+
+def record(name, **kinds):
+    return {"type": "record", "name": name, "fields": [{"name": n, "type": k} for n, k in kinds.items()]}
+
+
+def test_iceberg(spark, tmp_path):
+    def parquet_file(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        return f"file://{next((tmp_path / name).glob('*.parquet'))}"
+
+    first = parquet_file("a", [(1, "x"), (2, "y"), (3, None)], "id long, t string")
+    second = parquet_file("b", [(4, "x"), (5, "z")], "id long, t string")
+    positions = parquet_file("p", [(first, 0)], "file_path string, pos long")
+    values = parquet_file("v", [("x",), (None,)], "t string")
+    file_kind = record("data_file", content="int", file_path="string", file_format="string", record_count="long", file_size_in_bytes="long", equality_ids=["null", {"type": "array", "items": "int"}])
+    entry_kind = record("manifest_entry", status="int", snapshot_id=["null", "long"], sequence_number=["null", "long"], data_file=file_kind)
+    entry = lambda path, content=0, number=None, ids=None, status=1: {"status": status, "snapshot_id": 1, "sequence_number": number, "data_file": {"content": content, "file_path": path, "file_format": "PARQUET", "record_count": 1, "file_size_in_bytes": 1, "equality_ids": ids}}
+    list_kind = record("manifest_file", manifest_path="string", sequence_number="long", added_snapshot_id="long", content="int")
+
+    def manifest(name, number, *entries, snapshot=1):
+        (tmp_path / name).write_bytes(avro(entry_kind, entries))
+        return {"manifest_path": f"file://{tmp_path}/{name}", "sequence_number": number, "added_snapshot_id": snapshot, "content": 0}
+
+    old = [manifest("m1.avro", 1, entry(first)), manifest("m2.avro", 3, entry(second), entry("file:///gone.parquet", status=2))]
+    new = [*old, manifest("m3.avro", 2, entry(positions, 1), entry(values, 2, ids=[2]), snapshot=2)]
+    for name, manifests in (("l1.avro", old), ("l2.avro", new)):
+        (tmp_path / name).write_bytes(avro(list_kind, manifests))
+    snapshots = [{"snapshot-id": k, "timestamp-ms": k, "manifest-list": f"file://{tmp_path}/l{k}.avro", "schema-id": 0} for k in (1, 2)]
+    schemas = [{"schema-id": 0, "fields": [{"id": 1, "name": "id", "type": "long"}, {"id": 2, "name": "t", "type": "string"}]}]
+    (tmp_path / "v2.metadata.json").write_text(json.dumps({"current-snapshot-id": 2, "snapshots": snapshots, "schemas": schemas, "current-schema-id": 0}))
+    table = iceberg.IcebergTable(spark, f"file://{tmp_path}/v2.metadata.json")
+    assert table.snapshots().count() == 2 and [f["name"] for f in table.schema()] == ["id", "t"]
+    assert {(r["content"], r["sequence_number"]) for r in table.files().collect()} == {(0, 1), (0, 3), (1, 2), (2, 2)} and table.files(1).count() == 2
+    assert len(table.changed_manifests(1)) == 1
+    assert ids(table.scan(1)) == [1, 2, 3, 4, 5]
+    # row 1 by its position; of the older file x and null go by value, the younger file keeps its x
+    assert ids(table.scan()) == [2, 4, 5]
+
+
+def test_watermark_drops_late_rows(spark, tmp_path):
+    for k, times in enumerate((["2024-01-01 00:01", "2024-01-01 00:02"], ["2024-01-01 03:00"], ["2024-01-01 03:01"], ["2024-01-01 00:03", "2024-01-01 03:02"], ["2024-01-01 09:00"])):
+        spark.createDataFrame([(t, k) for t in times], "t string, k int").select(F.to_timestamp("t").alias("ts"), "k").coalesce(1).write.parquet(f"{tmp_path}/w{k}")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        file = next((tmp_path / f"w{k}").glob("*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(file, (1_700_000_000 + 60 * k,) * 2)  # the stream takes them in this order
+    raw = spark.readStream.schema("ts timestamp, k int").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in")
+    out = streams.windowed(raw, "ts", "1 hour", [], [F.count(F.lit(1)).alias("n")], late="10 minutes")
+    running = out.writeStream.format("memory").queryName("late_rows").outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    got = {r["window_start"].hour: r["n"] for r in spark.table("late_rows").collect()}
+    assert got == {0: 2, 3: 3}  # the row of 00:03 came when the watermark had passed its window, and is dropped; the window of 09:00 is open still
