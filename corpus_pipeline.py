@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. They are
 written as Parquet between stages, here by ``run`` and in production by whoever schedules them.
+
+Defined results of all stages: an empty table stays empty; columns of any name pass through as they are. Null and blank texts have no
+words, so the rules reject them, and the later stages keep them: they are near copies of nothing, hold no benchmark item, are of size 0 to
+the mix (which rounds them to no copy) and of one byte to the shards. Rows without an id are judged by the rules like others and are never near copies.
+Repeated rows are judged alike: near copies are dropped by id, so rows of one id stay or go together; the mix gives rows equal in id and text their
+copies as a group; shards count each. Ties are broken by id, then by hashes of id and text, so reruns agree. Texts are taken whole at any length.
 """
 
 from __future__ import annotations
