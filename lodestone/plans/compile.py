@@ -7,6 +7,7 @@ type, never the column, so comparisons reach the Parquet scan. Cheap clauses of
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,7 @@ def tv(p: Column) -> Column:
 class Compiler:
     def __init__(self, schema: T.StructType, fields: q.Fields | None = None) -> None:
         self.schema, self.fields = schema, fields or q.Fields()
+        self._given: dict[str, Column] = {}  # tokens that an enclosing clause has bound
 
     # ------------------------------------------------------------------ fields
     def type_of(self, name: str) -> T.DataType:
@@ -43,6 +45,8 @@ class Compiler:
 
     def terms(self, name: str) -> Column:
         kind = self.type_of(name)
+        if name in self._given:
+            return self._given[name]
         if isinstance(kind, T.ArrayType):
             return F.flatten(F.transform(self.column(name), lambda t: analysis.tokens(t, self.fields.tokenizer(name))))
         if not self.is_text(name):
@@ -260,19 +264,43 @@ class Compiler:
 
     # ------------------------------------------------------------------ composites
     def bool(self, n: q.Bool) -> Column:
-        all_of = [(cost(c), self.of(c)) for c in n.must] + [(cost(c), ~self.of(c)) for c in n.must_not]
+        # (cost, fields, how to compile) of what must hold
+        all_of = [(cost(c), c.fields_used(), lambda c=c: self.of(c)) for c in n.must] + [(cost(c), c.fields_used(), lambda c=c: ~self.of(c)) for c in n.must_not]
         least = n.minimum_should_match
         if least is None:
             least = 1 if n.should and not n.must else 0
-        if n.should and least:
-            hits = [self.of(c) for c in n.should]
-            any_of = reduce(lambda a, b: a | b, hits) if least == 1 else reduce(lambda a, b: a + b, [h.cast("int") for h in hits]) >= least
-            all_of.append((max(cost(c) for c in n.should), any_of))
         if least > len(n.should):
             return F.lit(False)
         if not n.must and not n.should:
             return F.lit(False)  # negation alone matches nothing; it must be paired with match_all
-        return reduce(lambda a, b: a & b, [c for _, c in sorted(all_of, key=lambda x: x[0])]) if all_of else F.lit(True)
+        if n.should and least:
+
+            def enough() -> Column:
+                hits = [self.of(c) for c in n.should]
+                return reduce(lambda a, b: a | b, hits) if least == 1 else reduce(lambda a, b: a + b, [h.cast("int") for h in hits]) >= least
+
+            all_of.append((max(cost(c) for c in n.should), set().union(*(c.fields_used() for c in n.should)), enough))
+        if not all_of:
+            return F.lit(True)
+        all_of.sort(key=lambda x: x[0])
+        uses = Counter(f for c in (*n.must, *n.must_not, *(n.should if least else ())) for f in c.fields_used() if self._tokenised(f))
+        name = next((f for f, k in uses.most_common(1) if k > 1), None)
+        free = [make() for _, used, make in all_of if name not in used]
+        if name is None:
+            return reduce(lambda a, b: a & b, free)
+
+        def bound(ts: Column) -> Column:
+            self._given[name] = ts
+            try:
+                return reduce(lambda a, b: a & b, [make() for _, used, make in all_of if name in used])
+            finally:
+                del self._given[name]
+
+        # a field that several clauses search is cut into tokens once, and only for rows that the others leave
+        return reduce(lambda a, b: a & b, [*free, F.transform(F.array(self.terms(name)), bound).getItem(0)])
+
+    def _tokenised(self, name: str) -> bool:
+        return name in self.schema.names and name not in self._given and self.is_text(name) and not self.raw(name)
 
     def boost(self, n: q.Boost) -> Column:
         return self.of(n.query)
