@@ -94,13 +94,16 @@ def _attend(p: Parameters, x: np.ndarray):
     return placed, q, k, a, seen
 
 
-def _logs(p: Parameters, seen: np.ndarray) -> np.ndarray:
-    """Log probability of each class."""
+def _shares(p: Parameters, seen: np.ndarray, aim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each class, and log probability of the class that comes."""
     logits = seen @ p["U"]
     logits += p["b"]
     logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+    logs = logits[np.arange(len(aim)), aim]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1, keepdims=True)
+    logs -= np.log(total[:, 0])
+    return np.divide(logits, total, out=logits), logs
 
 
 def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,8 +136,7 @@ def score(p: Parameters, vectors: np.ndarray, classes: np.ndarray, lengths: np.n
     out = np.zeros(len(classes))
     for x, counted, at in _batches(vectors, lengths, STRIDE, _BATCH):
         seen = _attend(p, x)[-1]
-        logs = _logs(p, seen[counted] if len(counted) < len(seen) else seen)
-        out[at] = logs[np.arange(len(at)), classes[at]]
+        out[at] = _shares(p, seen[counted], classes[at])[1]
     return out
 
 
@@ -146,14 +148,13 @@ def gradient(p: Parameters, vectors: np.ndarray, classes: np.ndarray, lengths: n
         n, w, d = x.shape
         placed, q, k, a, seen = _attend(p, x)
         used = seen[counted]
-        logs, rows, aim = _logs(p, used), np.arange(len(at)), classes[at]
-        loss -= float(logs[rows, aim].sum())
-        np.exp(logs, out=logs)
-        logs[rows, aim] -= 1
-        total["U"] += used.T @ logs
-        total["b"] += logs.sum(axis=0)
+        off, logs = _shares(p, used, classes[at])
+        loss -= float(logs.sum())
+        off[np.arange(len(at)), classes[at]] -= 1
+        total["U"] += used.T @ off
+        total["b"] += off.sum(axis=0)
         back = np.zeros((n * w, d), _F)
-        back[counted] = logs @ p["U"][:d].T
+        back[counted] = off @ p["U"][:d].T
         da = np.matmul(back.reshape(n, w, d), x.transpose(0, 2, 1))
         da -= (da * a).sum(axis=-1, keepdims=True)
         da *= a

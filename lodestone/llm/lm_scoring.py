@@ -88,7 +88,7 @@ _LOCAL_BITS = 24
 
 
 def _read(schema: pa.Schema):
-    """``id, text, slice, task`` to one row a block, ``block, ids, slices, lengths, places``, and one for each of its distinct words, ``hash, at, word, k``."""
+    """``id, text, slice, task`` to one row a block, ``block, ids, slices, lengths, places``, and one for each of its distinct words, ``at, word, k``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = 0
@@ -105,23 +105,23 @@ def _read(schema: pa.Schema):
                     spans.append((word_hashes(lower[low:high], starts, ends), starts + low, ends + low, np.diff(before)))
                 hashes, starts, ends, lengths = (np.concatenate([x[k] for x in spans]) for k in range(4))
                 spans.clear()
-                unique, first, place, often = np.unique(hashes.view(np.int64), return_index=True, return_inverse=True, return_counts=True)
+                _, first, place, often = np.unique(hashes.view(np.int64), return_index=True, return_inverse=True, return_counts=True)
                 order = np.argsort(-often, kind="stable")  # frequent words get small numbers
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
-                unique, first, place = unique[order], first[order], rank[place]
-                k = np.bincount(place, np.repeat(slices >= 0, lengths), len(unique)).astype(np.int64)
+                first, place = first[order], rank[place]
+                k = np.bincount(place, np.repeat(slices >= 0, lengths), len(first)).astype(np.int64)
                 number = (int(part.column(3)[0].as_py()) << 12) + block
                 block += 1
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
                 row = {"block": pa.array([number]), "ids": ids, "slices": _packed(slices), "lengths": _packed(lengths.astype(np.int64)), "places": _packed(place.astype(np.uint32))}
                 yield _row(row, 1, schema)
                 raw = lower.tobytes()
-                for lo in range(0, len(unique), 50_000):
+                for lo in range(0, len(first), 50_000):
                     own = slice(lo, lo + 50_000)
                     words = pa.array([raw[a:b] for a, b in zip(starts[first[own]].tolist(), ends[first[own]].tolist(), strict=True)], pa.binary())
                     n = len(words)
-                    yield _row({"at": pa.array((number << _LOCAL_BITS) + np.arange(lo, lo + n)), "hash": pa.array(unique[own]), "word": words, "k": pa.array(k[own])}, n, schema)
+                    yield _row({"at": pa.array((number << _LOCAL_BITS) + np.arange(lo, lo + n)), "word": words, "k": pa.array(k[own])}, n, schema)
 
     return run
 
@@ -419,11 +419,11 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, ids: int = 50
     crc = F.crc32(F.col(id_col).cast("string").cast("binary"))
     piece = F.when(crc % 7 == 2, -1).otherwise(F.coalesce((F.floor(crc / 7) % ROUNDS).cast("int"), F.lit(0)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), piece.alias("slice"), F.spark_partition_id().alias("task"))
-    schema = f"block long, ids array<{id_kind}>, slices binary, lengths binary, places binary, hash long, at long, word binary, k long"
+    schema = f"block long, ids array<{id_kind}>, slices binary, lengths binary, places binary, at long, word binary, k long"
     both = materialise(rows.mapInArrow(_read(arrow(schema)), schema), "lm-blocks")
 
     # a word has at most one row for each block
-    counted = both.filter("hash is not null").select("hash", "at", "word", "k").repartition("hash").sortWithinPartitions("hash")
+    counted = both.filter("word is not null").select(F.xxhash64("word").alias("hash"), "at", "word", "k").repartition("hash").sortWithinPartitions("hash")
     words = materialise(counted.mapInArrow(_join_words(tokenizer, kind), _JOINED), "lm-words")
     release(spark)
     one = words.filter("n is not null")
@@ -434,7 +434,7 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, ids: int = 50
     n, v = n + ends, v + (ends > 0)
 
     chunk_schema = f"slice int, ids array<{id_kind}>, " + ", ".join(f"{name} binary" for name in _CHUNK)
-    blocks = both.filter("hash is null").select("block", "ids", "slices", "lengths", "places").groupBy("block")
+    blocks = both.filter("word is null").select("block", "ids", "slices", "lengths", "places").groupBy("block")
     by_block = words.filter("block is not null").select("block", "data").groupBy("block")
     chunks = materialise(blocks.cogroup(by_block).applyInArrow(_chunks(frequent, least, kind, arrow(chunk_schema)), chunk_schema), "lm-chunks")
     discard(both)
