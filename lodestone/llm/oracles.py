@@ -47,5 +47,33 @@ s AS (SELECT *, least(7, (2 * start + size) * 8 // (2 * total))::int AS shard FR
 SELECT doc_id, size::bigint AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, NULL::int AS grown_shard FROM s"""
 
 
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assigning every part to its nearest entry and taking floor means, one after the other."""
+    steps = [
+        "kept AS MATERIALIZED (SELECT row_number() OVER () AS r, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS place, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) AS c FROM embeddings"
+        " WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"part AS MATERIALIZED (SELECT r, j, c[j * len(c) // {parts} + 1 : (j + 1) * len(c) // {parts}] AS p FROM kept, range({parts}) t(j))",
+        f"b0 AS MATERIALIZED (SELECT j, place - 1 AS e, p FROM part JOIN kept USING (r) WHERE place <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(part.p, b.p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, j, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, j, e, {distance} AS d FROM part JOIN b{k} b USING (j)) GROUP BY r, j)")
+        if k < rounds:
+            mean = "SELECT j, e, list(m ORDER BY i) AS p FROM (SELECT j, e, i, floor(sum(p[i]) / count(*))::bigint AS m FROM (SELECT a.j, a.e, p, unnest(range(1, len(p) + 1)) AS i FROM a{0} a JOIN part USING (r, j)) GROUP BY j, e, i) GROUP BY j, e".format(k)
+            steps.append(f"m{k} AS MATERIALIZED ({mean})")
+            steps.append(f"b{k + 1} AS MATERIALIZED (SELECT j, e, coalesce(m.p, b.p) AS p FROM b{k} b LEFT JOIN m{k} m USING (j, e))")
+    steps.append(f"s AS (SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY j, e)) AS h FROM b{rounds})")
+    steps.append(f"o AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY j) AS code, sum(d)::bigint AS error FROM a{rounds} GROUP BY r)")
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::bigint AS label_error, h AS codebooks_sha256 FROM kept JOIN o USING (r), s"
+
+
+HARD_NEGATIVES = """WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS c
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.r AS a, b.r AS b, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.c, b.c), lambda z: z[1] * z[2])), 0)::bigint AS score FROM k a JOIN k b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, b) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER w ::int AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id, n.b) QUALIFY row_number() OVER w <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION, "op5_quality_rules": QUALITY_RULES, "op6_warc": WARC, "op9_sharding": SHARDING}
+    return {"op3_decontamination": DECONTAMINATION, "op5_quality_rules": QUALITY_RULES, "op6_warc": WARC, "op9_sharding": SHARDING, "op11_vector_codes": _vector_codes()}

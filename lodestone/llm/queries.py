@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import bpe, oracles
 from .common import read
 from .decontamination import find_contained
 from .html_extraction import extract_articles
@@ -18,6 +18,7 @@ from .ngram_join import ngram_links
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_by_bytes
+from .vector_codes import codebooks_digest, compress
 from .warc import archive, read_warc, resolve_revisits
 
 
@@ -66,6 +67,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropped_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress(read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    digits = F.lower(F.hex("code"))
+    return coded.select("vec_id", digits.alias("code"), "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_entropy_mixing": op1_entropy_mixing,
@@ -78,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": op8_ngram_join,
         "op9_sharding": op9_sharding,
         "op10_line_dedup": op10_line_dedup,
+        "op11_vector_codes": op11_vector_codes,
+        "op13_bpe": op13_bpe,
     }
 
 
