@@ -76,4 +76,4 @@ WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.id, n.b) QUALIFY row
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": DECONTAMINATION, "op5_quality_rules": QUALITY_RULES, "op6_warc": WARC, "op9_sharding": SHARDING, "op11_vector_codes": _vector_codes()}
+    return {"op3_decontamination": DECONTAMINATION, "op5_quality_rules": QUALITY_RULES, "op6_warc": WARC, "op9_sharding": SHARDING, "op11_vector_codes": _vector_codes(), "op12_hard_negatives": HARD_NEGATIVES}

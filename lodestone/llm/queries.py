@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, oracles
 from .common import read
 from .decontamination import find_contained
+from .hard_negatives import mine_hard_negatives
 from .html_extraction import extract_articles
 from .line_dedup import dropped_lines
 from .lm_scoring import score_documents
@@ -73,6 +74,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", digits.alias("code"), "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text")))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -92,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sharding": op9_sharding,
         "op10_line_dedup": op10_line_dedup,
         "op11_vector_codes": op11_vector_codes,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_bpe": op13_bpe,
     }
 
