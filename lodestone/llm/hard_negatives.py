@@ -48,7 +48,7 @@ def augmented(cells: np.ndarray, norm: float | None = None) -> tuple[np.ndarray,
 class Tree:
     """Rows in leaf order, and for each node: parent, whether it is inside its parent's median, and the least and greatest distance to the parent's vantage point."""
 
-    def __init__(self, cells: np.ndarray, leaf: int = LEAF) -> None:
+    def __init__(self, cells: np.ndarray, leaf: int) -> None:
         points, self.norm = augmented(cells)
         self.order, self.vantage, self.parents, self.spans, self.leaves = [], [], [], [], []
         # (rows, parent's place among inner nodes, least and greatest distance to its vantage point)
@@ -74,9 +74,9 @@ class Tree:
                 open_.append((rows[part], me, float(far[part].min()), float(far[part].max())))
 
 
-def pack(ids: np.ndarray, rows: np.ndarray, labels: np.ndarray, cells: np.ndarray) -> tuple:
+def pack(ids: np.ndarray, rows: np.ndarray, labels: np.ndarray, cells: np.ndarray, leaf: int) -> tuple:
     """A tree as one row of ``_TREES``."""
-    tree = Tree(cells.astype(np.float64))
+    tree = Tree(cells.astype(np.float64), leaf)
     order = np.array(tree.order, np.int64)
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
@@ -160,12 +160,12 @@ class Stored:
 
 
 # ---------------------------------------------------------------------- the table
-def _build(width: int):
+def _build(width: int, leaf: int):
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         cells = np.frombuffer(b"".join(frame["cells"]), np.int32).reshape(-1, width)
         order = np.argsort(frame["row"].to_numpy(), kind="stable")  # however the shuffle has dealt them
         ids, rows, labels = (frame[c].to_numpy()[order] for c in ("id", "row", "label"))
-        return pd.DataFrame([pack(ids, rows, labels, cells[order])], columns=["ids", "rows", "labels", "cells", "width", "nodes", "vantage", "leaves", "norm"])
+        return pd.DataFrame([pack(ids, rows, labels, cells[order], leaf)], columns=["ids", "rows", "labels", "cells", "width", "nodes", "vantage", "leaves", "norm"])
 
     return run
 
@@ -229,7 +229,7 @@ def mine_hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int =
     bytes_ = max(4, shape["most"])
     dealt = lambda n, most: F.pmod(F.xxhash64("row"), F.lit(-(-n * bytes_ // most)))
     chunks = rows.select("id", "row", "label", "cells", dealt(2 * shape["n"], CHUNK).alias("chunk"))
-    trees = materialise(chunks.groupBy("chunk").applyInPandas(_build(shape["most"] // 4), _TREES), "negatives-trees")
+    trees = materialise(chunks.groupBy("chunk").applyInPandas(_build(shape["most"] // 4, LEAF), _TREES), "negatives-trees")
     anchors = materialise(rows.filter("anchor").select("row", "id", "label", "cells", dealt(shape["anchors"], BLOCK).alias("block")), "negatives-anchors", ["block"])
 
     at, fields = scratch_path(spark, "negatives-found"), "anchor long, window int, id long, hit long, score long"
