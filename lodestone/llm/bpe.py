@@ -219,7 +219,10 @@ class Bpe:
             raise ValueError("not a lower-casing BPE tokenizer with word ends")
         vocabulary, letters = model["vocab"], byte_letters()
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.names = {i: name for name, i in (vocabulary | self.special).items()}
+        self.names = np.full(1 + max((vocabulary | self.special).values()), None, object)
+        for name, i in (vocabulary | self.special).items():
+            self.names[i] = name
+        self.gaps = any(n is None for n in self.names)
         self.inner, self.last = [vocabulary[c] for c in letters], [vocabulary[c + WORD_END] for c in letters]
         self.rank, self.merged = {}, []
         for pair in model["merges"]:
@@ -282,12 +285,19 @@ class Bpe:
         """The ids of one text."""
         return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
+    def decode_all(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """The tokens' names with a space between, for each run of so many ids; ids that the file doesn't have are left out."""
+        known = (ids >= 0) & (ids < len(self.names))
+        names = self.names[np.where(known, ids, 0)]
+        names[~known] = None
+        names, ends = names.tolist(), np.cumsum(lengths).tolist()
+        out = [names[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        strange = not known.all() or self.gaps
+        return [" ".join([n for n in run if n is not None] if strange else run) for run in out]
+
     def decode(self, ids: list[int]) -> str:
-        """The tokens' names with a space between; ids that the file doesn't have are left out."""
-        try:
-            return " ".join(map(self.names.__getitem__, ids))
-        except KeyError:
-            return " ".join(self.names[i] for i in ids if i in self.names)
+        """The text of one text's ids."""
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 @functools.lru_cache(2)
@@ -351,7 +361,8 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, ids: str = "ids", n
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 part = whole.slice(lo, 256)
-                texts = pa.array([bpe.decode(row or []) for row in part.column(at).to_pylist()], pa.string())
+                lengths = pc.fill_null(pc.list_value_length(part.column(at)), 0).to_numpy(zero_copy_only=False)
+                texts = pa.array(bpe.decode_all(part.column(at).flatten().to_numpy(zero_copy_only=False), lengths), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*(f"c{i}" for i in range(len(names) - 1)), "decoded"])
 
     return encoded.toDF(*[f"c{i}" for i in range(len(names) - 1)]).mapInArrow(run, schema).toDF(*names)
