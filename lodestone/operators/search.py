@@ -111,8 +111,14 @@ def score(df: DataFrame, query: q.Query, fields: q.Fields | None = None) -> Data
     return out.withColumn("_score", scorer.of(query)).drop(*[f"_tok_{f}" for f in names])
 
 
-def search(df: DataFrame, query: q.Query, limit: int, id_col: str, fields: q.Fields | None = None, order_by: str | None = None, descending: bool = True, offset: int = 0) -> DataFrame:
-    """The top ``limit`` rows by score, or by a field; ties by id."""
+def search(df: DataFrame, query: q.Query, limit: int, id_col: str, fields: q.Fields | None = None, order_by: str | None = None, descending: bool = True, offset: int = 0, index=None) -> DataFrame:
+    """The top ``limit`` rows by score, or by a field; ties by id. With a stored ``index`` (:class:`.indexed.TextIndex`) the text of no other row is read."""
+    if index is not None:
+        best = index.search(query, df, limit, id_col, fields, offset) if order_by is None else index.ids(query, df, id_col, fields)
+        found = df.join(F.broadcast(best) if order_by is None else best, id_col)  # ``limit`` rows
+        key = F.col(order_by or "_score")
+        found = found.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(id_col)).select(*df.columns, *(["_score"] if order_by is None else []))
+        return found if order_by is None else (found.offset(offset) if offset else found).limit(limit)
     out = score(df, query, fields) if order_by is None else matching(df, query, fields)
     key = F.col(order_by or "_score")
     out = out.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(id_col))

@@ -130,24 +130,29 @@ class Compiler:
             )
 
         def sloppy(ts: Column) -> Column:
-            # offsets of each term, less its place in the phrase; terms match when the spread of offsets is within the slop
+            # offsets of each term, less its place in the phrase
             def places(k: int) -> Column:
                 at = F.transform(ts, lambda t, i: F.when(F.coalesce(fits(t, k), F.lit(False)), i - F.lit(steps[k][0])))
                 return F.filter(at, lambda x: x.isNotNull())
 
-            def widened(found: Column, r: Column) -> Column:
-                both = F.transform(found, lambda x: F.struct(F.least(r["lo"], x).alias("lo"), F.greatest(r["hi"], x).alias("hi")))
-                return F.filter(both, lambda s: s["hi"] - s["lo"] <= n.slop)
-
-            ranges = F.transform(places(0), lambda x: F.struct(x.alias("lo"), x.alias("hi")))
-            for k in range(1, len(steps)):
-                found = places(k)
-                ranges = F.flatten(F.transform(ranges, lambda r: widened(found, r)))  # noqa: B023  (called at once)
-            return F.size(ranges) > 0
+            return self.within_slop([places(k) for k in range(len(steps))], n.slop)
 
         bound = F.transform(F.array(terms), lambda ts: F.when(F.size(ts) == 0, F.lit(False)).otherwise(sloppy(ts) if n.slop else exact(ts)))
         return tv(bound.getItem(0))
 
+    @staticmethod
+    def within_slop(places: list[Column], slop: int) -> Column:
+        """Whether one offset of each array can be chosen so that their spread is within the slop."""
+
+        def widened(found: Column, r: Column) -> Column:
+            both = F.transform(found, lambda x: F.struct(F.least(r["lo"], x).alias("lo"), F.greatest(r["hi"], x).alias("hi")))
+            return F.filter(both, lambda s: s["hi"] - s["lo"] <= slop)
+
+        ranges = F.transform(places[0], lambda x: F.struct(x.alias("lo"), x.alias("hi")))
+        for found in places[1:]:
+            ranges = F.flatten(F.transform(ranges, lambda r: widened(found, r)))  # noqa: B023  (called at once)
+        return F.size(ranges) > 0
+
     def fuzzy(self, n: q.Fuzzy) -> Column:
         d = n.distance
 

@@ -6,13 +6,14 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import analysis
 from .functions.ip import ip_key, ip_text, v4_key
-from .operators import aggs, joins, search
+from .operators import aggs, indexed, joins, search
 from .plans import nodes as q
 from .plans.compile import matching
 from .plans.parser import parse_query
@@ -62,7 +63,7 @@ _docs("q09_dismax_filter", q.DisMax((q.Term("text", "pathetic"), q.Term("text",
 _docs("q12_regex", q.Regex("text", "wh[ae]t?"), _any("regexp_full_match(t, 'wh[ae]t?')"))
 _docs("q13_wildcard_prefix", q.Wildcard("text", "path*"), _any("starts_with(t, 'path')"))
 _docs("q13_wildcard_one", q.Wildcard("text", "w?th"), _any("regexp_full_match(t, 'w.th')"))
-_docs("q13a_wildcard_words", q.Wildcard("text", "ntio* ther*"), f"{_any("starts_with(t, 'ntio')")} AND {_any("starts_with(t, 'ther')")}")
+_docs("q13a_wildcard_words", q.Wildcard("text", "path* wort*"), f"{_any("starts_with(t, 'path')")} AND {_any("starts_with(t, 'wort')")}")
 _docs("q13b_wildcard_unordered", q.Wildcard("text", "*ntion*ingth*"), f"{_any("contains(t, 'ntion')")} AND {_any("contains(t, 'ingth')")}")
 _docs("q14_wildcard_lenient", q.Bool(should=(q.Wildcard("nothing", "a*", lenient=True), q.Term("text", "pathetic"))), "list_contains(tok, 'pathetic')")
 _docs("s01_term_exact_case", q.Bool(should=(q.Term("text", "The", analyzed=False), q.Term("source", "src1", analyzed=False), q.Term("lang", "de", analyzed=False), q.Term("lang", "FR", analyzed=False))), "list_contains(tok, 'The') OR source = 'src1' OR lang = 'de'")
@@ -105,6 +106,12 @@ for _n, _q, _w in (
         f"SELECT event_id FROM events WHERE {_w}",
     )
 
+_register(
+    "q24_json_leaf_of_objects",
+    lambda s, d: matching(_t(s, d, "events").withColumn("props", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": {"x": '), F.col("event_id"), F.lit("}}"))).otherwise(F.col("props"))), q.JsonExists("props", "k", check_subpaths=False)).select("event_id"),
+    "SELECT event_id FROM events WHERE event_id % 3 <> 0 AND (props->>'$.k') IS NOT NULL",
+)
+
 _IPS = q.Fields(ips=frozenset({"addr"}))
 _addr = lambda s, d: _t(s, d, "events").withColumn("addr", F.concat_ws(".", F.lit("10"), (F.col("user_id") % 4).cast("string"), (F.col("user_id") % 256).cast("string"), (F.col("event_id") % 256).cast("string")))
 for _n, _text, _w in (
@@ -138,12 +145,12 @@ _register(
     lambda s, d: search.by_ids(_t(s, d, "documents"), [42, 7, 3], "doc_id", ["doc_id", "lang"]),
     "SELECT p.pos::int AS pos, d.doc_id, d.lang FROM documents d JOIN (VALUES (0, 42), (1, 7), (2, 3)) p(pos, id) ON d.doc_id = p.id",
 )
-_HIT = r"(?i)(^|[^\p{L}\p{N}])(pathetic)($|[^\p{L}\p{N}])"
+_HIT = r"(?i)(^|[^\p{L}\p{N}\x01\x02])(pathetic)($|[^\p{L}\p{N}\x01\x02])"
 _register(
     "r12_snippets",
     lambda s, d: search.snippets(matching(_t(s, d, "documents"), q.Term("text", "pathetic")), "text", ["pathetic"]).select("doc_id", "snippet"),
     f"""WITH t AS (SELECT doc_id, text, length(regexp_extract(text, '(?is)^(.*?(?:^|[^\\p{{L}}\\p{{N}}]))pathetic(?:$|[^\\p{{L}}\\p{{N}}])', 1)) + 1 AS hit FROM documents WHERE list_contains({_TOK}, 'pathetic'))
-    SELECT doc_id, regexp_replace(substr(text, greatest(1, hit - 50), 150), '{_HIT}', '\\1<b>\\2</b>\\3', 'g') AS snippet FROM t""",
+    SELECT doc_id, replace(replace(regexp_replace(regexp_replace(substr(text, greatest(1, hit - 50), 150), '{_HIT}', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), '{_HIT}', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), chr(1), '<b>'), chr(2), '</b>') AS snippet FROM t""",  # twice, for hits that share a separator
 )
 _register(
     "q15_more_like_this",
@@ -470,6 +477,73 @@ def _stored_postings(s: SparkSession, d: str) -> DataFrame:
 _register("w10_stored_postings", _stored_postings, _BM25)
 
 
+#: Each kind of leaf, by the stored index: name, query, the same in SQL over the words ``tok``.
+_BY_INDEX = [
+    ("term", q.Term("text", "pathetic"), "list_contains(tok, 'pathetic')"),
+    ("set", q.TermSet("text", ("pathetic", "worthless")), "list_has_any(tok, ['pathetic', 'worthless'])"),
+    ("fuzzy", q.Fuzzy("text", "patehtic", 1), _any("damerau_levenshtein(t, 'patehtic') <= 1")),
+    ("regex", q.Regex("text", "path.*c"), _any("regexp_full_match(t, 'path.*c')")),
+    ("prefix", q.Wildcard("text", "wort*"), _any("starts_with(t, 'wort')")),
+    ("infix", q.Wildcard("text", "*ntion*ingth*"), f"{_any("contains(t, 'ntion')")} AND {_any("contains(t, 'ingth')")}"),
+    ("words", q.Wildcard("text", "path* wort*"), f"{_any("starts_with(t, 'path')")} AND {_any("starts_with(t, 'wort')")}"),
+    ("phrase", q.Phrase("text", ("of", "the")), "contains(' ' || array_to_string(tok, ' ') || ' ', ' of the ')"),
+    ("phrase_prefix", q.Phrase("text", ("of", "th"), prefix_last=True), "contains(' ' || array_to_string(tok, ' ') || ' ', ' of th')"),
+    ("boolean", q.Bool(must=(q.Term("text", "the"), q.Range("n_chars", 100, 3000)), must_not=(q.Term("text", "of"),)), "list_contains(tok, 'the') AND n_chars BETWEEN 100 AND 3000 AND NOT list_contains(tok, 'of')"),
+    ("negation", q.Bool(must=(q.MatchAll(),), must_not=(q.Wildcard("text", "*e*"),)), f"NOT coalesce({_any("contains(t, 'e')")}, false)"),
+]
+
+
+def _index(s: SparkSession, d: str) -> indexed.TextIndex:
+    """The documents' text in two parts."""
+    docs, where = _t(s, d, "documents"), _folder(s)
+    indexed.TextIndex.write(docs.filter("doc_id % 2 = 0"), where, "doc_id", ["text"], part="even")
+    return indexed.TextIndex.write(docs.filter("doc_id % 2 <> 0"), where, "doc_id", ["text"], part="odd")
+
+
+def _index_rows(s: SparkSession, d: str) -> DataFrame:
+    index, docs = _index(s, d), _t(s, d, "documents")
+    return reduce(DataFrame.unionByName, [index.ids(query, docs, "doc_id").select(F.lit(name).alias("leaf"), "doc_id") for name, query, _ in _BY_INDEX])
+
+
+_register("w08_index_leaves", _index_rows, f"WITH t AS (SELECT *, {_TOK} AS tok FROM documents) " + " UNION ALL ".join(f"SELECT '{name}' AS leaf, doc_id FROM t WHERE {where}" for name, _, where in _BY_INDEX))
+_register("r01_index_top_k", lambda s, d: search.search(_t(s, d, "documents"), q.Bool(should=(q.Term("text", "pathetic"), q.Term("text", "the"))), 20, "doc_id", index=_index(s, d)).select("doc_id", F.round("_score", 6).alias("score")), _BM25)
+
+
+def _months(s: SparkSession, d: str) -> TransactionLog:
+    """Each month of the orders as a file's entry: a commit for each year, a state after every second one, a remove between."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    day = lambda c: c("o_orderdate").cast("date").cast("string")
+    found = _t(s, d, "orders").groupBy(month.alias("m")).agg(F.count(F.lit(1)).alias("n"), day(F.min).alias("lo"), day(F.max).alias("hi")).orderBy("m").collect()  # a row for each month
+    log = TransactionLog(s, _folder(s))
+    log.initialise("o_orderkey long", ["m"])
+    years = sorted({r["m"][:4] for r in found})
+    for k, year in enumerate(years):
+        log.add([{"path": r["m"], "partitionValues": {"m": r["m"]}, "numRecords": r["n"], "minValues": {"o_orderdate": r["lo"]}, "maxValues": {"o_orderdate": r["hi"]}} for r in found if r["m"][:4] == year])
+        if k % 2:
+            log.checkpoint()
+        if k == 1:
+            log.remove([f"{year}-06"], 1)
+    return log
+
+
+def _month_files(s: SparkSession, d: str) -> DataFrame:
+    found = _months(s, d).list(filters.Filter("gte", "m", "1997-02") & filters.Filter("lte", "m", "1998-01"))
+    return found.files.select("path", "numRecords").withColumns({"manifests": F.lit(found.manifests), "opened": F.lit(len(found.opened))})
+
+
+_MONTHS = "WITH f AS (SELECT strftime(o_orderdate, '%Y-%m') AS path, count(*) AS \"numRecords\", min(o_orderdate)::date AS lo, max(o_orderdate)::date AS hi FROM orders GROUP BY 1), live AS (SELECT * FROM f WHERE path <> '1996-06') "
+_register("t07_stored_manifests", _month_files, _MONTHS + "SELECT path, \"numRecords\", 3::int AS manifests, 1::int AS opened FROM live WHERE path BETWEEN '1997-02' AND '1998-01'")
+
+
+def _month_counts(s: SparkSession, d: str) -> DataFrame:
+    """Files at each stage of a listing by dates: the bounds skip what lies outside."""
+    found = _months(s, d).list(None, filters.Filter("gte", "o_orderdate", "1996-05-20") & filters.Filter("lt", "o_orderdate", "1997-03-01"), {"o_orderdate": "date"})
+    return s.createDataFrame(list(found.counts().items()), "stage string, n long")
+
+
+_register("t12_listing_counts", _month_counts, _MONTHS + "SELECT 'manifests' AS stage, 3::bigint AS n UNION ALL SELECT 'manifests_opened', 3 UNION ALL SELECT 'entries', count(*) FROM live UNION ALL SELECT 'after_skipping', count(*) FROM live WHERE hi >= DATE '1996-05-20' AND lo < DATE '1997-03-01'")
+
+
 def _log_table(s: SparkSession, d: str) -> TransactionLog:
     """Nations as a logged table: two appends, a delete, a merge, a checkpoint and one more append."""
     nation = _t(s, d, "nation")

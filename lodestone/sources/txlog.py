@@ -1,9 +1,11 @@
 """The file log of a table: versions of actions as JSON lines, replayed by a DataFrame plan.
 
-``_log/00000000000000000007.json`` is version 7, a line an action; ``_log/checkpoint-7-<id>.parquet`` is the state at version 7, and
-``_log/_last-7.json`` publishes it: a checkpoint that no such file names does not exist for readers, so one that is still
+``_log/00000000000000000007.json`` is version 7, a line an action; ``_log/state-7-<id>`` is the state at version 7 (manifests shared with other states,
+see :mod:`.state`), and ``_log/_last-7.json`` publishes it: a checkpoint that no such file names does not exist for readers, so one that is still
 being written, or whose writer died, does no harm. A version's file is written aside and renamed to its number, which fails if
-the number is taken; the writer then tries the next. So a version is whole or absent, and what belongs together is one version.
+the number is taken; the writer then looks at what came between and tries the next. So a version is whole or absent, and what belongs together is one version.
+A version that removes files is only written while all of them are live: if another writer has taken one away, or changed the table's schema, the
+commit is refused with :class:`Conflict` and the rewrite is done again on what is there now. Appends never conflict.
 """
 
 from __future__ import annotations
@@ -12,10 +14,13 @@ import json
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .filters import Filter, bounds_of, compile_filter, may_match
+from .state import MANIFEST_ENTRIES, Listing, State, net, write_state
 
 PROTOCOL = 4
 _BATCH = "log_batch"  # the outermost partition: the files of one append
@@ -26,6 +31,10 @@ ACTION_SCHEMA = (
 )
 
 
+class Conflict(RuntimeError):
+    """Another writer has removed a file that this commit removes too, or changed the table's schema."""
+
+
 # ---------------------------------------------------------------------- replay
 def replay(actions: DataFrame) -> DataFrame:
     """Live files: the latest add or remove of each path wins, and a remove takes the path away. Skips play no part."""
@@ -166,8 +175,14 @@ class TransactionLog:
         finally:
             stream.close()
 
-    def _checkpoint_path(self, version: int) -> str:
-        return f"{self.root}/{json.loads(self._text(f'{self.root}/_last-{version}.json'))['path']}"
+    def published(self, up_to: int | None = None) -> dict | None:
+        """The last published state: its version, folder and numbers."""
+        base = self.checkpoint_version(up_to)
+        return None if base is None else json.loads(self._text(f"{self.root}/_last-{base}.json"))
+
+    def state(self, up_to: int | None = None) -> State | None:
+        found = self.published(up_to)
+        return None if found is None else State(self.spark, self.root, found["path"], ACTION_SCHEMA)
 
     def _create(self, name: str, text: str) -> bool:
         """Create a file that does not exist yet, whole; false if it exists."""
@@ -198,17 +213,39 @@ class TransactionLog:
         lines = [json.dumps(r | {"version": version, "seq": i}) for i, r in enumerate(rows)]
         return self._create(self._name(version), "\n".join(lines) + "\n")
 
-    def commit(self, rows: list[dict], attempts: int = 10, first_wait: float = 0.1, longest_wait: float = 5.0) -> int:
-        """Append a version; on a conflict try the next number, waiting longer each time."""
-        version, wait = self.current_version() + 1, first_wait
+    def commit(self, rows: list[dict], attempts: int = 10, first_wait: float = 0.1, longest_wait: float = 5.0, base: int | None = None) -> int:
+        """Append a version; on a conflict try the next number, waiting longer each time.
+
+        With ``base``, the version that the rows were made from, all files that the rows remove must still be live, and the schema the same: if one of the versions
+        since says otherwise it is a :class:`Conflict`, and nothing is written.
+        """
+        gone = sorted({r["path"] for r in rows if r["action"] == "remove"})
+        version, wait, seen = self.current_version() + 1, first_wait, base
         for _ in range(attempts):
+            if base is not None and version - 1 > seen:
+                self._check(gone, seen, version - 1)
+                seen = version - 1
             if self.write_once(rows, version):
                 return version
-            version += 1
+            version = max(version + 1, self.current_version() + 1)
             time.sleep(wait)
             wait = min(longest_wait, 2 * wait)
         raise RuntimeError(f"no version could be written in {attempts} attempts")
 
+    def _check(self, gone: list[str], after: int, up_to: int) -> None:
+        """Raise a conflict if the versions in (after, up_to] took away one of the files, or changed the schema."""
+        there = [v for v in self.versions() if after < v <= up_to]
+        wanted = self.spark.createDataFrame([(p,) for p in gone], "path string")
+        if len(there) == up_to - after:
+            since = self.spark.read.schema(ACTION_SCHEMA).json([self._name(v) for v in there])
+            if since.filter(F.col("action").isin("metaData", "protocol")).limit(1).count():
+                raise Conflict("the table's schema or protocol has changed")
+            lost = net(since).filter("action = 'remove'").join(wanted, "path", "left_semi")
+        else:  # some of the versions are purged already: look at the state itself
+            lost = wanted.join(replay(self.actions(up_to)).select("path"), "path", "left_anti")
+        if row := lost.select("path").first():
+            raise Conflict(f"removed by another writer: {row['path']}")
+
     def add(self, files: list[dict]) -> int:
         return self.commit([{"action": "add", "dataChange": True} | f for f in files])
 
@@ -219,27 +256,72 @@ class TransactionLog:
         return self.commit([{"action": "mergeskip", "path": path, "reason": reason, "skipTimestamp": at, "retryAfter": retry_after, "skipCount": count}])
 
     def actions(self, up_to: int | None = None) -> DataFrame:
-        """The checkpoint's rows and those of later versions."""
-        base = self.checkpoint_version(up_to)
+        """The checkpoint's rows and those of later versions: all manifests are opened; see :meth:`list` for a listing that opens what it needs."""
+        last = self.state(up_to)
+        since = self._since(self.checkpoint_version(up_to), up_to)
+        return since if last is None else since.unionByName(last.actions())
+
+    def _since(self, base: int | None, up_to: int | None = None) -> DataFrame:
         names = [self._name(v) for v in self.versions() if (base is None or v > base) and (up_to is None or v <= up_to)]
-        out = self.spark.read.schema(ACTION_SCHEMA).json(names) if names else self.spark.createDataFrame([], ACTION_SCHEMA)
-        return out if base is None else out.unionByName(self.spark.read.schema(ACTION_SCHEMA).parquet(self._checkpoint_path(base)))
+        return self.spark.read.schema(ACTION_SCHEMA).json(names) if names else self.spark.createDataFrame([], ACTION_SCHEMA)
+
+    def list(self, partition: Filter | None = None, data: Filter | None = None, kinds: dict[str, str] | None = None, exclude_cooling_at: int | None = None, up_to: int | None = None) -> Listing:
+        """Live files that the filters leave: the manifests that may hold them, less tombstones, and the versions since the last state."""
+        base, last = self.checkpoint_version(up_to), self.state(up_to)
+        changed = net(self._since(base, up_to))
+        opened, total = ([], 0) if last is None else (last.pruned(partition), last.manifests().count())
+        out = changed.filter("action = 'add'")
+        if last is not None:
+            out = out.unionByName(last.entries(opened).join(changed.select("path"), "path", "left_anti").select(out.columns))
+        stages = [("entries", out)]
+        if partition is not None:
+            out = out.filter(compile_filter(partition, F.col("partitionValues"), "log"))
+            stages.append(("after_partition", out))
+        if data is not None:
+            out = out.filter(may_match(data, F.col("minValues"), F.col("maxValues"), kinds))
+            stages.append(("after_skipping", out))
+        if exclude_cooling_at is not None:
+            skips = self._since(base, up_to) if last is None else self._since(base, up_to).unionByName(last.rest())
+            out = out.join(cooling_down(skips, exclude_cooling_at), "path", "left_anti")
+            stages.append(("after_cooldown", out))
+        return Listing(out, total, opened, stages)
 
     def read_version(self, version: int) -> DataFrame:
         return self.spark.read.schema(ACTION_SCHEMA).json(self._name(version))
 
-    def checkpoint(self, keep_removed_since: int | None = None) -> int:
-        """Write the state as a Parquet folder, then publish it: live files, skips, the protocol and metadata in force, and removes that are not older than asked (tombstones)."""
-        version, every = self.current_version(), self.actions()
-        every = every.filter(F.col("version") <= version)
-        state = replay(every).unionByName(last_of(every, "protocol")).unionByName(last_of(every, "metaData")).unionByName(every.filter("action = 'mergeskip'"))
-        if keep_removed_since is not None:
-            state = state.unionByName(tombstones(every).filter(F.col("deletionTimestamp") >= keep_removed_since))
-        name = f"checkpoint-{version}-{uuid.uuid4().hex}.parquet"
-        state.write.parquet(f"{self.root}/{name}")
-        self._create(f"{self.root}/_last-{version}.json", json.dumps({"version": version, "path": name}))  # of two writers the first is read
+    def checkpoint(self, keep_removed_since: int | None = None, full: bool = False, manifest_entries: int = MANIFEST_ENTRIES) -> int:
+        """Write the state of the current version, then publish it. It is made from the last state and the versions since, or anew if ``full``.
+
+        Removes whose files are in no manifest any more are kept if they are not older than ``keep_removed_since``.
+        """
+        version = self.current_version()
+        base, last = self.checkpoint_version(version), None if full else self.state(version)
+        if base == version and not full:
+            return version
+        since = self.actions(version) if last is None else self._since(base, version)
+        name = f"state-{version}-{uuid.uuid4().hex}"
+        numbers = write_state(self.spark, self.root, name, ACTION_SCHEMA, last, since, version, keep_removed_since, manifest_entries)
+        if full and base == version:
+            self._fs.delete(self._path(f"{self.root}/_last-{version}.json"), False)
+        self._create(f"{self.root}/_last-{version}.json", json.dumps(numbers))  # of two writers the first is read
         return version
 
+    def drop_states(self, keep: int = 2) -> int:
+        """Delete all but the last ``keep`` published states, with the manifests that none of the kept ones names; how many states."""
+        published = self._published()
+        old = published[: max(0, len(published) - max(1, keep))]
+        used = set()
+        for v in published[len(old) :]:
+            name = json.loads(self._text(f"{self.root}/_last-{v}.json"))["path"]
+            used |= {name} | {r["f"] for r in State(self.spark, self.root, name, ACTION_SCHEMA).manifests().select(F.substring_index("path", "/", 1).alias("f")).distinct().collect()}
+        mine = {f"-{v}-" for v in old}
+        for v in old:
+            self._fs.delete(self._path(f"{self.root}/_last-{v}.json"), False)
+        for n, _ in self._listing():
+            if n.startswith(("state-", "manifest-")) and n not in used and any(m in n for m in mine):
+                self._fs.delete(self._path(f"{self.root}/{n}"), True)
+        return len(old)
+
     def auto_checkpoint(self, every: int = 10) -> int | None:
         last = self.checkpoint_version()
         return self.checkpoint() if self.current_version() - (last if last is not None else -1) >= every else None
@@ -297,48 +379,96 @@ class TransactionLog:
         """The rows of the live files that the filters leave; files that are gone are an error, or are ignored if ``missing`` says so."""
         if missing not in ("error", "ignore"):
             raise ValueError(f"missing files are an error or ignored, not {missing!r}")
-        paths = [r["path"] for r in list_files(self.actions(), partition, data, kinds).select("path").toLocalIterator()]
+        paths = [r["path"] for r in self.list(partition, data, kinds).files.select("path").toLocalIterator()]
         if missing == "ignore":
             paths = [p for p in paths if self._fs.exists(self._path(p))]
-        if not paths:
-            raise ValueError("no file is left")
-        return self._read(paths)
+        return self._read(paths) if paths else self.empty()
+
+    def metadata(self) -> dict:
+        """The metadata in force: schema string and partition columns."""
+        last, since = self.state(), self._since(self.checkpoint_version())
+        row = last_of(since if last is None else since.unionByName(last.rest()), "metaData").first()
+        return {"schema": row["schemaString"] if row else None, "partitions": [c for c in (row["reason"] or "").split(",") if c] if row else []}
+
+    def empty(self) -> DataFrame:
+        """No rows, in the schema of the metadata, or of any file of the table's past that still exists."""
+        text = self.metadata()["schema"]
+        if text and text.strip() not in ("", "{}"):
+            kind = T.StructType.fromJson(json.loads(text)) if text.lstrip().startswith("{") else T.StructType.fromDDL(text)
+            return self.spark.createDataFrame([], kind)
+        try:
+            return self._read([self.data]).limit(0)
+        except AnalysisException as e:
+            raise ValueError("the table holds no file and its metadata no schema") from e
 
     def _partitions(self) -> list[str]:
-        """The partition columns of the live files."""
-        row = replay(self.actions()).select(F.map_keys("partitionValues").alias("k")).first()
+        """The partition columns: of the metadata, or of the live files."""
+        if found := self.metadata()["partitions"]:
+            return found
+        row = self.list().files.select(F.map_keys("partitionValues").alias("k")).first()
         return list(row["k"] or []) if row else []
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.option("basePath", self.data).parquet(*paths).drop(_BATCH)
 
-    def merge(self, paths: list[str], files: int = 1, stats: list[str] | None = None) -> tuple[int, list[str]]:
-        """Rewrite files as about ``files`` ones; the new files and the removes are one version. Unreadable ones are skipped and reported."""
-        if len(paths) < 2:
-            raise ValueError("merging takes two files or more")
-        good, bad = [], []
-        for p in paths:
+    def merge(self, paths: list[str], files: int = 1, stats: list[str] | None = None, attempts: int = 3) -> tuple[int, list[str]]:
+        """Rewrite files as about ``files`` ones; the new files and the removes are one version. Unreadable ones are skipped and reported.
+
+        If another writer takes some of them away meanwhile, what was written is deleted and the rest is merged again.
+        """
+        for attempt in range(attempts):
+            base = self.current_version()
+            if attempt:
+                wanted = self.spark.createDataFrame([(p,) for p in paths], "path string")
+                live = {r["path"] for r in self.list(up_to=base).files.join(wanted, "path", "left_semi").select("path").collect()}  # of the files asked for
+                paths = [p for p in paths if p in live]
+            if len(paths) < 2:
+                raise ValueError("merging takes two files or more")
+            good, bad = [], []
+            for p in paths:
+                try:
+                    self._read([p]).limit(1).count()
+                    good.append(p)
+                except Exception:
+                    bad.append(p)
+            if len(good) < 2:
+                raise ValueError(f"fewer than two of the files can be read; not: {bad}")
+            rows = self._read(good)
+            rows = rows.repartition(files) if files > 1 else rows.coalesce(1)
+            written = self._written(rows, self._partitions(), 0, stats or [])
             try:
-                self._read([p]).limit(1).count()
-                good.append(p)
-            except Exception:
-                bad.append(p)
-        if len(good) < 2:
-            raise ValueError(f"fewer than two of the files can be read; not: {bad}")
-        rows = self._read(good)
-        rows = rows.repartition(files) if files > 1 else rows.coalesce(1)
-        return self.commit([*self._removes(good), *self._written(rows, self._partitions(), 0, stats or [])]), bad
+                return self.commit([*self._removes(good), *written], base=base), bad
+            except Conflict:
+                self.rollback(written)
+        raise Conflict(f"other writers removed the files in each of {attempts} attempts")
+
+    def rollback(self, written: list[dict]) -> None:
+        """Delete files that were written and not committed."""
+        for f in written:
+            self._fs.delete(self._path(f["path"]), False)
 
     @staticmethod
     def _removes(paths: list[str]) -> list[dict]:
         now = int(time.time() * 1000)
         return [{"action": "remove", "path": p, "deletionTimestamp": now} for p in paths]
 
-    def delete_where(self, keep, stats: list[str] | None = None) -> int:
-        """Rewrite the live files that hold rows for which ``keep`` is not true, in one version."""
-        live = [r["path"] for r in replay(self.actions()).select("path").toLocalIterator()]
-        hit = self._read(live).filter(~F.coalesce(keep, F.lit(False))).select(F.col("_metadata.file_path").alias("path")).distinct()
-        paths = [r["path"] for r in hit.toLocalIterator()]
-        if not paths:
-            return self.current_version()
-        return self.commit([*self._removes(paths), *self._written(self._read(paths).filter(keep), self._partitions(), 0, stats or [])])
+    def delete_where(self, keep, stats: list[str] | None = None, attempts: int = 3) -> int:
+        """Rewrite the live files that hold rows for which ``keep`` is not true, in one version.
+
+        If another writer rewrites one of them meanwhile, the delete is done again on what is there then; rows appended meanwhile stay.
+        """
+        for _ in range(attempts):
+            base = self.current_version()
+            live = [r["path"] for r in self.list(up_to=base).files.select("path").toLocalIterator()]
+            if not live:
+                return base
+            hit = self._read(live).filter(~F.coalesce(keep, F.lit(False))).select(F.col("_metadata.file_path").alias("path")).distinct()
+            paths = [r["path"] for r in hit.toLocalIterator()]
+            if not paths:
+                return base
+            written = self._written(self._read(paths).filter(keep), self._partitions(), 0, stats or [])
+            try:
+                return self.commit([*self._removes(paths), *written], base=base)
+            except Conflict:
+                self.rollback(written)
+        raise Conflict(f"other writers rewrote the files in each of {attempts} attempts")
