@@ -18,7 +18,7 @@ from .plans import nodes as q
 from .plans.compile import matching
 from .plans.parser import parse_query
 from .plans.rewrite import with_string_modes
-from .sources import delta, filters, parquet
+from .sources import datasource, delta, filters, parquet
 from .sources.txlog import TransactionLog, changes, list_files, manifest, prune_manifest, replay, tombstones
 from .streaming import streams
 
@@ -544,6 +544,22 @@ def _month_counts(s: SparkSession, d: str) -> DataFrame:
 _register("t12_listing_counts", _month_counts, _MONTHS + "SELECT 'manifests' AS stage, 3::bigint AS n UNION ALL SELECT 'manifests_opened', 3 UNION ALL SELECT 'entries', count(*) FROM live UNION ALL SELECT 'after_skipping', count(*) FROM live WHERE hi >= DATE '1996-05-20' AND lo < DATE '1997-03-01'")
 
 
+def _source_rows(s: SparkSession, d: str) -> DataFrame:
+    """Orders as a logged table by priority, in two appends around a state and a delete after it, read through the data source."""
+    orders = _t(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    log = TransactionLog(s, _folder(s))
+    log.initialise(", ".join(f"{c} {kind}" for c, kind in orders.dtypes), ["o_orderpriority"])
+    log.append(orders.filter("o_orderkey % 2 = 0").coalesce(1), ["o_orderpriority"], stats=["o_orderkey"])
+    log.checkpoint()
+    log.append(orders.filter("o_orderkey % 2 <> 0").coalesce(1), ["o_orderpriority"], stats=["o_orderkey"])
+    log.delete_where(F.col("o_orderkey") % 10 != 0, stats=["o_orderkey"])
+    where = filters.Filter("in", "o_orderpriority", ["1-URGENT", "5-LOW"]) & filters.Filter("gte", "o_orderkey", 500)
+    return datasource.rows(s, log.root.removesuffix("/_log"), where)
+
+
+_register("t12_data_source", _source_rows, "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderkey >= 500 AND o_orderkey % 10 <> 0")
+
+
 def _log_table(s: SparkSession, d: str) -> TransactionLog:
     """Nations as a logged table: two appends, a delete, a merge, a checkpoint and one more append."""
     nation = _t(s, d, "nation")

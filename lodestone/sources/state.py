@@ -177,7 +177,7 @@ def write_state(spark: SparkSession, root: str, name: str, schema: str, last: St
             index = index.unionByName(index_of(spark, root, folder, schema))
         at = f"{root}/{name}"
         index.coalesce(1).write.parquet(f"{at}/manifests")
-        gone.filter(kept).write.parquet(f"{at}/removed")
+        gone.filter(kept).repartitionByRange("path").sortWithinPartitions("path").write.parquet(f"{at}/removed")  # a reader of some paths opens their row groups
         singles = [rest.filter(F.col("action") == a).orderBy(F.desc("version"), F.desc("seq")).limit(1) for a in ("protocol", "metaData")]
         reduce(DataFrame.unionByName, [*singles, rest.filter("action = 'mergeskip'")]).coalesce(1).write.parquet(f"{at}/rest")
         numbers = spark.read.schema(INDEX_SCHEMA).parquet(f"{at}/manifests").agg(F.count(F.lit(1)).alias("manifests"), F.sum("entries").alias("entries")).first()

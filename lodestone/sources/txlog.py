@@ -390,11 +390,16 @@ class TransactionLog:
         row = last_of(since if last is None else since.unionByName(last.rest()), "metaData").first()
         return {"schema": row["schemaString"] if row else None, "partitions": [c for c in (row["reason"] or "").split(",") if c] if row else []}
 
+    def schema(self) -> T.StructType | None:
+        """The schema of the metadata, if it has one: JSON or a list of columns with their types."""
+        text = (self.metadata()["schema"] or "").strip()
+        if text in ("", "{}"):
+            return None
+        return T.StructType.fromJson(json.loads(text)) if text.startswith("{") else T.StructType.fromDDL(text)
+
     def empty(self) -> DataFrame:
         """No rows, in the schema of the metadata, or of any file of the table's past that still exists."""
-        text = self.metadata()["schema"]
-        if text and text.strip() not in ("", "{}"):
-            kind = T.StructType.fromJson(json.loads(text)) if text.lstrip().startswith("{") else T.StructType.fromDDL(text)
+        if (kind := self.schema()) is not None:
             return self.spark.createDataFrame([], kind)
         try:
             return self._read([self.data]).limit(0)
@@ -409,7 +414,8 @@ class TransactionLog:
         return list(row["k"] or []) if row else []
 
     def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.option("basePath", self.data).parquet(*paths).drop(_BATCH)
+        reader, kind = self.spark.read.option("basePath", self.data), self.schema()
+        return (reader.schema(kind) if kind is not None else reader).parquet(*paths).drop(_BATCH)
 
     def merge(self, paths: list[str], files: int = 1, stats: list[str] | None = None, attempts: int = 3) -> tuple[int, list[str]]:
         """Rewrite files as about ``files`` ones; the new files and the removes are one version. Unreadable ones are skipped and reported.
