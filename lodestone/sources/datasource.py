@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import datasource as ds
@@ -296,7 +297,7 @@ class LogReader(ds.DataSourceReader):
         target = to_arrow_schema(self.schema)
         for entry in self._entries(partition):
             values = dict(entry["partitionValues"] or {})
-            system, path = fs.FileSystem.from_uri(entry["path"])
+            system, path = fs.FileSystem.from_uri(quote(entry["path"], safe=":/"))
             data = dataset.dataset(path, filesystem=system, format="parquet")
             columns = [f.name for f in target if f.name in data.schema.names and f.name not in values]
             for batch in data.to_batches(columns=columns, filter=self._row_filter(data.schema, values)):

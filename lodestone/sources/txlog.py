@@ -15,10 +15,11 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.analysis import percent_decode
 from .filters import Filter, bounds_of, compile_filter, may_match
 from .state import MANIFEST_ENTRIES, Listing, State, net, write_state
 
@@ -137,6 +138,11 @@ def prune_manifest(groups: DataFrame, partition: Filter | None = None, from_vers
     return out if to_version is None else out.filter(F.col("first_version") <= to_version)
 
 
+def _path_of_file() -> Column:
+    """The file of a row, as a path: Spark gives it percent-encoded."""
+    return percent_decode(F.col("_metadata.file_path"))
+
+
 # ---------------------------------------------------------------------- the log on a file system
 class TransactionLog:
     def __init__(self, spark: SparkSession, table: str) -> None:
@@ -364,7 +370,7 @@ class TransactionLog:
         read = self._read([at])
         bounds = [c for name in stats for c in bounds_of(read, name)]
         keys = [F.first(F.col(c).cast("string")).alias(f"p_{c}") for c in partition_by]
-        per_file = read.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).agg(F.count(F.lit(1)).alias("n"), *bounds, *keys)
+        per_file = read.groupBy(_path_of_file().alias("path"), F.col("_metadata.file_size").alias("size")).agg(F.count(F.lit(1)).alias("n"), *bounds, *keys)
         return [
             {"action": "add", "dataChange": True, "path": r["path"], "size": r["size"], "numRecords": r["n"], "partitionValues": {c: r[f"p_{c}"] for c in partition_by},
              "minValues": {c: r[f"min_{c}"] for c in stats}, "maxValues": {c: r[f"max_{c}"] for c in stats}}
@@ -468,7 +474,7 @@ class TransactionLog:
             live = [r["path"] for r in self.list(up_to=base).files.select("path").toLocalIterator()]
             if not live:
                 return base
-            hit = self._read(live).filter(~F.coalesce(keep, F.lit(False))).select(F.col("_metadata.file_path").alias("path")).distinct()
+            hit = self._read(live).filter(~F.coalesce(keep, F.lit(False))).select(_path_of_file().alias("path")).distinct()
             paths = [r["path"] for r in hit.toLocalIterator()]
             if not paths:
                 return base

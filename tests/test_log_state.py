@@ -1,7 +1,7 @@
 """The log's stored state: manifests, tombstones, compaction, what a listing opens, and writers that meet."""
 
 import pytest
-from lodestone.sources import state, txlog
+from lodestone.sources import datasource, state, txlog
 from lodestone.sources.filters import Filter
 from pyspark.sql import functions as F
 
@@ -147,3 +147,13 @@ def test_a_table_without_rows(spark, log):
     log.delete_where(F.lit(False))
     assert log.scan().count() == 0 and log.scan().dtypes == [("id", "bigint"), ("p", "string")]
     assert log.delete_where(F.lit(False)) == log.current_version()
+
+
+def test_partition_values_of_any_characters(spark, log):
+    values = ["a b", "50%", "x:y", "ü/é", "p=q", "plus+"]
+    for k, v in enumerate(values):
+        log.append(rows(spark, 10 * k, 10 * k + 10, v), ["p"])
+    log.delete_where(F.col("id") % 2 == 0)
+    assert sorted({r["p"] for r in log.scan().collect()}) == sorted(values) and log.scan().count() == 30
+    assert log.collect_garbage(2**62) == 6 and log.scan(Filter("eq", "p", "50%")).count() == 5
+    assert datasource.rows(spark, log.data.rsplit("/", 1)[0], Filter("in", "p", values[:3])).count() == 15
