@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import analysis
 from .functions.ip import ip_key, ip_text, v4_key
 from .operators import aggs, indexed, joins, search
+from .operators.rollups import Rollup
 from .plans import nodes as q
 from .plans.compile import matching
 from .plans.parser import parse_query
@@ -560,6 +561,46 @@ def _source_rows(s: SparkSession, d: str) -> DataFrame:
 _register("t12_data_source", _source_rows, "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderkey >= 500 AND o_orderkey % 10 <> 0")
 
 
+def _skipped_days(s: SparkSession, d: str) -> DataFrame:
+    """Events in a file for each day; the instants that bound them leave out the days before and after, whatever the zone of the filter's values."""
+    log = TransactionLog(s, _folder(s))
+    log.initialise("{}", ["day"])
+    log.append(_t(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.date_format("ts", "yyyy-MM-dd").alias("day")).repartition("day"), ["day"], stats=["ts"])
+    span = filters.Filter("gte", "ts", "2024-01-10T02:00:00+02:00") & filters.Filter("lt", "ts", "2024-01-12 12:00:00Z")
+    return log.list(None, span, {"ts": "timestamp"}).files.select(F.col("partitionValues")["day"].alias("day"), "numRecords")
+
+
+_register("f09_timestamp_skipping", _skipped_days, "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS \"numRecords\" FROM events GROUP BY 1 HAVING max(ts) >= TIMESTAMP '2024-01-10 00:00:00' AND min(ts) < TIMESTAMP '2024-01-12 12:00:00'")
+
+
+def _rollup(s: SparkSession, d: str) -> Rollup:
+    lines, where = _t(s, d, "lineitem"), _folder(s)
+    for part in range(3):
+        Rollup.write(lines.filter(F.col("l_orderkey") % 3 == part), where, ["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_partkey"], part=str(part))
+    return Rollup(s, where)
+
+
+_register(
+    "a20_rollup_parts",
+    lambda s, d: _rollup(s, d).aggregate({"n": {"doc_count": {}}, "top": {"max": {"field": "l_extendedprice"}}, "mean": {"avg": {"field": "l_extendedprice"}}}, ["l_returnflag"]).withColumn("mean", F.round("mean", 4)),
+    "SELECT l_returnflag, count(*) AS n, max(l_extendedprice) AS top, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1",
+)
+
+
+def _sketch_errors(s: SparkSession, d: str) -> DataFrame:
+    """Whether each merged sketch keeps its error: percentiles within 1 % of their rank, distinct values within 3 %."""
+    lines, price = _t(s, d, "lineitem"), F.col("l_extendedprice")
+    found = _rollup(s, d).aggregate({"p": {"percentiles": {"field": "l_extendedprice", "percents": [5, 50, 95]}}, "parts": {"cardinality": {"field": "l_partkey"}}}, ["l_returnflag"])
+    exact = lines.join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag").agg(  # a row for each flag
+        *[((F.avg((price < F.col(f"p_p{p}")).cast("int")) <= p / 100 + 0.01) & (F.avg((price <= F.col(f"p_p{p}")).cast("int")) >= p / 100 - 0.01)).alias(f"p{p}_within") for p in (5, 50, 95)],
+        (F.abs(F.count_distinct("l_partkey") - F.first("parts")) <= 0.03 * F.count_distinct("l_partkey")).alias("distinct_within"),
+    )
+    return exact.select("l_returnflag", "p5_within", "p50_within", "p95_within", "distinct_within")
+
+
+_register("a24_sketch_errors", _sketch_errors, "SELECT DISTINCT l_returnflag, true AS p5_within, true AS p50_within, true AS p95_within, true AS distinct_within FROM lineitem")
+
+
 def _log_table(s: SparkSession, d: str) -> TransactionLog:
     """Nations as a logged table: two appends, a delete, a merge, a checkpoint and one more append."""
     nation = _t(s, d, "nation")
@@ -579,8 +620,9 @@ def _log_table(s: SparkSession, d: str) -> TransactionLog:
 _register("w04_log_scan", lambda s, d: _log_table(s, d).scan().select("n_nationkey", "n_name", "n_regionkey"), "SELECT * FROM nation WHERE n_nationkey >= 20 OR n_nationkey % 4 <> 1")
 _register(
     "f09_log_skipping",
-    lambda s, d: list_files(_log_table(s, d).actions(), filters.Filter("in", "n_regionkey", ["1", "2"]), filters.Filter("gte", "n_name", "A")).agg(F.sum("numRecords").alias("n")),
-    "SELECT count(*)::bigint AS n FROM nation WHERE (n_nationkey >= 20 OR n_nationkey % 4 <> 1) AND n_regionkey IN (1, 2)",
+    lambda s, d: list_files(_log_table(s, d).actions(), filters.Filter("in", "n_regionkey", ["1", "2"]), filters.Filter("gte", "n_name", "NATION_2")).agg(F.sum("numRecords").alias("n"), F.count(F.lit(1)).alias("files")),
+    """SELECT sum(n)::bigint AS n, count(*) AS files FROM (SELECT count(*) AS n FROM nation WHERE (n_nationkey >= 20 OR n_nationkey % 4 <> 1) AND n_regionkey IN (1, 2)
+      GROUP BY n_regionkey, CASE WHEN n_nationkey >= 20 THEN 2 WHEN n_regionkey = 2 THEN 0 ELSE n_nationkey // 10 END HAVING max(n_name) >= 'NATION_2')""",
 )
 _register(
     "f07_manifest_pruning",

@@ -78,8 +78,9 @@ def compile_filter(f: Filter, values: Column, dialect: str = "log") -> Column:
 def may_match(f: Filter, low: Column, high: Column, kinds: dict[str, str] | None = None) -> Column:
     """Whether a file whose columns lie between the maps ``low`` and ``high`` may hold a match: false only where none can be.
 
-    ``kinds`` names columns of type long, double, date or timestamp; others compare as text. Negations, null tests and text
-    searches never skip a file; nor does what has no bounds or does not parse.
+    ``kinds`` names columns of type long, double, date, timestamp or timestamp_ntz; others compare as text. Negations, null tests and text
+    searches never skip a file; nor does what has no bounds or does not parse. A timestamp's bounds are instants only if they carry their offset: bounds without
+    one, of an unknown zone, never skip; a filter's value without one is in the session's zone, as everywhere in Spark.
     """
     if f.op == "and":
         return reduce(lambda a, b: a & b, [may_match(p, low, high, kinds) for p in f.parts])
@@ -89,7 +90,8 @@ def may_match(f: Filter, low: Column, high: Column, kinds: dict[str, str] | None
         return F.lit(True)
     kind = (kinds or {}).get(f.column, "string")
     typed = (lambda c: c) if kind == "string" else (lambda c: c.try_cast(kind))
-    lo, hi = typed(F.try_element_at(low, F.lit(f.column))), typed(F.try_element_at(high, F.lit(f.column)))
+    bound = (lambda c: typed(F.when(c.rlike(_OFFSET), c))) if kind == "timestamp" else typed
+    lo, hi = bound(F.try_element_at(low, F.lit(f.column))), bound(F.try_element_at(high, F.lit(f.column)))
     # the upper bound of a text may be cut short: any value that begins with it is still possible
     above = lambda v: (hi < v) & ~v.startswith(hi) if kind == "string" else hi < v
     if f.op in ("eq", "in"):
@@ -100,11 +102,22 @@ def may_match(f: Filter, low: Column, high: Column, kinds: dict[str, str] | None
     return F.coalesce(out, F.lit(True))
 
 
+#: A timestamp's text that names its offset.
+_OFFSET = r"\d(Z|[+-]\d\d:?\d\d)$"
+
+
+def _instant(c: Column) -> Column:
+    """An instant as text in UTC, with its offset: the same in every session."""
+    return F.concat(F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz")).cast("string"), F.lit("+00:00"))
+
+
 def bounds_of(df, name: str, limit: int = 64) -> list:
-    """Least and greatest value of a column as text, ``min_`` and ``max_`` its name; NaN is left out, texts are cut at ``limit`` characters, which the upper bound's reader allows for."""
+    """Least and greatest value of a column as text, ``min_`` and ``max_`` its name; NaN is left out, instants are written in UTC with their offset, texts are cut at ``limit`` characters, which the upper bound's reader allows for."""
     kind = df.schema[name].dataType.simpleString()
     v = F.col(name)
     v = F.when(~F.isnan(v), v) if kind in ("double", "float") else F.substring(v, 1, limit) if kind == "string" else v
+    if kind == "timestamp":
+        return [_instant(F.min(v)).alias(f"min_{name}"), _instant(F.max(v)).alias(f"max_{name}")]
     return [F.min(v).cast("string").alias(f"min_{name}"), F.max(v).cast("string").alias(f"max_{name}")]
 
 

@@ -441,3 +441,19 @@ def test_watermark_drops_late_rows(spark, tmp_path):
     running.awaitTermination()
     got = {r["window_start"].hour: r["n"] for r in spark.table("late_rows").collect()}
     assert got == {0: 2, 3: 3}  # the row of 00:03 came when the watermark had passed its window, and is dropped; the window of 09:00 is open still
+
+
+def test_instants_skip_in_any_zone(spark):
+    """Bounds carry their offset; those of an unknown zone, and values that do not parse, never skip."""
+    bounds = {"utc": ("2024-05-01 00:00:00+00:00", "2024-05-01 12:00:00+00:00"), "none": ("2024-05-01 00:00:00", "2024-05-01 12:00:00"), "odd": ("x", "y")}
+    df = spark.createDataFrame([(k, {"t": a}, {"t": b}) for k, (a, b) in bounds.items()], "k string, low map<string,string>, high map<string,string>")
+    find = lambda op, v: {r["k"] for r in df.filter(filters.may_match(filters.Filter(op, "t", v), F.col("low"), F.col("high"), {"t": "timestamp"})).collect()}
+    assert find("gt", "2024-05-01 14:00:00+02:00") == {"none", "odd"} and find("gte", "2024-05-01 14:00:00+02:00") == {"utc", "none", "odd"}
+    assert find("lt", "2024-05-01T02:00:00+02:00") == {"none", "odd"} and find("eq", "never") == {"utc", "none", "odd"}
+    for zone, text in (("UTC", "2024-05-01 09:30:00+00:00"), ("America/New_York", "2024-05-01 13:30:00+00:00")):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            rows = spark.createDataFrame([("2024-05-01 09:30:00",)], "s string").select(F.to_timestamp("s").alias("t"))
+            assert rows.agg(*filters.bounds_of(rows, "t")).first()["max_t"] == text
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
