@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import io
 import json
 import re
@@ -13,6 +14,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .datasource import holds
+from .filters import Filter
+
 
 class _Avro:
     """Object container files with null or deflate blocks."""
@@ -87,6 +91,45 @@ def read_avro(data: bytes) -> list[dict]:
     return list(_Avro(data))
 
 
+# ---------------------------------------------------------------------- bounds
+_EPOCH = datetime.date(1970, 1, 1)
+# How a single value is written, little-endian.
+_PACKED = {"int": "<i", "long": "<q", "float": "<f", "double": "<d"}
+
+
+def decode(kind: str, raw: bytes | None):
+    """A bound of a column of that type; None if there is none, or it is of a type that isn't compared here (timestamps, decimals)."""
+    if raw is None:
+        return None
+    if kind in _PACKED and len(raw) == struct.calcsize(_PACKED[kind]):
+        return struct.unpack(_PACKED[kind], raw)[0]
+    if kind == "date" and len(raw) == 4:
+        return _EPOCH + datetime.timedelta(days=struct.unpack("<i", raw)[0])
+    if kind == "boolean" and len(raw) == 1:
+        return raw != b"\x00"
+    return raw.decode() if kind == "string" else None
+
+
+def possible(f: Filter, low, high, nulls: bool = True) -> bool:
+    """Whether values between the bounds may satisfy a comparison; bounds of texts may be cut, the upper one then is raised, so they hold as they are."""
+    if f.op == "is_null":
+        return nulls
+    if low is None or high is None:
+        return True
+    try:
+        if f.op in ("eq", "in"):
+            return any(low <= v <= high for v in (f.value if f.op == "in" else [f.value]) if v is not None)
+        return {"gt": lambda: high > f.value, "gte": lambda: high >= f.value, "lt": lambda: low < f.value, "lte": lambda: low <= f.value}.get(f.op, lambda: True)()
+    except TypeError:  # a literal of another type
+        return True
+
+
+def conjuncts(f: Filter | None) -> list[Filter]:
+    if f is None:
+        return []
+    return [c for p in f.parts for c in conjuncts(p)] if f.op == "and" else [f] if f.column and f.op != "not" else []
+
+
 class IcebergTable:
     def __init__(self, spark: SparkSession, metadata_json: str) -> None:
         """``metadata_json`` is the path of a table's metadata file."""
@@ -118,16 +161,44 @@ class IcebergTable:
     def changed_manifests(self, since: int) -> list[dict]:
         return [m for m in self.manifests() if m["added_snapshot_id"] > since]
 
-    def files(self, snapshot_id: int | None = None) -> DataFrame:
-        """Live data and delete files (content 1: by position, 2: by equal values); manifests are parsed on the executors.
+    def spec(self, spec_id: int) -> list[dict]:
+        """The fields of a partition spec."""
+        return next((s["fields"] for s in self.metadata.get("partition-specs", []) if s.get("spec-id") == spec_id), [])
+
+    def pruned(self, where: Filter | None, snapshot_id: int | None = None) -> list[dict]:
+        """The manifests that may hold a file for the filter: by the summaries of their identity partitions. Those of deletes all stay."""
+        kinds = {f["id"]: (f["name"], f["type"]) for f in self.schema(snapshot_id)}
+
+        def may(m: dict) -> bool:
+            if m.get("content") == 1:
+                return True
+            for field, summary in zip(self.spec(m.get("partition_spec_id") or 0), m.get("partitions") or [], strict=False):
+                name, kind = kinds.get(field["source-id"], (None, None))
+                if field["transform"] == "identity" and isinstance(kind, str):
+                    low, high = decode(kind, summary.get("lower_bound")), decode(kind, summary.get("upper_bound"))
+                    if not all(possible(f, low, high, summary.get("contains_null", True)) for f in conjuncts(where) if f.column == name):
+                        return False
+            return True
 
-        A file without a sequence number of its own has its manifest's.
+        return [m for m in self.manifests(snapshot_id) if may(m)]
+
+    def files(self, snapshot_id: int | None = None, where: Filter | None = None) -> DataFrame:
+        """Live data and delete files (content 1: by position, 2: by equal values) of the manifests that ``where`` leaves, without data files whose column bounds rule it out; manifests are parsed on the executors.
+
+        A file without a sequence number of its own has its manifest's. ``spec_id`` and ``partition_values`` are its partition.
         """
-        manifests = self.manifests(snapshot_id)
-        schema = "path string, format string, record_count long, size long, partition_values string, content int, snapshot_id long, sequence_number long, equality_ids array<int>"
+        manifests = self.pruned(where, snapshot_id)
+        kinds = {f["name"]: (f["id"], f["type"]) for f in self.schema(snapshot_id) if isinstance(f["type"], str)}
+        asked = [(f, *kinds[f.column]) for f in conjuncts(where) if f.column in kinds]
+        schema = "path string, format string, record_count long, size long, partition_values string, content int, snapshot_id long, sequence_number long, equality_ids array<int>, spec_id int"
         if not manifests:
             return self.spark.createDataFrame([], schema)
-        sequence = {_plain(m["manifest_path"]): m.get("sequence_number") or 0 for m in manifests}
+        sequence = {_plain(m["manifest_path"]): (m.get("sequence_number") or 0, m.get("partition_spec_id") or 0) for m in manifests}
+
+        def ruled_out(f: dict) -> bool:
+            bound = lambda side: {e["key"]: e["value"] for e in f.get(side) or []}
+            low, high = bound("lower_bounds"), bound("upper_bounds")
+            return f.get("content", 0) == 0 and not all(possible(p, decode(kind, low.get(i)), decode(kind, high.get(i))) for p, i, kind in asked)
 
         def parse(batches):
             import pandas as pd
@@ -137,21 +208,24 @@ class IcebergTable:
                 for path, content in zip(pdf["path"], pdf["content"], strict=True):
                     for e in read_avro(bytes(content)):
                         f, number = e["data_file"], e.get("sequence_number")
-                        if e["status"] != 2:
-                            rows.append((f["file_path"], f["file_format"], f["record_count"], f["file_size_in_bytes"], json.dumps(f.get("partition") or {}, default=str), f.get("content", 0), e.get("snapshot_id"), sequence[_plain(path)] if number is None else number, f.get("equality_ids")))
-                yield pd.DataFrame(rows, columns=["path", "format", "record_count", "size", "partition_values", "content", "snapshot_id", "sequence_number", "equality_ids"])
+                        of_manifest, spec_id = sequence[_plain(path)]
+                        if e["status"] != 2 and not ruled_out(f):
+                            rows.append((f["file_path"], f["file_format"], f["record_count"], f["file_size_in_bytes"], json.dumps(f.get("partition") or {}, default=str), f.get("content", 0), e.get("snapshot_id"), of_manifest if number is None else number, f.get("equality_ids"), spec_id))
+                yield pd.DataFrame(rows, columns=["path", "format", "record_count", "size", "partition_values", "content", "snapshot_id", "sequence_number", "equality_ids", "spec_id"])
 
         return self.spark.read.format("binaryFile").load([m["manifest_path"] for m in manifests]).select("path", "content").mapInPandas(parse, schema)
 
-    def scan(self, snapshot_id: int | None = None) -> DataFrame:
-        """The rows of a snapshot: those of its Parquet data files that no delete file takes away.
+    def scan(self, snapshot_id: int | None = None, where: Filter | None = None) -> DataFrame:
+        """The rows of a snapshot for which ``where`` holds: those of its Parquet data files that no delete file takes away.
 
-        A position delete names a file and a row of it; an equality delete takes rows of files with a smaller sequence number.
+        A position delete names a file and a row of it; an equality delete takes rows of files with a smaller sequence number, of its own partition and spec, or of all if it has no partition.
         """
-        files = self.files(snapshot_id)
+        files = self.files(snapshot_id, where)
         live = [r.asDict() for r in files.select("path", "content", "sequence_number", "equality_ids").toLocalIterator()]
         paths = [f["path"] for f in live if f["content"] == 0]
         if not paths:
+            if where is not None:  # no file is left: no row, in the columns of the whole
+                return self.scan(snapshot_id).limit(0)
             raise ValueError("the snapshot holds no data file")
         plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
         rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
@@ -165,18 +239,20 @@ class IcebergTable:
             if f["content"] == 2:
                 by_value.setdefault(tuple(sorted(f["equality_ids"] or [])), []).append(f)
         if by_value:
-            numbers = files.filter("content = 0").select(plain(F.col("path")).alias("path"), F.col("sequence_number").alias("written"))
+            scope = F.when(F.col("partition_values") != "{}", F.concat_ws("|", "spec_id", "partition_values"))
+            numbers = files.filter("content = 0").select(plain(F.col("path")).alias("path"), F.col("sequence_number").alias("written"), scope.alias("part"))
             rows = rows.join(numbers, "path")
             name_of = {f["id"]: f["name"] for f in self.schema(snapshot_id)}
-            deletes = files.filter("content = 2").select(plain(F.col("path")).alias("_path"), F.col("sequence_number").alias("deleted"))
+            deletes = files.filter("content = 2").select(plain(F.col("path")).alias("_path"), F.col("sequence_number").alias("deleted"), scope.alias("scope"))
             for ids, group in by_value.items():
                 columns = [name_of[i] for i in ids]
                 gone = self.spark.read.parquet(*[f["path"] for f in group]).select(*columns, plain(F.col("_metadata.file_path")).alias("_path")).join(deletes, "_path")
-                gone = gone.groupBy(*columns).agg(F.max("deleted").alias("deleted"))  # the last delete of a value is what counts
-                gone = gone.select(F.struct(*columns).alias("key"), "deleted")
+                gone = gone.groupBy(*columns, "scope").agg(F.max("deleted").alias("deleted"))  # the last delete of a value is what counts
+                gone = gone.select(F.struct(*columns).alias("key"), "deleted", "scope")
                 same = [F.col("row")[c].eqNullSafe(F.col("key")[c]) for c in columns]
-                rows = rows.join(gone, reduce(lambda a, b: a & b, same) & (F.col("written") < F.col("deleted")), "left_anti")
-        return rows.select("row.*")
+                rows = rows.join(gone, reduce(lambda a, b: a & b, same) & (F.col("written") < F.col("deleted")) & (F.col("scope").isNull() | (F.col("scope") == F.col("part"))), "left_anti")
+        rows = rows.select("row.*")
+        return rows if where is None else rows.filter(holds(where))
 
 
 def _plain(path: str) -> str:

@@ -381,8 +381,10 @@ def avro(schema, rows):
             return number(at) + (b"" if x is None else put(kind[at], x))
         if kind in ("int", "long"):
             return number(x)
-        if kind == "string":
+        if kind in ("string", "bytes"):
             return raw(x)
+        if kind == "boolean":
+            return bytes([x])
         if kind["type"] == "array":
             return (number(len(x)) + b"".join(put(kind["items"], y) for y in x) if x else b"") + number(0)
         return b"".join(put(f["type"], x[f["name"]]) for f in kind["fields"])
@@ -429,6 +431,49 @@ def test_iceberg(spark, tmp_path):
     assert ids(table.scan()) == [2, 4, 5]
 
 
+def test_iceberg_partitions(spark, tmp_path):
+    """Deletes stay in their partition, manifests and files that cannot match aren't opened: some of them do not exist."""
+    import struct
+
+    def parquet_file(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        return f"file://{next((tmp_path / name).glob('*.parquet'))}"
+
+    pair = {"type": "array", "items": record("bound", key="int", value="bytes")}
+    entry_kinds = {spec: record("manifest_entry", status="int", sequence_number=["null", "long"], data_file=record("data_file", content="int", file_path="string", file_format="string", record_count="long", file_size_in_bytes="long", partition=record(f"r{spec}", **({"r": "int"} if spec == 0 else {})), equality_ids=["null", {"type": "array", "items": "int"}], lower_bounds=["null", pair], upper_bounds=["null", pair])) for spec in (0, 1)}
+    list_kind = record("manifest_file", manifest_path="string", sequence_number="long", added_snapshot_id="long", content="int", partition_spec_id="int", partitions=["null", {"type": "array", "items": record("field_summary", contains_null="boolean", lower_bound=["null", "bytes"], upper_bound=["null", "bytes"])}])
+    whole = lambda n: struct.pack("<i", n)
+
+    def entry(path, r=None, content=0, ids=None, low=None, high=None):
+        bound = lambda n: None if n is None else [{"key": 1, "value": struct.pack("<q", n)}]
+        return {"status": 1, "sequence_number": None, "data_file": {"content": content, "file_path": path, "file_format": "PARQUET", "record_count": 1, "file_size_in_bytes": 1, "partition": {} if r is None else {"r": r}, "equality_ids": ids, "lower_bounds": bound(low), "upper_bounds": bound(high)}}
+
+    def manifest(name, number, entries, spec=0, content=0, span=None, there=True):
+        if there:
+            (tmp_path / name).write_bytes(avro(entry_kinds[spec], entries))
+        return {"manifest_path": f"file://{tmp_path}/{name}", "sequence_number": number, "added_snapshot_id": 1, "content": content, "partition_spec_id": spec, "partitions": None if span is None else [{"contains_null": False, "lower_bound": whole(span[0]), "upper_bound": whole(span[1])}]}
+
+    kind = "id long, t string, r int"
+    one, two = parquet_file("one", [(1, "x", 1), (2, "y", 1)], kind), parquet_file("two", [(3, "x", 2), (4, "y", 2), (5, "z", 2)], kind)
+    of_one, of_all = parquet_file("d1", [("x",)], "t string"), parquet_file("d2", [("y",)], "t string")
+    data = [manifest("m1", 1, [entry(one, 1, low=1, high=2)], span=(1, 1)), manifest("m2", 1, [entry(two, 2, low=3, high=5), entry("file:///no/such/file.parquet", 2, low=90, high=99)], span=(2, 2))]
+    deletes = [manifest("m4", 2, [entry(of_one, 1, content=2, ids=[2])], content=1)]
+    absent = manifest("m3", 1, [], span=(7, 9), there=False)
+    lists = {1: data, 2: [*data, *deletes], 3: [*data, *deletes, manifest("m5", 3, [entry(of_all, content=2, ids=[2])], spec=1, content=1)], 4: [*data, absent]}
+    for k, manifests in lists.items():
+        (tmp_path / f"l{k}").write_bytes(avro(list_kind, manifests))
+    metadata = {"current-snapshot-id": 1, "snapshots": [{"snapshot-id": k, "timestamp-ms": k, "manifest-list": f"file://{tmp_path}/l{k}"} for k in lists], "current-schema-id": 0, "schemas": [{"schema-id": 0, "fields": [{"id": 1, "name": "id", "type": "long"}, {"id": 2, "name": "t", "type": "string"}, {"id": 3, "name": "r", "type": "int"}]}],
+                "partition-specs": [{"spec-id": 0, "fields": [{"name": "r", "transform": "identity", "source-id": 3, "field-id": 1000}]}, {"spec-id": 1, "fields": []}]}
+    (tmp_path / "v.metadata.json").write_text(json.dumps(metadata))
+    table, F_ = iceberg.IcebergTable(spark, f"file://{tmp_path}/v.metadata.json"), filters.Filter
+    assert ids(table.scan(1, F_("lt", "id", 50))) == [1, 2, 3, 4, 5]  # the bounds of the file that is not there rule it out
+    assert ids(table.scan(2, F_("lte", "id", 5))) == [2, 3, 4, 5]  # x goes in its partition only
+    assert ids(table.scan(3, F_("lt", "id", 50))) == [3, 5]  # y goes everywhere
+    assert ids(table.scan(4, F_("eq", "r", 1))) == [1, 2] and len(table.pruned(F_("eq", "r", 1), 4)) == 1 and len(table.pruned(F_("gte", "r", 2), 4)) == 2
+    assert ids(table.scan(1, F_("in", "r", [1, 7]) & F_("gt", "id", 1))) == [2]
+    assert iceberg.decode("date", whole(19_845)).isoformat() == "2024-05-02" and iceberg.decode("timestamp", b"12345678") is None and iceberg.decode("string", "é".encode()) == "é"
+
+
 def test_watermark_drops_late_rows(spark, tmp_path):
     for k, times in enumerate((["2024-01-01 00:01", "2024-01-01 00:02"], ["2024-01-01 03:00"], ["2024-01-01 03:01"], ["2024-01-01 00:03", "2024-01-01 03:02"], ["2024-01-01 09:00"])):
         spark.createDataFrame([(t, k) for t in times], "t string, k int").select(F.to_timestamp("t").alias("ts"), "k").coalesce(1).write.parquet(f"{tmp_path}/w{k}")
