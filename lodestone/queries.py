@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ from .plans.parser import parse_query
 from .plans.rewrite import with_string_modes
 from .sources import datasource, delta, filters, parquet
 from .sources.txlog import TransactionLog, changes, list_files, manifest, prune_manifest, replay, tombstones
-from .streaming import streams
+from .streaming import keyed, streams
 
 Run = Callable[[SparkSession, str], DataFrame]
 RUNS: dict[str, Run] = {}
@@ -660,6 +661,57 @@ def _hive_files(s: SparkSession, d: str) -> DataFrame:
 
 _register("c15_hive_partitions", _hive_files, "SELECT DISTINCT n_regionkey::varchar AS r FROM nation")
 
+# ---------------------------------------------------------------------- keyed state and interval joins on streams
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _drained(s: SparkSession, stream: DataFrame) -> DataFrame:
+    """What a stream gives when it has read all there is, by way of a written table."""
+    where, key = _folder(s), "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, _ROCKS)
+    try:
+        running = stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        s.conf.set(key, before)
+    return s.read.schema(stream.schema).parquet(f"{where}/rows")
+
+
+def _events(s: SparkSession, d: str, stream: bool) -> DataFrame:
+    rows = _t(s, d, "events")
+    rows = s.readStream.schema(rows.schema).parquet(f"{d}/events.parque[t]") if stream else rows  # a pattern, since a stream takes no single file
+    return rows.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+
+
+_FIRST = timedelta(minutes=30)
+_FIRST_SQL = "SELECT event_id, user_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events WHERE ts IS NOT NULL) WHERE (p IS NULL OR ts - p > INTERVAL 30 MINUTE)"
+_register("l_first_seen", lambda s, d: keyed.first_seen(_events(s, d, False), "ts", ["user_id"], _FIRST).select("event_id", "user_id"), _FIRST_SQL)
+_register(
+    "l_first_seen_stream",
+    lambda s, d: _drained(s, keyed.first_seen(_events(s, d, True), "ts", ["user_id"], _FIRST, "10 minutes")).select("event_id", "user_id"),
+    _FIRST_SQL + " AND ts <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE",  # the rest waits in the state
+)
+
+
+def _pairs(s: SparkSession, d: str, stream: bool) -> DataFrame:
+    """Purchases within the hour after a click of the same user."""
+    events, late = _events(s, d, stream), "10 minutes" if stream else None
+    clicks = events.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("ts").alias("clicked"))
+    bought = events.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), F.col("ts").alias("bought"))
+    joined = keyed.interval_join(clicks, bought, ["user_id"], "clicked", "bought", timedelta(0), timedelta(hours=1), late)
+    return (_drained(s, joined) if stream else joined).select("user_id", "click", "purchase")
+
+
+_PAIRS_SQL = "SELECT a.user_id, a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'"
+_register("l_interval_join", lambda s, d: _pairs(s, d, False), _PAIRS_SQL)
+_register("l_interval_join_stream", lambda s, d: _pairs(s, d, True), _PAIRS_SQL)
+_register(
+    "t18_transitions",
+    lambda s, d: keyed.transitions(_log(s, d).filter("action in ('add', 'remove')")).select("path", "version", "action"),
+    _LOG_SQL + "SELECT path::varchar AS path, version, action FROM (SELECT *, lag(action, 1, 'remove') OVER (PARTITION BY path ORDER BY version) AS was FROM a WHERE action IN ('add', 'remove')) WHERE action <> was",
+)
+
 # ---------------------------------------------------------------------- aggregations of several levels, arrays, pages of groups
 _register(
     "a14_outer_metrics",
