@@ -1,7 +1,8 @@
 """Searches that read a stored index in place of the text.
 
 An index holds, for each text field and part: ``postings`` (term, id, tf, length, positions; sorted by term, so a search reads a term's row groups only), ``terms`` (each term with its document
-frequency) and ``statistics`` (rows, tokens). The text is cut into tokens once, when a part is written.
+frequency) and ``statistics`` (rows, tokens). The text is cut into tokens once, when a part is written. Which parts are live is said by a file log beside them (:mod:`..sources.txlog`), so a part that is
+replaced or merged is one version for readers, and an index object keeps the parts that it began with.
 
 A query is compiled as for a scan, but each leaf on an indexed field becomes a flag of the row's id, computed from the postings: terms and term sets by their postings; fuzzy, regular-expression
 and wildcard leaves by running the same predicate over the distinct terms and reading the postings of those that match (by a pushed list if they are few, else by a semi join); phrases by interval tests
@@ -14,6 +15,8 @@ from __future__ import annotations
 import dataclasses
 import json
 import math
+import time
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,6 +28,8 @@ from ..functions import analysis
 from ..plans import nodes as q
 from ..plans.compile import Compiler, tv
 from ..plans.rewrite import rewrite
+from ..sources.tiers import Tiers
+from ..sources.txlog import Conflict, TransactionLog, tombstones
 from .search import B, K1, Scorer, postings, scoring_terms
 
 #: Terms up to this number are pushed to the scan of the postings as a list; more are joined.
@@ -118,39 +123,77 @@ class _Score(Scorer):
 class TextIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = TransactionLog(spark, self.path)
+        self._live: list[dict] | None = None
 
     # ------------------------------------------------------------------ parts
     @staticmethod
     def write(df: DataFrame, path: str, id_col: str, names: list[str], fields: q.Fields | None = None, part: str = "0") -> TextIndex:
-        """Index the text fields ``names`` of one part of a table; parts are added side by side."""
+        """Index the text fields ``names`` of one part of a table; parts are added side by side, and a part of the same name is replaced."""
         out, fields = TextIndex(df.sparkSession, path), fields or q.Fields()
         for name in names:
             if name in fields.modes:
                 raise ValueError(f"{name!r} has a string mode, which the index doesn't hold")
-            rows = postings(df, id_col, name, fields).withColumnRenamed(id_col, "id")
-            out._store(rows, name, part)
-            out._summaries(name, part, df.count())
-        return out
+        old = [p for p in out.parts() if p["field"] in names]
+        if any(part in p["names"] and len(p["names"]) > 1 for p in old):
+            raise ValueError(f"part {part!r} is merged with others")
+        base = out._begin()
+        n = df.count()
+        new = [out._add(name, postings(df, id_col, name, fields).withColumnRenamed(id_col, "id"), n, [part], fields.tokenizer(name)) for name in names]
+        return out._commit([p for p in old if part in p["names"]], new, base)
+
+    def parts(self) -> list[dict]:
+        """``path, field, names, size, tokenizer`` of the live parts; size is in tokens. Compaction keeps them few."""
+        if self._live is None:
+            rows = self.log.list().files.select("path", "partitionValues", "size", "docMapping").collect() if self.log.current_version() >= 0 else []
+            self._live = [{"path": r["path"], "field": r["partitionValues"]["field"], "names": json.loads(r["partitionValues"]["names"]), "size": r["size"], "tokenizer": r["docMapping"]} for r in rows]
+        return self._live
+
+    def _begin(self) -> int:
+        """The version that a change is made from."""
+        if self.log.current_version() < 0 and not self.log.write_once([{"action": "protocol", "protocolVersion": 4}, {"action": "metaData", "schemaString": "{}", "reason": "field,names"}], 0):
+            self._live = None  # another writer was first
+        return self.log.current_version()
 
-    def _at(self, kind: str, name: str, part: str) -> str:
-        return f"{self.path}/{kind}/field={name}/part={part}"
-
-    def _store(self, rows: DataFrame, name: str, part: str) -> None:
-        rows.select("term", "id", "tf", "length", "positions").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(self._at("postings", name, part))
-
-    def _summaries(self, name: str, part: str, n: int) -> None:
-        """Terms and statistics of a part, from its postings."""
-        stored = self.spark.read.parquet(self._at("postings", name, part))
-        terms = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
-        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(self._at("terms", name, part))
-        total = self.spark.read.parquet(self._at("terms", name, part)).agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
-        total.write.mode("overwrite").parquet(self._at("statistics", name, part))
-
-    def _table(self, kind: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{kind}/field={name}")
+    @staticmethod
+    def _entry(p: dict) -> dict:
+        return {"action": "add", "dataChange": True, "path": p["path"], "size": p["size"], "partitionValues": {"field": p["field"], "names": json.dumps(p["names"])}, "docMapping": p["tokenizer"]}
+
+    def _commit(self, old: list[dict], new: list[dict], base: int) -> TextIndex:
+        now = int(time.time() * 1000)
+        try:
+            self.log.commit([*({"action": "remove", "path": p["path"], "deletionTimestamp": now} for p in old), *map(self._entry, new)], base=base)
+        except Conflict:
+            for p in new:
+                self._delete(p["path"])
+            raise
+        finally:
+            self._live = None
+        return self
+
+    def _delete(self, path: str) -> None:
+        for kind in ("postings", "terms", "statistics"):
+            self.log._fs.delete(self.log._path(path.replace("/*/", f"/{kind}/")), True)
+
+    def _add(self, name: str, rows: DataFrame, n: int, names: list[str], tokenizer: str) -> dict:
+        """Store the postings of a new part, then its terms and statistics from them; no reader sees it before it is committed."""
+        path = f"{self.path}/*/field={name}/part={uuid.uuid4().hex}"
+        at = {kind: path.replace("/*/", f"/{kind}/") for kind in ("postings", "terms", "statistics")}
+        rows.select("term", "id", "tf", "length", "positions").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(at["postings"])
+        terms = self.spark.read.parquet(at["postings"]).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(at["terms"])
+        total = self.spark.read.parquet(at["terms"]).agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+        total.write.parquet(at["statistics"])
+        return {"path": path, "field": name, "names": names, "size": self.spark.read.parquet(at["statistics"]).first()["tokens"], "tokenizer": tokenizer}
+
+    def _table(self, kind: str, name: str, parts: list[dict] | None = None) -> DataFrame:
+        paths = [p["path"].replace("/*/", f"/{kind}/") for p in (self.parts() if parts is None else parts) if p["field"] == name]
+        if not paths:
+            raise ValueError(f"no index of {name!r}")
+        return self.spark.read.parquet(*paths)
 
     def fields(self) -> set[str]:
-        return {r["field"] for r in self.spark.read.parquet(f"{self.path}/statistics").select("field").distinct().collect()}
+        return {p["field"] for p in self.parts()}
 
     def statistics(self, name: str) -> tuple[int, int]:
         row = self._table("statistics", name).agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).first()
@@ -164,13 +207,54 @@ class TextIndex:
             if not held["tf"] == held["p"] == terms["tf"] == self.statistics(name)[1] or held["k"] != terms["k"]:
                 raise ValueError(f"the index of {name!r} disagrees with itself")
 
+    def _joined(self, parts: list[dict], at: TextIndex) -> dict:
+        """Parts of a field as one new part; no text is read."""
+        name = parts[0]["field"]
+        n = self._table("statistics", name, parts).agg(F.sum("n")).first()[0]
+        return at._add(name, self._table("postings", name, parts), n, sorted({x for p in parts for x in p["names"]}), parts[0]["tokenizer"])
+
     def merge(self, path: str) -> TextIndex:
         """All parts as one, at a new place; no text is read."""
         out = TextIndex(self.spark, path)
-        for name in sorted(self.fields()):
-            out._store(self._table("postings", name).drop("part"), name, "0")
-            out._summaries(name, "0", self.statistics(name)[0])
-        return out
+        base = out._begin()
+        return out._commit([], [self._joined([p for p in self.parts() if p["field"] == name], out) for name in sorted(self.fields())], base)
+
+    def compact(self, tiers: Tiers | None = None, attempts: int = 3) -> int:
+        """Merge parts of a tier of size (in tokens) as often as there are enough of them; the number of merges. If another writer takes parts away meanwhile, plan anew."""
+        tiers, done, failed = tiers or Tiers(floor=1_000_000, ceiling=1_000_000_000), 0, 0
+        while True:
+            self._live, base = None, self._begin()
+            parts = {p["path"]: p for p in self.parts()}
+            rows = [(p["path"], p["field"], p["size"], k) for k, p in enumerate(parts.values())]
+            due = tiers.due(self.spark.createDataFrame(rows, "path string, field string, size long, version long"), ["field"], at_once=tiers.factor).collect()
+            if not due:
+                return done
+            group = [parts[r["path"]] for r in due]
+            try:
+                self._commit(group, [self._joined(group, self)], base)
+                done += 1
+            except Conflict:
+                failed += 1
+                if failed == attempts:
+                    raise
+
+    @staticmethod
+    def combine(indexes: list[TextIndex], path: str) -> TextIndex:
+        """One index over the parts of several, where they are: only the log is new. Ids must be unique over all of them, fields and tokenizers equal."""
+        kinds = [{(p["field"], p["tokenizer"]) for p in x.parts()} for x in indexes]
+        if any(k != kinds[0] for k in kinds):
+            raise ValueError("the indexes differ in their fields or in a tokenizer")
+        out = TextIndex(indexes[0].spark, path)
+        base = out._begin()
+        return out._commit([], [p | {"names": [f"{k}/{x}" for x in p["names"]]} for k, index in enumerate(indexes) for p in index.parts()], base)
+
+    def drop_removed(self, before: int) -> int:
+        """Delete the parts of this place that were removed before that time (milliseconds); how many. No reader may have begun before they were removed, and no combined index name them."""
+        old = tombstones(self.log.actions()).filter(F.col("deletionTimestamp") < before).select("path").collect()
+        mine = [r["path"] for r in old if r["path"].startswith(f"{self.path}/*/")]
+        for path in mine:
+            self._delete(path)
+        return len(mine)
 
     # ------------------------------------------------------------------ terms
     def matching_terms(self, leaf: q.Query, fields: q.Fields) -> DataFrame:

@@ -21,6 +21,7 @@ from .plans.compile import matching
 from .plans.parser import parse_query
 from .plans.rewrite import with_string_modes
 from .sources import datasource, delta, filters, parquet
+from .sources.tiers import Tiers
 from .sources.txlog import TransactionLog, changes, list_files, manifest, prune_manifest, replay, tombstones
 from .streaming import keyed, streams
 
@@ -712,6 +713,35 @@ _register(
     _LOG_SQL + "SELECT path::varchar AS path, version, action FROM (SELECT *, lag(action, 1, 'remove') OVER (PARTITION BY path ORDER BY version) AS was FROM a WHERE action IN ('add', 'remove')) WHERE action <> was",
 )
 
+def _tiered(s: SparkSession, d: str) -> DataFrame:
+    """Orders in six appends of a logged table, compacted after every third; the rows by status, and whether few files are left."""
+    orders, log = _t(s, d, "orders"), TransactionLog(s, _folder(s))
+    log.initialise("{}", ["o_orderstatus"])
+    for k in range(6):
+        log.append(orders.filter(F.col("o_orderkey") % 6 == k).coalesce(1), ["o_orderstatus"], stats=["o_orderkey"])
+        if k % 3 == 2:
+            log.compact(Tiers(factor=3))
+    files = log.list().files.groupBy(F.col("partitionValues")["o_orderstatus"].alias("o_orderstatus")).agg((F.count(F.lit(1)) <= 2).alias("few"))
+    return log.scan().groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys")).join(files, "o_orderstatus")
+
+
+_register("w07_tiered_merge", _tiered, "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::bigint AS keys, true AS few FROM orders GROUP BY 1")
+
+
+def _combined(s: SparkSession, d: str) -> DataFrame:
+    """A search over an index combined from two, whose parts were merged where they lay."""
+    docs, where = _t(s, d, "documents"), _folder(s)
+    for k in range(3):
+        indexed.TextIndex.write(docs.filter(F.col("doc_id") % 4 == k), f"{where}/a", "doc_id", ["text"], part=str(k))
+    indexed.TextIndex(s, f"{where}/a").compact(Tiers(factor=3, floor=1 << 40, ceiling=1 << 50))
+    last = indexed.TextIndex.write(docs.filter(F.col("doc_id") % 4 == 3), f"{where}/b", "doc_id", ["text"])
+    both = indexed.TextIndex.combine([indexed.TextIndex(s, f"{where}/a"), last], f"{where}/both")
+    both.validate()
+    return search.search(docs, q.Bool(should=(q.Term("text", "pathetic"), q.Term("text", "the"))), 20, "doc_id", index=both).select("doc_id", F.round("_score", 6).alias("score"))
+
+
+_register("w11_combined_index", _combined, _BM25)
+
 # ---------------------------------------------------------------------- aggregations of several levels, arrays, pages of groups
 _register(
     "a14_outer_metrics",

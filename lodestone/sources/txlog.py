@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from ..functions.analysis import percent_decode
 from .filters import Filter, bounds_of, compile_filter, may_match
 from .state import MANIFEST_ENTRIES, Listing, State, net, write_state
+from .tiers import Tiers
 
 PROTOCOL = 4
 _BATCH = "log_batch"  # the outermost partition: the files of one append
@@ -454,6 +455,35 @@ class TransactionLog:
                 self.rollback(written)
         raise Conflict(f"other writers removed the files in each of {attempts} attempts")
 
+    def compact(self, tiers: Tiers | None = None, attempts: int = 3) -> int:
+        """Merge the live files of a partition and a tier of size as often as there are enough of them; the number of versions written.
+
+        All groups that are due are rewritten by one job, a task a group, and are one version; the bounds of the same columns are kept. Meant to run after
+        appends: files that other writers take away meanwhile are no fault, the rest is planned again.
+        """
+        tiers, done, failed = tiers or Tiers(), 0, 0
+        while True:
+            base = self.current_version()
+            live = self.list(up_to=base, exclude_cooling_at=int(time.time() * 1000)).files
+            keyed = live.select("path", "size", "version", F.to_json("partitionValues").alias("_p"), F.map_keys("minValues").alias("_stats"))
+            plan = [(r["path"], r["chunk"]) for r in tiers.due(keyed, ["_p"]).select("path", "chunk").collect()]  # 10,000 files at most
+            if not plan:
+                return done
+            chunks = {c: k for k, c in enumerate(sorted({c for _, c in plan}))}
+            of_file = self.spark.createDataFrame([(p, chunks[c]) for p, c in plan], "_file string, _chunk int")
+            stats = sorted(r["s"] for r in keyed.join(of_file, F.col("path") == F.col("_file"), "left_semi").select(F.explode("_stats").alias("s")).distinct().collect())  # columns
+            rows = self._read([p for p, _ in plan])
+            rows = rows.withColumn("_file", _path_of_file()).join(F.broadcast(of_file), "_file")
+            written = self._written(rows.repartition(len(chunks), "_chunk").drop("_file", "_chunk"), self._partitions(), 0, stats)
+            try:
+                self.commit([*self._removes([p for p, _ in plan]), *[w | {"dataChange": False} for w in written]], base=base)
+                done += 1
+            except Conflict:
+                self.rollback(written)
+                failed += 1
+                if failed == attempts:
+                    raise
+
     def rollback(self, written: list[dict]) -> None:
         """Delete files that were written and not committed."""
         for f in written:

@@ -73,7 +73,10 @@ def test_a_search_reads_no_text(table, index):
 
 def test_broken_index_and_modes(spark, table, index, tmp_path):
     one = index.merge(f"file://{tmp_path}/broken")
-    spark.createDataFrame([("zz", 1, 1)], "term string, df long, tf long").write.parquet(f"{one.path}/terms/field=text/part=x")
+    wrong = spark.createDataFrame([("zz", 1, 1)], "term string, df long, tf long")
+    wrong.write.parquet(f"{one.path}/terms/field=text/part=x")
+    one.validate()  # a folder that the log doesn't name is no part
+    wrong.write.mode("append").parquet(next(p["path"] for p in one.parts() if p["field"] == "text").replace("/*/", "/terms/"))
     with pytest.raises(ValueError, match="disagrees"):
         one.validate()
     with pytest.raises(ValueError, match="mode"):
