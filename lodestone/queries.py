@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import analysis
 from .functions.ip import ip_key, ip_text, v4_key
@@ -20,7 +21,7 @@ from .plans import nodes as q
 from .plans.compile import matching
 from .plans.parser import parse_query
 from .plans.rewrite import with_string_modes
-from .sources import datasource, delta, filters, parquet
+from .sources import datasource, delta, field_ids, filters, parquet
 from .sources.tiers import Tiers
 from .sources.txlog import TransactionLog, changes, list_files, manifest, prune_manifest, replay, tombstones
 from .streaming import keyed, streams
@@ -742,6 +743,23 @@ def _combined(s: SparkSession, d: str) -> DataFrame:
 
 _register("w11_combined_index", _combined, _BM25)
 
+def _renamed(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers stored in two files' schemas, with ids under older names and without ids, and read in today's schema: two columns swapped names, one is within a struct."""
+    field = lambda name, kind, k: T.StructField(name, kind, True, {field_ids.ID: k})
+    place = lambda a, b: T.StructType([field(a, T.StringType(), 4), field(b, T.StringType(), 5)])
+    old = T.StructType([field("key", T.LongType(), 1), field("balance", T.StringType(), 2), field("place", place("street", "phone"), 3)])
+    rows = _t(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("key"), F.col("s_name").alias("balance"), F.struct(F.concat("s_name", F.lit("!")).alias("street"), F.col("s_nationkey").cast("string").alias("phone")).alias("place"))
+    where = _folder(s)
+    rows.filter("key % 2 = 0").to(old).write.parquet(f"{where}/ids")
+    rows.filter("key % 2 <> 0").write.parquet(f"{where}/bare")
+    mapping = [{"field-id": 1, "names": ["key"]}, {"field-id": 2, "names": ["balance"]}, {"field-id": 3, "names": ["place"], "fields": [{"field-id": 4, "names": ["street"]}, {"field-id": 5, "names": ["phone"]}]}]
+    now = T.StructType([field("balance", T.LongType(), 1), field("key", T.StringType(), 2), field("at", place("label", "nation"), 3), field("place", T.IntegerType(), 6)])
+    files = [r["path"] for k in ("ids", "bare") for r in parquet.files(s, f"{where}/{k}").select("path").collect()]
+    return field_ids.read(s, files, now, mapping).select("balance", "key", F.col("at.label").alias("label"), F.col("at.nation").alias("nation"), "place")
+
+
+_register("c16_field_ids", _renamed, "SELECT s_suppkey::bigint AS balance, s_name AS key, s_name || '!' AS label, s_nationkey::varchar AS nation, NULL::int AS place FROM supplier")
+
 # ---------------------------------------------------------------------- aggregations of several levels, arrays, pages of groups
 _register(
     "a14_outer_metrics",

@@ -13,7 +13,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import field_ids
 from .datasource import holds
 from .filters import Filter
 
@@ -218,19 +220,17 @@ class IcebergTable:
     def scan(self, snapshot_id: int | None = None, where: Filter | None = None) -> DataFrame:
         """The rows of a snapshot for which ``where`` holds: those of its Parquet data files that no delete file takes away.
 
-        A position delete names a file and a row of it; an equality delete takes rows of files with a smaller sequence number, of its own partition and spec, or of all if it has no partition.
+        Columns are those of the snapshot's schema, found in each file by their ids, or in files without ids by the table's name mapping. A position delete names a file and a row of it; an equality delete takes rows of files with a smaller sequence number, of its own partition and spec, or of all if it has no partition.
         """
-        files = self.files(snapshot_id, where)
+        files, schema = self.files(snapshot_id, where), field_ids.iceberg_schema(self.schema(snapshot_id))
         live = [r.asDict() for r in files.select("path", "content", "sequence_number", "equality_ids").toLocalIterator()]
         paths = [f["path"] for f in live if f["content"] == 0]
         if not paths:
-            if where is not None:  # no file is left: no row, in the columns of the whole
-                return self.scan(snapshot_id).limit(0)
-            raise ValueError("the snapshot holds no data file")
+            return self.spark.createDataFrame([], schema)
+        mapping = json.loads(self.metadata.get("properties", {}).get("schema.name-mapping.default") or "[]")
         plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
-        rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
-        names = rows.columns
-        rows = rows.select(F.struct(*names).alias("row"), plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.row_index").alias("pos"))
+        rows = field_ids.read(self.spark, paths, schema, mapping, places=True)
+        rows = rows.select(F.struct(*[F.col(f"`{n}`") for n in schema.names]).alias("row"), plain(F.col("_path")).alias("path"), F.col("_pos").alias("pos"))
         if by_position := [f["path"] for f in live if f["content"] == 1]:
             gone = self.spark.read.parquet(*by_position).select(plain(F.col("file_path")).alias("path"), "pos").distinct()
             rows = rows.join(gone, ["path", "pos"], "left_anti")
@@ -242,11 +242,12 @@ class IcebergTable:
             scope = F.when(F.col("partition_values") != "{}", F.concat_ws("|", "spec_id", "partition_values"))
             numbers = files.filter("content = 0").select(plain(F.col("path")).alias("path"), F.col("sequence_number").alias("written"), scope.alias("part"))
             rows = rows.join(numbers, "path")
-            name_of = {f["id"]: f["name"] for f in self.schema(snapshot_id)}
+            of_id = {f.metadata[field_ids.ID]: f for f in schema.fields}
             deletes = files.filter("content = 2").select(plain(F.col("path")).alias("_path"), F.col("sequence_number").alias("deleted"), scope.alias("scope"))
             for ids, group in by_value.items():
-                columns = [name_of[i] for i in ids]
-                gone = self.spark.read.parquet(*[f["path"] for f in group]).select(*columns, plain(F.col("_metadata.file_path")).alias("_path")).join(deletes, "_path")
+                columns = [of_id[i].name for i in ids]
+                gone = field_ids.read(self.spark, [f["path"] for f in group], T.StructType([of_id[i] for i in ids]), mapping, places=True)
+                gone = gone.select(*columns, plain(F.col("_path")).alias("_path")).join(deletes, "_path")
                 gone = gone.groupBy(*columns, "scope").agg(F.max("deleted").alias("deleted"))  # the last delete of a value is what counts
                 gone = gone.select(F.struct(*columns).alias("key"), "deleted", "scope")
                 same = [F.col("row")[c].eqNullSafe(F.col("key")[c]) for c in columns]
