@@ -83,8 +83,15 @@ def _blocks(texts: pa.Array) -> Iterator[slice]:
         low = high
 
 
-#: A word's place: its block, and its number among the block's words in the lower bits.
-_LOCAL_BITS = 24
+#: A word's place, from the highest bits: its task, its block among the task's, and its number among the block's words.
+_LOCAL_BITS, _BLOCK_BITS = 24, 18
+
+
+def _numbered(task: int, block: int, words: int) -> int:
+    """The number of a block; an error if one of its parts has no room, since blocks would be mixed up."""
+    if task >> (63 - _BLOCK_BITS - _LOCAL_BITS) or block >> _BLOCK_BITS or words > 1 << _LOCAL_BITS:
+        raise OverflowError(f"no number for block {block} of task {task} with {words} different words: use more, or smaller, partitions")
+    return (task << _BLOCK_BITS) + block
 
 
 def _read(schema: pa.Schema):
@@ -111,7 +118,7 @@ def _read(schema: pa.Schema):
                 rank[order] = np.arange(len(order))
                 first, place = first[order], rank[place]
                 k = np.bincount(place, np.repeat(slices >= 0, lengths), len(first)).astype(np.int64)
-                number = (int(part.column(3)[0].as_py()) << 12) + block
+                number = _numbered(int(part.column(3)[0].as_py()), block, len(first))
                 block += 1
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
                 row = {"block": pa.array([number]), "ids": ids, "slices": _packed(slices), "lengths": _packed(lengths.astype(np.int64)), "places": _packed(place.astype(np.uint32))}

@@ -294,6 +294,16 @@ def test_gradient_is_that_of_the_loss():
         assert math.isclose((attention_lm.gradient(moved, vectors, classes, lengths)[1] - loss) / 1e-4, g[name][at], rel_tol=0.02, abs_tol=0.02), name
 
 
+def test_lm_block_numbers_do_not_collide():
+    from lodestone.llm.lm_scoring import _numbered
+
+    corners = [(t, b) for t in (0, 1, 2**21 - 1) for b in (0, 1, 4096, 2**18 - 1)]
+    assert len({_numbered(t, b, 2**24) for t, b in corners}) == len(corners) and max(_numbered(t, b, 1) for t, b in corners) << 24 < 2**63
+    for task, block, words in ((2**21, 0, 1), (0, 2**18, 1), (0, 0, 2**24 + 1)):
+        with pytest.raises(OverflowError):
+            _numbered(task, block, words)
+
+
 def test_lm_learns_from_context_and_not_from_the_dealing(spark):
     """Two invented languages: the context tells which, so attention beats the unigram base on held-out texts."""
     rng = random.Random(5)
