@@ -19,3 +19,10 @@ def _same(spark, where, name, table):
 def test_a_table_of_many_files_is_one_segment(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     _same(spark, str(tmp_path), "r14_counts", "documents")
+
+
+def test_texts_of_users_beyond_four_hex_digits(spark, tmp_path):
+    rows = [(e, u) for u in (0, 1, 65_535, 65_536, 90_000, 1_048_576) for e in (0, 1, 65_536, 70_000)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    events.repartition(2).write.parquet(f"{tmp_path}/events.parquet")
+    _same(spark, str(tmp_path), "x05_ip_text", "events")
