@@ -90,3 +90,23 @@ def test_documents(spark, tmp_path):
         scan = {r["doc_id"]: round(r["_score"], 6) for r in search.score(docs, query).collect()}
         assert {r["doc_id"]: round(r["_score"], 6) for r in index.score(query, docs, "doc_id").collect()} == scan and scan
     assert docs.select(F.count("*")).first()[0] == index.statistics("text")[0]
+
+
+def test_postings_are_made_and_stored_where_their_rows_are(spark, table, tmp_path):
+    got = search.postings(table, "id", "text")
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for k, text in enumerate(TEXTS):
+        words = ["".join(c for c in w if c.isalnum()) for w in (text or "").lower().replace(",", " ").split()]
+        for pos, w in enumerate(words):
+            want.setdefault((w, k, len(words)), []).append(pos)
+    assert {(r["term"], r["id"], r["length"]): r["positions"] for r in got.collect()} == want
+    assert all(r["tf"] == len(r["positions"]) for r in got.collect())
+    seen = []
+    real = search.DataFrame.repartitionByRange
+    try:
+        search.DataFrame.repartitionByRange = lambda self, *a: (seen.append(a), real(self, *a))[1]
+        search.PostingsTable.write(table, f"file://{tmp_path}/p", "id", "text").merge(f"file://{tmp_path}/q").validate()
+    finally:
+        search.DataFrame.repartitionByRange = real
+    assert not seen
