@@ -402,3 +402,12 @@ def test_empty_tables(spark, docs, sf):
         sharding.shard_by_bytes(none), secrets.scan_secrets(none), warc.resolve_revisits(warc.read_warc(spark, warc.archive(pages))), html_extraction.extract_articles(pages), lm_scoring.score_documents(none), line_dedup.dropped_lines(none),
     ):
         assert out.count() == 0
+
+
+def test_sketch_of_ngrams_grows_with_the_text(spark):
+    from lodestone.llm.ngram_join import _sketch_bits
+    from pyspark.sql import functions as F
+
+    texts = lambda k: spark.range(k).select(F.repeat(F.lit("abcdefg "), 1 << 20).alias("text"))  # noqa: E731  8 MB each
+    assert _sketch_bits(texts(0)) == 16
+    assert [_sketch_bits(texts(k)) for k in (8, 64, 256)] == [20, 23, 25]  # in proportion: at a fixed size the rare ones drown
