@@ -411,3 +411,22 @@ def test_sketch_of_ngrams_grows_with_the_text(spark):
     texts = lambda k: spark.range(k).select(F.repeat(F.lit("abcdefg "), 1 << 20).alias("text"))  # noqa: E731  8 MB each
     assert _sketch_bits(texts(0)) == 16
     assert [_sketch_bits(texts(k)) for k in (8, 64, 256)] == [20, 23, 25]  # in proportion: at a fixed size the rare ones drown
+
+
+def test_line_groups_do_not_depend_on_the_size_of_a_block(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    run = ["common", "start", "here"]
+    lines = []
+    for _ in range(60):
+        rest = [word() for _ in range(9)]
+        for at in (None, 2, 6):  # three lines of a group differ in one word from each other's first
+            lines.append(" ".join(run + [word() if k == at else w for k, w in enumerate(rest)]))
+    df = spark.createDataFrame(list(enumerate(rng.sample(lines, len(lines)))), "doc_id long, text string")
+    found = lambda: {r["doc_id"] for r in line_dedup.dropped_lines(df).filter("n_dropped > 0").collect()}
+    monkeypatch.setattr(line_dedup, "_blocks", lambda norm: F.array(F.xxhash64(F.lit(0))))  # all in one block
+    want = found()
+    monkeypatch.setattr(line_dedup, "CROWD", 20)
+    assert found() == want and len(want) > 50
