@@ -430,3 +430,26 @@ def test_line_groups_do_not_depend_on_the_size_of_a_block(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(line_dedup, "CROWD", 20)
     assert found() == want and len(want) > 50
+
+
+def test_line_dedup_leaves_no_tables_of_its_phases(spark):
+    from lodestone.llm import common
+
+    before = set(common._SCRATCH)
+    df = spark.createDataFrame([(1, "one line of quite some words here to keep\nother"), (2, "one line of quite some words here to kept")], "doc_id long, text string")
+    assert line_dedup.dropped_lines(df).filter("n_dropped > 0").count() == 1
+    left = [p.rsplit("/", 1)[1] for p in common._SCRATCH - before]
+    assert not [p for p in left if p.startswith(("lodestone-lines-", "lodestone-line-places", "lodestone-line-texts", "lodestone-line-blocks", "lodestone-line-labels", "lodestone-line-open", "lodestone-line-pairs"))]
+    assert sum(p.startswith("lodestone-edges") for p in left) <= 2
+
+
+def test_line_forms_and_simhashes_are_those_of_the_patterns(spark):
+    from pyspark.sql import functions as F
+
+    spaced = ["a  b", "a\tb", " \t \v\f\r a - b -  - c   \n d\t\n", "é٣ ٤½x", "\0 \0a\0\0 b", "    ", " " * 9 + "\n" + " " * 8]
+    plain = F.regexp_replace(F.lower("t"), r"[^\p{L}\p{N}\s]+", "")
+    want = F.regexp_replace(F.regexp_replace(plain, r"\p{N}", "0"), r"[^\S\n ][^\S\n]*|[^\S\n]{2,}", " ")
+    assert all(r["x"] == r["y"] for r in spark.createDataFrame([(t,) for t in spaced], "t string").select(line_dedup._bare(F.col("t")).alias("x"), want.alias("y")).collect())
+    texts = spark.createDataFrame([(n, " ".join(f"w{k % 97}" for k in range(n))) for n in (1, 2, 127, 128, 5000, 32_767, 32_768)], "key long, norm string")
+    both = line_dedup._simhashes(texts).join(texts.select("key", line_dedup.simhash(line_dedup._hashes(F.split("norm", " "))).alias("old")), "key").collect()
+    assert len(both) == 7 and all(r["sim"] == r["old"] for r in both)
