@@ -94,8 +94,8 @@ def _attend(p: Parameters, x: np.ndarray):
     return placed, q, k, a, seen
 
 
-def _shares(p: Parameters, seen: np.ndarray, aim: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each class, and log probability of the class that comes."""
+def _shares(p: Parameters, seen: np.ndarray, aim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each class's share of ``total``, that total, and log probability of the class that comes."""
     logits = seen @ p["U"]
     logits += p["b"]
     logits -= logits.max(axis=1, keepdims=True)
@@ -103,7 +103,7 @@ def _shares(p: Parameters, seen: np.ndarray, aim: np.ndarray) -> tuple[np.ndarra
     np.exp(logits, out=logits)
     total = logits.sum(axis=1, keepdims=True)
     logs -= np.log(total[:, 0])
-    return np.divide(logits, total, out=logits), logs
+    return logits, total, logs
 
 
 def windows(lengths: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def score(p: Parameters, vectors: np.ndarray, classes: np.ndarray, lengths: np.n
     out = np.zeros(len(classes))
     for x, counted, at in _batches(vectors, lengths, STRIDE, _BATCH):
         seen = _attend(p, x)[-1]
-        out[at] = _shares(p, seen[counted], classes[at])[1]
+        out[at] = _shares(p, seen[counted], classes[at])[2]
     return out
 
 
@@ -148,7 +148,8 @@ def gradient(p: Parameters, vectors: np.ndarray, classes: np.ndarray, lengths: n
         n, w, d = x.shape
         placed, q, k, a, seen = _attend(p, x)
         used = seen[counted]
-        off, logs = _shares(p, used, classes[at])
+        off, whole, logs = _shares(p, used, classes[at])
+        off /= whole
         loss -= float(logs.sum())
         off[np.arange(len(at)), classes[at]] -= 1
         total["U"] += used.T @ off

@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
@@ -83,6 +84,22 @@ def _blocks(texts: pa.Array) -> Iterator[slice]:
         low = high
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values as they come, the first place and the number of each, and each value's number among them; without sorting all."""
+    place, unique = pd.factorize(values)
+    first = np.empty(len(unique), np.int64)
+    first[place[::-1]] = np.arange(len(values))[::-1]
+    return unique, first, place, np.bincount(place, minlength=len(unique))
+
+
+def _used(places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``n`` numbers stand in ``places``, in order, and each place's number among these."""
+    used = np.flatnonzero(np.bincount(places, minlength=n))
+    number = np.zeros(n, np.uint32)
+    number[used] = np.arange(len(used))
+    return used, number[places]
+
+
 #: A word's place, from the highest bits: its task, its block among the task's, and its number among the block's words.
 _LOCAL_BITS, _BLOCK_BITS = 24, 18
 
@@ -112,8 +129,8 @@ def _read(schema: pa.Schema):
                     spans.append((word_hashes(lower[low:high], starts, ends), starts + low, ends + low, np.diff(before)))
                 hashes, starts, ends, lengths = (np.concatenate([x[k] for x in spans]) for k in range(4))
                 spans.clear()
-                _, first, place, often = np.unique(hashes.view(np.int64), return_index=True, return_inverse=True, return_counts=True)
-                order = np.argsort(-often, kind="stable")  # frequent words get small numbers
+                unique, first, place, often = _distinct(hashes.view(np.int64))
+                order = np.lexsort((unique, -often))  # frequent words get small numbers
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
                 first, place = first[order], rank[place]
@@ -228,7 +245,7 @@ def _chunks(frequent: list[bytes], least: int, kind: type, schema: pa.Schema):
                 of_slice = np.repeat(slices, lengths)
                 for s in np.unique(slices):
                     mine = np.flatnonzero(slices == s)
-                    used, place = np.unique(places[of_slice == s], return_inverse=True)
+                    used, place = _used(places[of_slice == s], len(c))
                     n = sizes[used]
                     own = flat[np.repeat(starts[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
                     data = dict(zip(_CHUNK, (lengths[mine], place.astype(np.uint32), c[used], n.astype(np.uint32), own, rank[used]), strict=True))

@@ -453,3 +453,18 @@ def test_line_forms_and_simhashes_are_those_of_the_patterns(spark):
     texts = spark.createDataFrame([(n, " ".join(f"w{k % 97}" for k in range(n))) for n in (1, 2, 127, 128, 5000, 32_767, 32_768)], "key long, norm string")
     both = line_dedup._simhashes(texts).join(texts.select("key", line_dedup.simhash(line_dedup._hashes(F.split("norm", " "))).alias("old")), "key").collect()
     assert len(both) == 7 and all(r["sim"] == r["old"] for r in both)
+
+
+def test_lm_numbers_of_words_are_those_of_a_sort():
+    import numpy as np
+
+    from lodestone.llm.lm_scoring import _distinct, _used
+
+    for values in (np.random.default_rng(4).integers(-50, 50, 3000), np.zeros(0, np.int64), np.array([-(2**63), 7, -(2**63), 2**63 - 1])):
+        unique, first, place, often = _distinct(values)
+        u, f, _, k = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
+        by = np.argsort(unique)
+        assert (unique[by] == u).all() and (first[by] == f).all() and (often[by] == k).all() and (unique[place] == values).all()
+    places = np.random.default_rng(5).integers(0, 40, 30).astype(np.uint32)
+    for got, want in zip(_used(places, 60), np.unique(places, return_inverse=True), strict=True):
+        assert (got == want).all()
