@@ -105,3 +105,34 @@ def test_interval_join(spark, tmp_path):
     assert {p for p in got if p[0] != 4} == brute(of(a, (4, 6)), of(b, ())) and got <= brute(of(a, (6,)), of(b, ()))
     with pytest.raises(ValueError, match="both sides"):
         keyed.interval_join(left, left, ["k"], "t1", "t1", MINUTE, MINUTE)
+
+
+def test_first_seen_keeps_one_value_for_a_key_and_trigger():
+    from pyspark.sql import Row, types as T
+
+    class State:  # of a list or a value
+        def __init__(self):
+            self.values = []
+
+        exists = lambda self: bool(self.values)
+        get = lambda self: self.values[0] if self.single else iter(list(self.values))
+        clear = lambda self: self.values.clear()
+        appendValue = lambda self, value: self.values.append(value)
+        appendList = put = lambda self, values: self.values.extend(values)
+        update = lambda self, value: self.values.append(value)
+
+    held, last, timers = State(), State(), []
+    held.single, last.single = False, True
+    held.put = lambda values: setattr(held, "values", list(values))
+    handle = type("Handle", (), {"getListState": lambda *a: held, "getValueState": lambda *a: last, "registerTimer": lambda self, t: timers.append(t)})()
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("ts", T.TimestampType()), T.StructField("n", T.LongType())])
+    judge = keyed._FirstSeen(schema, "ts", ["n"], 10 * MINUTE)
+    judge.init(handle)
+    row = Row("k", "ts", "n", "_micros")
+    rows = [row("a", at(m), n, m * 60_000_000) for n, m in enumerate([30, 0, 5, 0, None, 41] * 10) if m is not None]
+    for part in (rows[:25], rows[25:]):
+        assert not list(judge.handleInputRows(("a",), iter(part), None))
+    assert len(held.values) == 2 and timers == [0, 0]  # a value for each trigger, not for each row
+    now = type("Times", (), {"getCurrentWatermarkInMs": lambda self: 35 * 60_000})()
+    assert [(r["ts"], r["n"]) for r in judge.handleExpiredTimer(("a",), now, None)] == [(at(0), 1), (at(30), 0)]
+    assert len(held.values) == 1 and last.values[-1] == (30 * 60_000_000,) and timers[-1] == 41 * 60_000
