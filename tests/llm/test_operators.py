@@ -455,6 +455,14 @@ def test_line_forms_and_simhashes_are_those_of_the_patterns(spark):
     assert len(both) == 7 and all(r["sim"] == r["old"] for r in both)
 
 
+def test_lines_are_normalised_once(spark):
+    rows = spark.createDataFrame([(1, " * * \n\n One, 2  two\n\t\n---"), (2, "one 3 TWO\n* *\n?")], "id long, text string")
+    lines = line_dedup._lines(rows, 1)
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1  # a filter on forms, or a form named twice, would evaluate it again
+    assert {r["norm"]: (r["first"]["id"], r["first"]["line_no"]) for r in lines.collect()} == {"* *": (1, 0), "one 0 two": (1, 2), "---": (1, 4), "?": (2, 2)}
+    assert [r["norm"] for r in line_dedup._lines(rows, 2).collect() if r["norm"] in ("---", "?")] == []
+
+
 def test_lm_numbers_of_words_are_those_of_a_sort():
     import numpy as np
 
