@@ -476,3 +476,41 @@ def test_lm_numbers_of_words_are_those_of_a_sort():
     places = np.random.default_rng(5).integers(0, 40, 30).astype(np.uint32)
     for got, want in zip(_used(places, 60), np.unique(places, return_inverse=True), strict=True):
         assert (got == want).all()
+
+
+def test_of_two_groups_of_lines_the_nearest_pair_is_compared_first(spark, monkeypatch):
+    base = [f"word{i:03d}" for i in range(30)]
+    other = lambda k, n: " ".join([f"other{k:02d}x"] * n + base[n:])
+    # groups 100 and 200 link by every pair, 300 and 400 by their second pair only, 500 and 600 not at all
+    texts = {100 + k: other(k, 1) for k in range(6)} | {200 + k: other(20 + k, 1) for k in range(6)}
+    texts |= {300: other(40, 9), 301: "far " * 30, 400: other(41, 9), 401: other(42, 9), 500: "one two three four", 600: "quite another line"}
+    pairs = [(a, b, 100, 200, 5) for a in range(100, 106) for b in range(200, 206)]
+    pairs += [(301, 400, 300, 400, 1), (300, 400, 300, 400, 2), (500, 600, 500, 600, 3)]
+    old, compared = line_dedup._linked, []
+
+    def linked(pairs, texts):
+        compared.append(pairs.count())
+        return old(pairs, texts)
+
+    monkeypatch.setattr(line_dedup, "_linked", linked)
+    frame = spark.createDataFrame(pairs, "a long, b long, low long, high long, bits int")
+    got = line_dedup._merged(frame, spark.createDataFrame(list(texts.items()), "key long, norm string"))
+    assert {tuple(r) for r in got.select("root", "_to").collect()} == {(100, 100), (200, 100), (300, 300), (400, 300)}
+    assert compared == [3, 1]  # all 39 at once before
+
+
+@pytest.mark.parametrize("plain", [10, 2000])
+def test_edits_by_word_never_link_too_much(spark, monkeypatch, plain):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "PLAIN", plain)
+    rng = random.Random(5)
+    rows = []
+    for _ in range(120):
+        w = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(1, 12))]
+        v = ["".join(rng.choice("abcé") if rng.random() < 0.1 else c for c in x) for x in w]
+        rows.append((" ".join(w), " ".join(v[: rng.choice([len(v), len(v), max(1, len(v) - 1)])])))
+    frame = spark.createDataFrame(rows, "x string, y string")
+    exact = F.levenshtein("x", "y") <= F.floor((100 - line_dedup.PERCENT) * F.greatest(F.length("x"), F.length("y")) / 100)
+    got = frame.select(line_dedup._similar(F.col("x"), F.col("y")).alias("got"), exact.alias("want")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got] and 10 < sum(r["got"] for r in got) < 110
