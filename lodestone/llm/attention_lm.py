@@ -24,6 +24,9 @@ WIDTH = 16
 _BATCH = 128
 _F = np.float32
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, _F), 1)
+_BACK = np.tril(np.ones((WINDOW, WINDOW), _F))
+#: Size up to which powers of e need no shift to stay inside the range of _F, also in a sum of many.
+_SAFE = 60.0
 Parameters = dict[str, np.ndarray]
 
 
@@ -81,15 +84,29 @@ def initial(class_tokens: np.ndarray, seed: int = 0) -> Parameters:
     return {"Q": draw(WIDTH, WIDTH, by=0.1), "K": draw(WIDTH, WIDTH, by=0.1), "P": draw(WINDOW, WIDTH, by=0.02), "U": np.zeros((2 * WIDTH, CLASSES), _F), "b": own}
 
 
+def _large(x: np.ndarray) -> bool:
+    """Whether powers of e need a shift by each row's largest value, which costs as much as the powers do where rows are short."""
+    return x.size > 0 and not (x.max() <= _SAFE and x.min() >= -_SAFE)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows, as a product, which costs a fraction of sums along an axis."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones((x.shape[-1], 1), x.dtype)).reshape(*x.shape[:-1], 1)
+
+
 def _attend(p: Parameters, x: np.ndarray):
     n, w, d = x.shape
     placed = (x + p["P"][:w]).reshape(-1, d)
     q, k = (placed @ (p["Q"] * _F(d**-0.5))).reshape(n, w, d), (placed @ p["K"]).reshape(n, w, d)
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a += _MASK[:w, :w]
-    a -= a.max(axis=-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=-1, keepdims=True)
+    if _large(a):
+        a += _MASK[:w, :w]
+        a -= a.max(axis=-1, keepdims=True)
+        np.exp(a, out=a)
+    else:
+        np.exp(a, out=a)
+        a *= _BACK[:w, :w]
+    a /= _sums(a)
     seen = np.concatenate([np.matmul(a, x).reshape(-1, d), x.reshape(-1, d)], axis=1)
     return placed, q, k, a, seen
 
@@ -98,10 +115,11 @@ def _shares(p: Parameters, seen: np.ndarray, aim: np.ndarray) -> tuple[np.ndarra
     """Each class's share of ``total``, that total, and log probability of the class that comes."""
     logits = seen @ p["U"]
     logits += p["b"]
-    logits -= logits.max(axis=1, keepdims=True)
+    if _large(logits):
+        logits -= logits.max(axis=1, keepdims=True)
     logs = logits[np.arange(len(aim)), aim]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
+    total = _sums(logits)
     logs -= np.log(total[:, 0])
     return logits, total, logs
 
@@ -157,13 +175,14 @@ def gradient(p: Parameters, vectors: np.ndarray, classes: np.ndarray, lengths: n
         back = np.zeros((n * w, d), _F)
         back[counted] = off @ p["U"][:d].T
         da = np.matmul(back.reshape(n, w, d), x.transpose(0, 2, 1))
-        da -= (da * a).sum(axis=-1, keepdims=True)
+        da -= _sums(da * a)
         da *= a
         dq, dk = np.matmul(da, k).reshape(-1, d), np.matmul(da.transpose(0, 2, 1), q).reshape(-1, d)
         scale = _F(d**-0.5)
         total["Q"] += placed.T @ dq * scale
         total["K"] += placed.T @ dk
-        total["P"][:w] += (dq @ (p["Q"].T * scale) + dk @ p["K"].T).reshape(n, w, d).sum(axis=0)
+        at_place = lambda g: g.reshape(n, w, d).sum(axis=0)
+        total["P"][:w] += at_place(dq) @ (p["Q"].T * scale) + at_place(dk) @ p["K"].T
     return total, loss
 
 

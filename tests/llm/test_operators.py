@@ -514,3 +514,21 @@ def test_edits_by_word_never_link_too_much(spark, monkeypatch, plain):
     exact = F.levenshtein("x", "y") <= F.floor((100 - line_dedup.PERCENT) * F.greatest(F.length("x"), F.length("y")) / 100)
     got = frame.select(line_dedup._similar(F.col("x"), F.col("y")).alias("got"), exact.alias("want")).collect()
     assert [r["got"] for r in got] == [r["want"] for r in got] and 10 < sum(r["got"] for r in got) < 110
+
+
+@pytest.mark.parametrize("scale", [0.3, 40.0])
+def test_lm_powers_need_no_shift_where_they_are_small(monkeypatch, scale):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 5, 90, 32])
+    vectors, classes = rng.standard_normal((lengths.sum(), attention_lm.WIDTH)).astype(np.float32), rng.integers(0, attention_lm.CLASSES, lengths.sum())
+    p = {k: (v + scale * 0.1 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in attention_lm.initial(np.ones(attention_lm.CLASSES)).items()}
+    needed, old = [], attention_lm._large
+    monkeypatch.setattr(attention_lm, "_large", lambda x: needed.append(old(x)) or needed[-1])
+    scores, (gradient, loss) = attention_lm.score(p, vectors, classes, lengths), attention_lm.gradient(p, vectors, classes, lengths)
+    assert any(needed) == (scale > 1)  # before, always
+    monkeypatch.setattr(attention_lm, "_large", lambda x: True)
+    assert np.allclose(scores, attention_lm.score(p, vectors, classes, lengths), rtol=1e-5, atol=1e-4) and np.isfinite(scores).all()
+    want, also = attention_lm.gradient(p, vectors, classes, lengths)
+    assert abs(loss - also) <= 1e-4 * abs(also) and all(np.allclose(gradient[k], want[k], rtol=1e-3, atol=1e-3 * max(1, scale)) for k in want)
